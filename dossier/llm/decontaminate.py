@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dossier.llm._pack import pack, unpack
 from dossier.llm._text import LOWER, NON_ALNUM, U64, gram_hashes, prefix_sums, ragged, row_groups, string_buffers, word_hashes, word_spans
 
 WINDOW, SHINGLE = 10, 5
@@ -233,5 +234,6 @@ def n_hit(spans: str = "hit_spans"):
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any benchmark window, with their own columns."""
-    found = contamination(docs, benchmark, **options)
-    return found.where(F.size("hit_spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = options.pop("text", "text")
+    found = contamination(pack(docs, _text=text), benchmark, text="_text", **options)
+    return unpack(found.where(F.size("hit_spans") == 0), docs, _text=text)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, decontaminate, licenses, shard, toxicity
+from dossier.llm import bpe, decontaminate, licenses, shard, suffix_dedup, suffix_tree_dedup, toxicity
 
 RANKS, SHARDS = "byte_bpe_50k.tiktoken", 40
 
@@ -33,6 +33,17 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", decontaminate.n_hit().alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda s, x: s + (x["end"] - x["start"]).cast("long"))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_tree_dedup.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard.contiguous_shards(table(spark, sf_dir, "documents"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -53,8 +64,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_shard": op5_shard,
     "op7_toxicity": op7_toxicity,
     "op9_license_scan": op9_license_scan,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}

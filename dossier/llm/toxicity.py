@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dossier.llm._pack import pack, unpack
 from dossier.llm._text import LOWER, NON_ALNUM, U64, row_groups, string_buffers, word_hashes, word_spans
 
 TRAIN_ROWS, TRAIN_BYTES, MIN_DOCS = 6000, 32_768, 4
@@ -162,5 +163,5 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text", score: str = "sc
 def remove_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold, with their own columns."""
     model = train(docs, labels, ~held_out(key), key, text)
-    scored = toxicity(docs.withColumns({}), model, text, "_score", None)
-    return scored.where(F.col("_score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = toxicity(pack(docs, _text=text), model, "_text", "_score", None)
+    return unpack(scored.where(F.col("_score") < threshold), docs, _text=text)
