@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.llm._pack import pack, unpack
-from dossier.llm._text import LOWER, NON_ALNUM, U64, gram_hashes, prefix_sums, ragged, row_groups, string_buffers, word_hashes, word_spans
+from dossier.llm._text import LOWER, NON_ALNUM, U64, Members, gram_hashes, prefix_sums, ragged, row_groups, string_buffers, word_hashes, word_spans
 
 WINDOW, SHINGLE = 10, 5
 #: Benchmark text that is held by a worker at once.
@@ -81,19 +81,6 @@ class Index:
         self.grams = self.windows = None
 
 
-class Members:
-    """Membership in a sorted set of hashes: a bitmap turns most values away before the binary search."""
-
-    def __init__(self, values: np.ndarray):
-        self.values, self.shift = values, U64(64 - 20)
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[values >> self.shift] = True
-
-    def where(self, x: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(self.bits[x >> self.shift])
-        return at[self.values[np.minimum(np.searchsorted(self.values, x[at]), len(self.values) - 1)] == x[at]]
-
-
 def _words(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, word hashes, first word of each row) of bounded pieces of a batch."""
     buf, offs = string_buffers(batch.column(text))

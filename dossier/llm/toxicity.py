@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.llm._pack import pack, unpack
-from dossier.llm._text import LOWER, NON_ALNUM, U64, row_groups, string_buffers, word_hashes, word_spans
+from dossier.llm._text import BYTE_CODE, LOWER, NON_ALNUM, U64, Members, prefix_sums, row_groups, span_hashes, string_buffers, word_spans
 
-TRAIN_ROWS, TRAIN_BYTES, MIN_DOCS = 6000, 32_768, 4
+TRAIN_ROWS, TRAIN_BYTES, MIN_DOCS, SURPRISE = 6000, 32_768, 3, 4.0
+STEMS = (4, 5, 6)
 #: A sentence ends at one of . ! ? or a line's end.
 _STOP = np.zeros(256, bool)
 _STOP[[0x0A, 0x0D, 0x21, 0x2E, 0x3F]] = True
@@ -40,32 +41,47 @@ def held_out(key: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
 
 
 def _sentences(buf: np.ndarray, offs: np.ndarray):
-    """Per word: hash, sentence (numbered through the piece), start, end; per row its first word."""
+    """Features (hash, and which word has it); per word: sentence (numbered through the piece), row, start, end.
+
+    A word has itself and its first 4, 5 and 6 bytes as features, so that the forms of one stem are learnt together."""
     low = LOWER[buf]
     starts, ends, first = word_spans(low, offs, NON_ALNUM)
     stops = np.concatenate([[0], np.cumsum(_STOP[buf])])
     row = np.searchsorted(first, np.arange(len(starts)), "right") - 1
     mark = stops[starts] + row  # another row begins another sentence
     sentence = np.cumsum(np.concatenate([[0], (np.diff(mark) > 0) | (np.diff(row) > 0)])) if len(starts) else np.zeros(0, np.int64)
-    return word_hashes(low, starts, ends), sentence[: len(starts)], row, starts, ends
+    hashes, owner = [], []
+    if len(starts):
+        sums = prefix_sums(BYTE_CODE[low])
+        hashes.append(span_hashes(sums, starts, ends))
+        owner.append(np.arange(len(starts)))
+        for n in STEMS:
+            at = np.flatnonzero(ends - starts > n)
+            hashes.append(span_hashes(sums, starts[at], starts[at] + n) ^ U64(0x5851F42D4C957F2D * n & 0xFFFFFFFFFFFFFFFF))
+            owner.append(at)
+    joined = (np.concatenate(hashes), np.concatenate(owner)) if hashes else (np.zeros(0, U64), np.zeros(0, np.int64))
+    return *joined, sentence[: len(starts)], row, starts, ends
 
 
 class Model:
     """Known word hashes (sorted), their weights, and the bias."""
 
     def __init__(self, words: np.ndarray, weights: np.ndarray, bias: float):
-        self.words, self.weights, self.bias = words, weights, bias
+        self.words, self.weights, self.bias, self.members = words, weights, bias, None
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(hashes))
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.weights[at], 0.0)
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where known features stand, and their weights."""
+        if self.members is None:
+            self.members = Members(self.words)
+        at = self.members.where(hashes)
+        return at, self.weights[np.searchsorted(self.words, hashes[at])]
 
-    def score(self, hashes: np.ndarray, sentence: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-        """Each row's noisy-or, and each sentence's probability."""
+    def score(self, hashes: np.ndarray, owner: np.ndarray, sentence: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's noisy-or, and each sentence's probability.  A feature counts once in a sentence."""
         n = int(sentence[-1]) + 1 if len(sentence) else 0
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(sentence, self.of(hashes), n) + self.bias, -30, 30)))
+        at, weight = self.of(hashes)
+        cell, once = np.unique(sentence[owner[at]] * np.int64(max(1, len(self.words))) + np.searchsorted(self.words, hashes[at]), return_index=True)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(cell // max(1, len(self.words)), weight[once], n) + self.bias, -30, 30)))
         owner = np.zeros(n, np.int64)
         owner[sentence] = row
         return 1 - np.exp(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-9)), rows)[:rows]), p
@@ -90,20 +106,26 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, key: st
     column = table["_text"].combine_chunks() if isinstance(table["_text"], pa.ChunkedArray) else table["_text"]
     buf, offs = string_buffers(column)
     for lo, hi in row_groups(offs):
-        h, s, r, _, _ = _sentences(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-        hashes.append(h), sentence.append(s + last), row.append(r + lo)
+        h, w, s, r, _, _ = _sentences(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+        hashes.append(h), sentence.append(s[w] + last), row.append(r[w] + lo)
         last += int(s[-1]) + 1 if len(s) else 0
     hashes, sentence, row = map(np.concatenate, (hashes, sentence, row))
     return fit(hashes, sentence, row, y, rounds)
 
 
-def fit(hashes: np.ndarray, sentence: np.ndarray, row: np.ndarray, y: np.ndarray, rounds: int, l2: float = 1e-3, step: float = 0.15) -> Model:
-    """Adam on the log likelihood of the document labels under the noisy-or."""
+def fit(hashes: np.ndarray, sentence: np.ndarray, row: np.ndarray, y: np.ndarray, rounds: int, evidence: float = 0.7, step: float = 0.15) -> Model:
+    """Adam on the log likelihood of the document labels under the noisy-or.
+
+    Weights are not negative (a word can accuse a sentence, none excuses it), and an L1 penalty worth
+    `evidence` documents keeps words out that stand in toxic documents by chance."""
     words, index = np.unique(hashes, return_inverse=True)
     pairs = np.unique(index * len(y) + row) // len(y)
-    known = np.bincount(pairs, minlength=len(words)) >= MIN_DOCS
+    docs, base = np.bincount(pairs, minlength=len(words)), y.mean()
+    toxic = np.bincount(pairs, y[np.unique(index * len(y) + row) % len(y)], len(words))
+    # Words that stand in toxic documents clearly more often than the base rate lets expect.
+    known = (docs >= MIN_DOCS) & (toxic - docs * base > SURPRISE * np.sqrt(docs * base * (1 - base) + 1e-9))
     number = np.cumsum(known) - 1
-    n_sentences = int(sentence[-1]) + 1 if len(sentence) else 0
+    n_sentences = int(sentence.max()) + 1 if len(sentence) else 0
     owner = np.zeros(n_sentences, np.int64)
     owner[sentence] = row
     # A word counts once in a sentence.
@@ -121,11 +143,11 @@ def fit(hashes: np.ndarray, sentence: np.ndarray, row: np.ndarray, y: np.ndarray
         toxic = -np.expm1(np.minimum(clean, -1e-9))
         # d log L / dz: -p for clean documents, p * (1 - P) / P for toxic ones.
         g = np.where(y[owner] > 0, p * np.exp(clean[owner]) / toxic[owner], -p)
-        grad = np.append(np.bincount(f, g[s], len(w)) / len(y) - l2 * w / len(y) * 10, g.sum() / len(y))
+        grad = np.append((np.bincount(f, g[s], len(w)) - evidence) / len(y), g.sum() / len(y))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        move = step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-        w, b = w + move[:-1], b + move[-1]
-    keep = np.abs(w) > 0.05
+        move = step * (1 - (t - 1) / rounds) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+        w, b = np.maximum(0, w + move[:-1]), b + move[-1]
+    keep = w > 0.05
     return Model(words[known][keep], w[keep], float(b))
 
 
@@ -142,8 +164,8 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text", score: str = "sc
             buf, offs = string_buffers(batch.column(text))
             scores, spans = [], []
             for lo, hi in row_groups(offs):
-                h, s, r, starts, ends = _sentences(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                total, p = model.score(h, s, r, hi - lo)
+                h, w, s, r, starts, ends = _sentences(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                total, p = model.score(h, w, s, r, hi - lo)
                 scores.append(np.clip(total, 0, 1))
                 found = [[] for _ in range(hi - lo)]
                 bad = np.flatnonzero(p >= at_least)
