@@ -15,6 +15,7 @@ other columns pass through untouched.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 
 
 _NONE = 1 << 62
-#: Bounds of the per-worker table: pieces, and bytes of a piece that is kept.
-CACHE_PIECES, CACHE_BYTES = 200_000, 48
+#: Bounds of a worker's table of met pieces: entries of each of its two generations (about 50 MB each), and bytes of a piece that is kept.
+CACHE_PIECES, CACHE_BYTES = 250_000, 48
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -100,38 +101,54 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder(dict):
-    """Text -> ids as little-endian unsigned 32-bit integers; the dictionary holds met pieces."""
+    """Text -> ids as little-endian unsigned 32-bit integers; the dictionary holds met pieces.
+
+    When it is full it becomes the older generation, out of which pieces that are met again return."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.ranks, self.find, self.older = ranks, regex.compile(pattern).findall, {}
+        self.token = [b""] * (max(ranks.values(), default=-1) + 1)
+        for k, v in ranks.items():
+            self.token[v] = k
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8", "surrogatepass")
-        ids = np.array(encode_piece(raw, self.ranks), "<u4").tobytes()
-        if len(raw) <= CACHE_BYTES:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = ids
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            ids = np.array(encode_piece(raw, self.ranks), "<u4").tobytes()
+            if len(raw) > CACHE_BYTES:
+                return ids
+        if len(self) >= CACHE_PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.find(text)))
 
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+#: The encoder of the last vocabulary that this worker process used; later tasks find its table filled.
+_LAST: dict[str, Encoder] = {}
+
 
 def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = "decoded") -> DataFrame:
     """docs plus `ids` (binary: unsigned 32-bit little-endian) and, if named, `decoded` (binary: the bytes of those ids)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary, whatever the corpus
+    name = uuid.uuid4().hex
     names = [c for c in (ids, decoded) if c]
     kept = docs.drop(*names)
     schema = T.StructType([*kept.schema.fields, *(T.StructField(c, T.BinaryType()) for c in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = shared.value
-        encoder = Encoder(ranks, pattern)
-        token = [b""] * (max(ranks.values(), default=-1) + 1)
-        for k, v in ranks.items():
-            token[v] = k
+        encoder = _LAST.get(name)
+        if encoder is None:
+            _LAST.clear()
+            encoder = _LAST[name] = Encoder(shared.value, pattern)
         for batch in batches:
             at, size = 0, max(1, min(512, 1 + (8 << 20) * batch.num_rows // max(1, batch.nbytes)))
             while at < batch.num_rows:
@@ -140,7 +157,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text:
                 packed = [encoder.encode(x) if x else b"" for x in part.column(text).to_pylist()]
                 columns = [*part.columns, pa.array(packed, pa.binary())]
                 if decoded:
-                    columns.append(pa.array([b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in packed], pa.binary()))
+                    columns.append(pa.array(list(map(encoder.decode, packed)), pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *names])
 
     return kept.mapInArrow(run, schema)
