@@ -220,7 +220,9 @@ def contexts(docs: DataFrame, text: str, kind: Kind) -> DataFrame:
                     if len(size):
                         yield emit(h[s].view(np.int64), 0, np.zeros(len(size), np.int64), d[at], v[at], lo[s] - base, hi[s] - base, binary_column(symbols[ragged(lo[s], size)], size * kind.dtype.itemsize))
 
-    return docs.select("_d", "_v", text, "_grams", "_hot").mapInArrow(run, _CONTEXT)
+    # All columns go in, used or not: pruning them here would give the exchange below another shape than the
+    # result's, and the texts would be dealt twice.
+    return docs.mapInArrow(run, _CONTEXT)
 
 
 def window_digest(sums: np.ndarray, places: np.ndarray, L: int) -> tuple[np.ndarray, np.ndarray]:
