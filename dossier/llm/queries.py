@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, decontaminate, licenses, shard, suffix_dedup, suffix_tree_dedup, toxicity
+from dossier.llm import bpe, decontaminate, fingerprint, licenses, shard, suffix_dedup, suffix_tree_dedup, toxicity
 
 RANKS, SHARDS = "byte_bpe_50k.tiktoken", 40
 
@@ -39,6 +39,10 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_tree_dedup.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_fingerprint": op4_fingerprint,
     "op5_shard": op5_shard,
     "op7_toxicity": op7_toxicity,
     "op9_license_scan": op9_license_scan,
