@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from dossier.llm._text import U64, binary_column, gram_hashes, mix, prefix_sums, ragged, row_groups, sliding_min, string_buffers
 
 #: Rows of one gram beyond which its windows travel one by one, and symbol bytes that are judged at once.
-HOT, GROUP_BYTES = 20_000, 3 << 20
+HOT, GROUP_BYTES = 6_000, 3 << 19
 _POS = U64((1 << 28) - 1)
 KEY = ["_d", "_v"]
 

@@ -34,7 +34,7 @@ _pow = {"n": 0}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _pow["n"] < n:
-        size = max(n, 2 * _pow["n"], 1 << 16)
+        size = max(n, 1 << 16) + (1 << 18)
         out = []
         for base in (_BASE, _INV):
             p = np.empty(size, U64)
