@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, decontaminate, fingerprint, licenses, shard, suffix_dedup, suffix_tree_dedup, toxicity
+from dossier.llm import bpe, decontaminate, fingerprint, jaccard_join, licenses, shard, suffix_dedup, suffix_tree_dedup, toxicity
 
 RANKS, SHARDS = "byte_bpe_50k.tiktoken", 40
 
@@ -60,6 +60,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("toxic_sentences").alias("n_toxic_sentences"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), "0.9", 3)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "canonical_chars", "canonical_sha256", "license_id", F.col("license_id").isNotNull().alias("is_license"))
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprint": op4_fingerprint,
     "op5_shard": op5_shard,
     "op7_toxicity": op7_toxicity,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_license_scan": op9_license_scan,
     "op10_substring_dedup": op10_substring_dedup,
 }
