@@ -5,13 +5,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossier.llm import bpe, decontaminate, queries, toxicity
+from dossier.llm import bpe, decontaminate, jaccard_join, queries, suffix_dedup, toxicity
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.remove_toxic(docs, queries.table(spark, sf_dir, "labels"))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_repeats(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.remove_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
 
@@ -21,7 +29,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, ranks, pattern, decoded=None)
 
 
-STAGES = [("toxicity", toxic), ("decontamination", decontamination), ("bpe", tokens)]
+STAGES = [("toxicity", toxic), ("ngram_jaccard_join", near_copies), ("suffix_array_dedup", repeated_passages), ("decontamination", decontamination), ("bpe", tokens)]
 #: Trained weights, suffix sorting and tokenization are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
