@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, decontaminate, fingerprint, jaccard_join, licenses, shard, suffix_dedup, suffix_tree_dedup, toxicity
+from dossier.llm import bpe, decontaminate, fingerprint, jaccard_join, katz, licenses, shard, suffix_dedup, suffix_tree_dedup, toxicity
 
 RANKS, SHARDS = "byte_bpe_50k.tiktoken", 40
 
@@ -53,6 +53,12 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = toxicity.held_out("doc_id", 5, 1)
+    out = katz.score(table(spark, sf_dir, "documents"), ~held_out)
+    return out.select("doc_id", (~F.col("_train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_fingerprint": op4_fingerprint,
     "op5_shard": op5_shard,
+    "op6_katz": op6_katz,
     "op7_toxicity": op7_toxicity,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_license_scan": op9_license_scan,
