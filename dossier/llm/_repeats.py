@@ -154,6 +154,11 @@ def contexts(docs: DataFrame, text: str, kind: Kind) -> DataFrame:
         n = len(h)
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(n, k, np.int8)), pa.array(h2), pa.array(d), pa.array(v), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), symbols or pa.nulls(n, pa.binary())], names=[x.split()[0] for x in _CONTEXT.split(", ")])
 
+    def settled(k, d, v, lo, hi):
+        """Rows that need no judging go to any partition."""
+        spread = mix(d.view(U64) + v.view(U64) * U64(3) + lo.astype(U64) * U64(0x9E3779B97F4A7C15)).view(np.int64)
+        return emit(spread, k, np.zeros(len(d), np.int64), d, v, lo, hi, None)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, v = batch.column("_d").to_numpy(), batch.column("_v").to_numpy()
@@ -199,19 +204,29 @@ def contexts(docs: DataFrame, text: str, kind: Kind) -> DataFrame:
                     at = row[done] + first_row
                     base = first[row[done]]
                     if len(done):
-                        yield emit(h[done].view(np.int64), 1, np.zeros(len(done), np.int64), d[at], v[at], lo[done] - base, hi[done] - base, None)
+                        yield settled(1, d[at], v[at], lo[done] - base, hi[done] - base)
                     lead = places[first_again]
                     at, base = row[of[first_again]] + first_row, first[row[of[first_again]]]
                     if len(lead):  # where a removed run's windows stood first: kind 3 says that they are repeated, not where
-                        yield emit(h[of[first_again]].view(np.int64), 3, np.zeros(len(lead), np.int64), d[at], v[at], lead - base, lead - base, None)
+                        yield settled(3, d[at], v[at], lead - base, lead - base)
                     row, lo, hi, h = row[keep], lo[keep], hi[keep], h[keep]
                 burning = members("_hot", first_row, end_row, row, h)
                 if burning.any():
                     size = hi[burning] - lo[burning] + 1
                     places, of = ragged(lo[burning], size), np.repeat(np.flatnonzero(burning), size)
-                    one = window_digest(sums, places, L)
-                    at, base = row[of] + first_row, first[row[of]]
-                    yield emit(one[0].view(np.int64), 2, one[1].view(np.int64), d[at], v[at], places - base, places - base, None)
+                    one, two = window_digest(sums, places, L)
+                    at, start = row[of] + first_row, places - first[row[of]]
+                    # Combined here: of equal windows the earliest goes on, the others are judged by it.
+                    order = np.lexsort((start, d[at], two, one))
+                    one, two, at, start = one[order], two[order], at[order], start[order]
+                    new = np.ones(len(one), bool)
+                    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+                    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+                    told = (d[at] != d[at[lead]]) | (start != start[lead])
+                    ahead = np.unique(lead[told])
+                    yield settled(1, d[at[told]], v[at[told]], start[told], start[told])
+                    yield settled(3, d[at[ahead]], v[at[ahead]], start[ahead], start[ahead])
+                    yield emit(one[~told].view(np.int64), 2, two[~told].view(np.int64), d[at[~told]], v[at[~told]], start[~told], start[~told], None)
                     row, lo, hi, h = row[~burning], lo[~burning], hi[~burning], h[~burning]
                 for k in range(0, len(h), 20_000):
                     s = slice(k, k + 20_000)
