@@ -28,7 +28,7 @@ _HEX = BITS // 4
 
 def shingle_minima(rows: DataFrame, by: list[str], text: str) -> DataFrame:
     """by, _bin, _least: the smallest hash of each bin that has one."""
-    words = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    words = F.split(F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")  # no word: ['']
     rows = rows.select(*by, words.alias("_words"))
     rows = rows.select(*by, "_words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("_words") - SHINGLE, F.lit(0)))).alias("_at"))
     hashes = rows.select(*by, F.xxhash64(F.slice("_words", F.col("_at") + 1, SHINGLE)).alias("_hash"))
@@ -53,7 +53,7 @@ def pack(entries: Column) -> Column:
 def fingerprints(rows: DataFrame, by: list[str], text: str) -> DataFrame:
     """by (which must tell rows apart) and fingerprint."""
     least = shingle_minima(rows, by, text)
-    return least.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_bin", "_least"))).alias("_entries")).select(*by, pack(F.col("_entries")).alias("fingerprint"))
+    return least.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_bin", "_least"))).alias("_entries")).select(*by, pack(F.col("_entries")).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -64,8 +64,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """_bucket, _row (together unique), _id, _text, _next (the next document's text), _extra (not a row of docs)."""
-    rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("_order"))
+    """_bucket, _row (together unique), _order (the id; null as the least long), _text, _next (the next
+    document's text), _extra (not a row of docs)."""
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("_order"))
     cuts = bounds(rows, "_order", buckets_for(docs))
     dealt = rows.withColumn("_bucket", bucket_of(F.col("_order"), cuts)).withColumn("_extra", F.lit(False))
     # One line a bucket: the least id of each, which goes to the bucket before as well.
@@ -100,6 +101,6 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     prints = fingerprints(both.select("_bucket", "_row", F.col("_x.w").alias("_w"), F.col("_x.t").alias("_t")), ["_bucket", "_row", "_w"], "_t")
     pair = prints.groupBy("_bucket", "_row").agg(F.max(F.when(F.col("_w") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("_w") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
     pair = pair.withColumn("_following", F.lead("fingerprint").over(Window.partitionBy("_bucket").orderBy("_row")))
-    facts = rows.where(~F.col("_extra")).select("_bucket", "_row", F.col("_id").alias(key), F.char_length("_text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"))
+    facts = rows.where(~F.col("_extra")).select("_bucket", "_row", F.when(F.col("_order") != -(1 << 63), F.col("_order")).alias(key), F.char_length("_text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"))
     out = facts.join(pair, ["_bucket", "_row"])
     return out.select(key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_following")).alias("near_next"))
