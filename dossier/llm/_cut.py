@@ -18,4 +18,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if folder is None and not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    done = df.checkpoint()
+    # The shuffles behind it are garbage now; Spark deletes their files when the driver collects it.
+    context._jvm.System.gc()
+    return done

@@ -3,13 +3,13 @@
 A document is the set of its distinct word shingles.  Two documents link if the Jaccard similarity of
 their sets reaches the threshold.  The result is each document's component: no pair is listed.
 
-1. Blocks.  Similar sets differ in few shingles, so if shingles are dealt by hash into one part more
-   than that number, similar sets agree in a whole part.  A digest of each part's shingles is a
-   signature; sets that share one are candidates.  Signatures are combined where they are made (of a
-   batch's sets with the same one only the least goes on; the others are tied to it), so a frequent
-   one has a row a batch at most.  The components of candidates are the blocks.  Sizes go by bands, so
-   that both sets of a pair deal alike; parts that are empty are no evidence, which a few spare parts
-   make up for, and a set with more empty parts than spare ones signs the empty ones too.
+1. Blocks.  Shingles are ordered by rarity: how many sets of the whole corpus hold them (counted in
+   tables partitioned by shingle, which batches of documents ask and fill at once).  Two sets that
+   reach the threshold share one of their rarest n - ceil(t * n) + 1 shingles each, so those are the
+   only ones worth comparing, and of them only the ones that more than one set holds.  Most documents
+   have none and are done.  Sets that share one are tied together (combined where they are met: a
+   batch sends the least set of each shingle only, so a frequent one has a row a batch at most); the
+   components of the ties are the blocks.
 2. Search.  Inside a block, sets are searched with DivideSkip: of the inverted lists of a query's
    shingles the short ones are merged with a heap, and documents with enough occurrences are probed
    for by binary search in the long ones.  A set that has joined a component is not searched for
@@ -36,10 +36,10 @@ from dossier.llm._components import components
 from dossier.llm._cut import checkpointed
 from dossier.llm._pack import pack, unpack
 from dossier.llm._repeats import KEY, keyed
-from dossier.llm._text import LOWER, SPACE, U64, binary_column, gram_hashes, mix, prefix_sums, row_groups, span_hashes, string_buffers, word_hashes, word_spans
+from dossier.llm._text import LOWER, SPACE, U64, binary_column, gram_hashes, mix, planes, prefix_sums, row_groups, span_hashes, string_buffers, whole, word_hashes, word_spans
 
-#: Sets of a block that are searched in one task.
-BLOCK = 4000
+#: Sets of a block that are searched in one task; bytes of text whose shingles are counted at once.
+BLOCK, BATCH_BYTES = 4000, 8 << 20
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,59 +75,6 @@ def set_digests(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray,
     return size, digest
 
 
-class Bands:
-    """Size bands: sets of similar size fall into the same or neighbouring ones."""
-
-    def __init__(self, threshold: Fraction):
-        self.t = threshold
-        self.low = [1]
-
-    def grow(self, size: int) -> None:
-        while self.low[-1] <= size:
-            self.low.append(int(self.low[-1] / self.t) + 1)
-
-    def parts(self, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For pairs whose larger set is in the band: parts that they are dealt into, and how many of them are spare."""
-        most = np.array(self.low, np.int64)[band + 1] - 1
-        # |A xor B| <= (1 - t) / (1 + t) * (|A| + |B|), and neither is larger than `most`.
-        p, q = (1 - self.t).numerator * (1 + self.t).denominator, (1 - self.t).denominator * (1 + self.t).numerator
-        differ = 2 * most * p // q
-        spare = 1 + differ // 256
-        return differ + 1 + spare, spare
-
-
-def signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Row and signature; only rows with a set have any."""
-    out_row, out_sig = [], []
-    some = np.flatnonzero(size)
-    if not len(some):
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    bands.grow(int(size.max()) * 2 + 2)
-    while len(bands.low) < 3:
-        bands.grow(bands.low[-1])
-    own = np.zeros(len(size), np.int64)
-    own[some] = np.searchsorted(np.array(bands.low), size[some], "right") - 1
-    inner = mix(h ^ U64(0x9E6C63D0876A9A47))
-    for up in (0, 1):
-        band = own + up
-        parts, spare = bands.parts(band)
-        part = ((h >> U64(32)) * parts[row].astype(U64)) >> U64(32)  # rises with h within a row
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (part[1:] != part[:-1])
-        start = np.flatnonzero(new)
-        r, p = row[start], part[start]
-        digest = np.add.reduceat(inner, start)
-        tag = lambda r, p: band[r].astype(U64) << U64(40) ^ p
-        out_row.append(r)
-        out_sig.append(mix(digest ^ mix(tag(r, p))))
-        filled = np.bincount(r, minlength=len(size))
-        for k in np.flatnonzero((size > 0) & (parts - filled > spare)).tolist():
-            empty = np.setdiff1d(np.arange(parts[k], dtype=U64), p[r == k])
-            out_row.append(np.full(len(empty), k))
-            out_sig.append(mix(mix(tag(np.full(len(empty), k), empty)) ^ U64(0x1234567)))
-    return np.concatenate(out_row), np.concatenate(out_sig)
-
-
 def _facts(docs: DataFrame, text: str, n: int) -> DataFrame:
     """_d, _v, _n (set size), _a (set digest) of every document."""
 
@@ -144,83 +91,138 @@ def _facts(docs: DataFrame, text: str, n: int) -> DataFrame:
     return docs.select("_d", "_v", text).mapInArrow(run, "_d long, _v long, _n long, _a long")
 
 
-def _candidates(docs: DataFrame, text: str, n: int, t: Fraction) -> DataFrame:
-    """u, v: set digests that share a signature; each tied to the least of its group."""
+def _batch_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row and hash of the shingles of a batch's distinct sets, and each row's set size and digest."""
+    buf, offs = string_buffers(column)
+    rows, hashes, sizes, digests = [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    for lo, hi in row_groups(offs):
+        row, h = shingle_sets(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], n)
+        size, digest = set_digests(row, h, hi - lo)
+        rows.append(row + lo), hashes.append(h), sizes.append(size), digests.append(digest)
+    row, h, size, digest = map(np.concatenate, (rows, hashes, sizes, digests))
+    fresh = np.zeros(len(size), bool)
+    fresh[np.unique(digest, return_index=True)[1]] = True
+    keep = (fresh & (size > 0))[row]
+    return row[keep], h[keep], size, digest
+
+
+def _rarity_keys(h: np.ndarray, width: int) -> np.ndarray:
+    """What a shingle is counted under: its partition and 40 bits of its hash."""
+    return ((h >> U64(40)) % U64(width)) << U64(40) | (h & U64((1 << 40) - 1))
+
+
+_ROW = "_b long, _p int, _x binary, _y binary"
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) or [[]] * 4
+    return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["_b", "_p", "_x", "_y"])
+
+
+def _suspects(docs: DataFrame, text: str, n: int, t: Fraction) -> DataFrame:
+    """_a, _set, _tokens: sets that hold, among their rarest shingles, some that other sets hold too (_tokens)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
+    batches = max(parts, -(-size // BATCH_BYTES))
+    width = parts
+    dealt = docs.select("_d", "_v", text).withColumn("_b", F.pmod(F.xxhash64("_d", "_v"), F.lit(batches)).cast("long")).repartition(parts, "_b")
+
+    def ask(table: pa.Table) -> pa.Table:
+        _, h, _, _ = _batch_sets(table[text].combine_chunks(), n)
+        key, count = np.unique(_rarity_keys(h, width), return_counts=True)
+        part = (key >> U64(40)).astype(np.int64)
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
+        at = table["_b"][0].as_py()
+        return _table([(at, int(part[i]), planes(key[i:j] & U64((1 << 40) - 1)), planes(np.minimum(count[i:j], 255), 1)) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())])
+
+    def answer(table: pa.Table) -> pa.Table:
+        p, asked = table["_p"][0].as_py(), table["_b"].to_pylist()
+        keys, counts = [whole(x) for x in table["_x"].to_pylist()], [whole(x, 1) for x in table["_y"].to_pylist()]
+        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.minimum(np.bincount(inverse, np.concatenate(counts), len(every)), 255).astype(np.int64)
+        cut = np.cumsum([0, *map(len, keys)])
+        return _table([(b, p, planes(total[inverse[cut[i] : cut[i + 1]]], 1), b"") for i, b in enumerate(asked)])
+
+    def choose(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, kinds = ["_a", "_set", "_tokens"], [pa.int64(), pa.binary(), pa.binary()]
+        none = pa.table([pa.array([], k) for k in kinds], names=names)
+        if not left.num_rows:
+            return none
+        row, h, size, digest = _batch_sets(left[text].combine_chunks(), n)
+        if not len(h):
+            return none
+        key = _rarity_keys(h, width)
+        known = np.unique(key)
+        replies = np.concatenate([whole(x, 1) for x in right.sort_by("_p")["_x"].to_pylist()])
+        assert len(replies) == len(known), "a table of shingles did not answer"
+        holders = replies[np.searchsorted(known, key)]
+        order = np.lexsort((h, key, holders, row))
+        first = np.searchsorted(row, np.arange(len(size)))
+        place = np.arange(len(h)) - first[row[order]]
+        prefix = size - -(-size * t.numerator // t.denominator) + 1
+        own = row[order]
+        use = (place < prefix[own]) & (holders[order] > 1)
+        chosen = np.bincount(own[use], minlength=len(size))
+        some = np.flatnonzero(chosen)
+        tokens = binary_column(h[order][use], chosen[some] * 8)
+        member = chosen[row] > 0
+        return pa.table([pa.array(digest[some].view(np.int64)), binary_column(h[member], size[some] * 8), tokens], names=names)
+
+    replies = dealt.groupBy("_b").applyInArrow(ask, _ROW).groupBy("_p").applyInArrow(answer, _ROW)
+    return dealt.groupBy("_b").cogroup(replies.groupBy("_b")).applyInArrow(choose, "_a long, _set binary, _tokens binary")
+
+
+def _candidates(suspects: DataFrame) -> DataFrame:
+    """u, v: sets that share a chosen shingle; each tied to the least that holds it."""
+    parts = int(suspects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     width = 2 * parts
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(t)
+    def packed(p, x, y, kind):
+        return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array([kind] * len(p), pa.int8()), *(pa.array([v.tobytes() for v in c], pa.binary()) for c in (x, y))], names=["_p", "_k", "_x", "_y"])
+
+    def ties(node, token):
+        """Each token's least node, and the pairs that tie the others to it."""
+        order = np.lexsort((node, token))
+        node, token = node[order], token[order]
+        new = np.concatenate([[True], token[1:] != token[:-1]])
+        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+        pairs = np.unique(np.stack([node, node[lead]], 1)[~new], axis=0)
+        return node[new], token[new], pairs[pairs[:, 0] != pairs[:, 1]]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = string_buffers(batch.column(text))
-            node, sig = [np.zeros(0, U64)], [np.zeros(0, U64)]
-            seen = np.zeros(0, U64)
-            for lo, hi in row_groups(offs):
-                row, h = shingle_sets(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], n)
-                size, digest = set_digests(row, h, hi - lo)
-                # Equal sets sign once a batch.
-                _, lead = np.unique(digest, return_index=True)
-                fresh = np.zeros(hi - lo, bool)
-                fresh[lead] = True
-                fresh &= (size > 0) & ~np.isin(digest, seen)
-                seen = np.union1d(seen, digest[fresh])
-                keep = fresh[row]
-                r, s = signatures(row[keep], h[keep], np.where(fresh, size, 0), bands)
-                node.append(digest[r]), sig.append(s)
-            node, sig = np.concatenate(node), np.concatenate(sig)
-            order = np.lexsort((node, sig))
-            node, sig = node[order], sig[order]
-            if not len(sig):
+            data, offs = string_buffers(batch.column("_tokens").cast(pa.large_binary()))
+            token = np.ascontiguousarray(data).view(U64)
+            if not len(token):
                 continue
-            new = np.concatenate([[True], sig[1:] != sig[:-1]])
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            tied = np.unique(np.stack([node, node[lead]], 1)[~new], axis=0)
-            tied = tied[tied[:, 0] != tied[:, 1]]
+            node = np.repeat(batch.column("_a").to_numpy().view(U64), np.diff(offs) // 8)
+            node, token, tied = ties(node, token)
             if len(tied):
-                yield _packed([int(tied[0, 0]) % width], [tied[:, 0].copy()], [tied[:, 1].copy()], [None], 1)
-            node, sig = node[new], sig[new]
-            target = (sig >> U64(40)) % U64(width)
-            order = np.lexsort((sig, target))
-            node, sig, target = node[order], sig[order], target[order]
-            cut = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1], [True]]))
-            ps, tables, sigs, idx = [], [], [], []
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                table, index = np.unique(node[a:b], return_inverse=True)
-                low = (sig[a:b] & U64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8)[:, :5]
-                ps.append(int(target[a])), tables.append(table), sigs.append(np.ascontiguousarray(low)), idx.append(index.astype(np.uint32 if len(table) > 65536 else np.uint16))
-            yield _packed(ps, tables, sigs, idx, 0)
-
-    def _packed(p, x, y, z, kind):
-        return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array([kind] * len(p), pa.int8()), *(pa.array([None if v is None else v.tobytes() for v in c], pa.binary()) for c in (x, y, z))], names=["_p", "_k", "_x", "_y", "_z"])
+                yield packed([int(tied[0, 0] % U64(width))], [np.ascontiguousarray(tied[:, 0])], [np.ascontiguousarray(tied[:, 1])], 1)
+            target = (mix(token) % U64(width)).astype(np.int64)
+            order = np.argsort(target, kind="stable")
+            cut = np.flatnonzero(np.concatenate([[True], np.diff(target[order]) != 0, [True]]))
+            spans = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
+            yield packed([int(target[order[i]]) for i, _ in spans], [node[order[i:j]] for i, j in spans], [token[order[i:j]] for i, j in spans], 0)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, sig, ties = [], [], []
+        node, token, found = [], [], []
         for batch in batches:
-            for p, k, x, y, z in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for k, x, y in zip(*(batch.column(c).to_pylist() for c in ("_k", "_x", "_y"))):
+                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
                 if k == 1:
-                    ties.append(np.stack([np.frombuffer(x, U64), np.frombuffer(y, U64)], 1))
-                    continue
-                table = np.frombuffer(x, U64)
-                low = np.zeros((len(y) // 5, 8), np.uint8)
-                low[:, :5] = np.frombuffer(y, np.uint8).reshape(-1, 5)
-                low[:, 5:7] = np.frombuffer(np.array([p], "<u2").tobytes(), np.uint8)
-                sig.append(low.view(U64).ravel())
-                node.append(table[np.frombuffer(z, np.uint32 if len(z) == 4 * len(low) else np.uint16)])
+                    found.append(np.stack([x, y], 1))
+                else:
+                    node.append(x), token.append(y)
         if node:
-            node, sig = np.concatenate(node), np.concatenate(sig)
-            order = np.lexsort((node, sig))
-            node, sig = node[order], sig[order]
-            new = np.concatenate([[True], sig[1:] != sig[:-1]])
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            ties.append(np.stack([node, node[lead]], 1)[~new])
-        if ties:
-            pairs = np.unique(np.concatenate(ties), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+            found.append(ties(np.concatenate(node), np.concatenate(token))[2])
+        if found:
+            pairs = np.unique(np.concatenate(found), axis=0)
             for k in range(0, len(pairs), 100_000):
                 own = np.ascontiguousarray(pairs[k : k + 100_000].T).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1])], names=["u", "v"])
 
-    dealt = docs.select(text).mapInArrow(sign, "_p int, _k byte, _x binary, _y binary, _z binary").repartition(parts, "_p")
+    dealt = suspects.select("_a", "_tokens").mapInArrow(deal, "_p int, _k byte, _x binary, _y binary").repartition(parts, "_p")
     return dealt.mapInArrow(meet, "u long, v long")
 
 
@@ -300,25 +302,20 @@ def link(sets: list[np.ndarray], t: Fraction) -> np.ndarray:
     return root
 
 
-def _search(docs: DataFrame, text: str, members: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """u, v: links that span the components of each block.  members: _d, _v, _a, _block, _chunks."""
+def _search(members: DataFrame, t: Fraction) -> DataFrame:
+    """u, v: links that span the components of each block.  members: _a, _set, _block, _chunks."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = string_buffers(batch.column(text))
-            a, block, chunks = (batch.column(c).to_numpy() for c in ("_a", "_block", "_chunks"))
-            for lo, hi in row_groups(offs):
-                row, h = shingle_sets(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], n)
-                size = np.bincount(row, minlength=hi - lo)
-                body = binary_column(h, size * 8)
-                g = chunks[lo:hi]
-                own = (mix(a[lo:hi].view(U64)) % g.astype(U64)).astype(np.int64)
-                # A set of chunk c goes to every pair (i, j) of chunks with c among them.
-                times = np.repeat(np.arange(hi - lo), g)
-                other = np.concatenate([np.arange(k) for k in g.tolist()]) if len(g) else np.zeros(0, np.int64)
-                c = own[times]
-                pair = np.minimum(c, other) * g[times] + np.maximum(c, other)
-                yield pa.RecordBatch.from_arrays([pa.array(block[lo:hi][times]), pa.array(pair), pa.array(a[lo:hi][times]), body.take(pa.array(times))], names=["_block", "_pair", "_a", "_set"])
+            a, block, g = (batch.column(c).to_numpy() for c in ("_a", "_block", "_chunks"))
+            own = (mix(a.view(U64)) % g.astype(U64)).astype(np.int64)
+            # A set of chunk c goes to every pair (i, j) of chunks with c among them.
+            times = np.repeat(np.arange(len(a)), g)
+            other = np.concatenate([np.arange(k) for k in g.tolist()]) if len(g) else np.zeros(0, np.int64)
+            pair = np.minimum(own[times], other) * g[times] + np.maximum(own[times], other)
+            for lo in range(0, len(times), 2000):
+                s = slice(lo, lo + 2000)
+                yield pa.RecordBatch.from_arrays([pa.array(block[times[s]]), pa.array(pair[s].astype(np.int64)), pa.array(a[times[s]]), batch.column("_set").take(pa.array(times[s]))], names=["_block", "_pair", "_a", "_set"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(a, body):
@@ -334,16 +331,17 @@ def _search(docs: DataFrame, text: str, members: DataFrame, n: int, t: Fraction)
                     if len(a) > 1:
                         out += settle(a, body)
                     key, a, body = k[:2], [], []
-                a.append(k[2]), body.append(k[3])
+                if not a or a[-1] != k[2]:  # several batches may hold the same set
+                    a.append(k[2]), body.append(k[3])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["u", "v"])
                 out = []
         if len(a) > 1 and (out := settle(a, body)):
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["u", "v"])
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("_d", "_v", text).join(members, KEY).mapInArrow(sets, "_block long, _pair long, _a long, _set binary")
-    return rows.repartition(parts, "_block", "_pair").sortWithinPartitions("_block", "_pair").mapInArrow(search, "u long, v long")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = members.mapInArrow(sets, "_block long, _pair long, _a long, _set binary")
+    return rows.repartition(parts, "_block", "_pair").sortWithinPartitions("_block", "_pair", "_a").mapInArrow(search, "u long, v long")
 
 
 def near_components(docs: DataFrame, threshold: str, shingle: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -351,13 +349,10 @@ def near_components(docs: DataFrame, threshold: str, shingle: int, key: str = "d
     t = Fraction(threshold)
     rows = keyed(docs.select(key, text), key, text)
     facts = checkpointed(_facts(rows, text, shingle))  # 32 bytes a document
-    blocks = components(_candidates(rows, text, shingle, t)).select(F.col("node").alias("_a"), F.col("root").alias("_block"))
-    blocks = checkpointed(blocks)
+    suspects = checkpointed(_suspects(rows, text, shingle, t))  # the sets of documents that may have a partner
+    blocks = checkpointed(components(_candidates(suspects)).select(F.col("node").alias("_a"), F.col("root").alias("_block")))
     chunks = blocks.groupBy("_block").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_chunks"))
-    # One document for each set of a block.
-    one = facts.join(blocks, "_a").groupBy("_a", "_block").agg(F.min(F.struct("_d", "_v")).alias("_x")).select("_a", "_block", "_x._d", "_x._v")
-    # Rows that agree in id and text would send their set twice: the search drops nothing by that, equal sets link.
-    links = checkpointed(_search(rows, text, one.join(chunks, "_block"), shingle, t))
+    links = checkpointed(_search(suspects.select("_a", "_set").join(blocks.join(chunks, "_block"), "_a"), t))
     roots = components(links).select(F.col("node").alias("_a"), F.col("root").alias("_root"))
     return facts.join(roots, "_a", "left").select("_d", "_v", F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, F.coalesce("_root", "_a")).alias("_component"))
 

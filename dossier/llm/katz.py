@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas import types as arrow_types
 
-from dossier.llm._text import LOWER, SPACE, U64, mix, string_buffers, word_hashes, word_spans
+from dossier.llm._text import LOWER, SPACE, U64, mix, planes, string_buffers, whole, word_hashes, word_spans
 
 #: Counts up to K are discounted; bytes of text in a batch; count of a context for each partition of its pairs.
 K, BATCH_BYTES, SPREAD = 5, 8 << 20, 500_000
@@ -37,17 +37,6 @@ _END, _BOS, _UNKNOWN = U64(1), U64(0), (1 << 40) - 1
 _ROW = "_b long, _k byte, _p int, _x binary, _y binary"
 
 
-def planes(x: np.ndarray, width: int = 5) -> bytes:
-    """Non-negative integers as byte planes: the upper ones are zeros, which compress to nothing."""
-    return np.ascontiguousarray(x.astype(U64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def whole(raw: bytes, width: int = 5) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
-    return out.view(np.int64).ravel()
-
-
 class Batch:
     """The tokens of some documents.  Everything here follows from the texts alone, whatever their order."""
 

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from dossier.llm._pack import pack, unpack
 from dossier.llm._text import BYTE_CODE, LOWER, NON_ALNUM, U64, Members, prefix_sums, row_groups, span_hashes, string_buffers, word_spans
 
-TRAIN_ROWS, TRAIN_BYTES, MIN_DOCS, SURPRISE = 6000, 32_768, 3, 4.0
+TRAIN_ROWS, TRAIN_BYTES, MIN_DOCS, SURPRISE = 3000, 32_768, 3, 4.0
 STEMS = (4, 5, 6)
 #: A sentence ends at one of . ! ? or a line's end.
 _STOP = np.zeros(256, bool)
