@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from dossier.llm._text import U64, binary_column, gram_hashes, mix, prefix_sums, ragged, row_groups, sliding_min, string_buffers
 
 #: Rows of one gram beyond which its windows travel one by one, and symbol bytes that are judged at once.
-HOT, GROUP_BYTES = 6_000, 3 << 19
+HOT, GROUP_BYTES = 5_000, 1 << 20
 _POS = U64((1 << 28) - 1)
 KEY = ["_d", "_v"]
 
@@ -285,7 +285,7 @@ def judge(rows: DataFrame, kind: Kind, find: Callable, keep_first: bool) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last_h = [], 0, None
         previous = None  # of the hot windows: digest, id and start of the group's first, and whether it is still alone
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             k = batch.column("_kind").to_numpy()
             passed = batch.filter(pa.array((k == 1) | ((k == 3) & (not keep_first))))
             if passed.num_rows:
