@@ -32,7 +32,7 @@ from pyspark.sql.pandas import types as arrow_types
 from dossier.llm._text import LOWER, SPACE, U64, mix, planes, string_buffers, whole, word_hashes, word_spans
 
 #: Counts up to K are discounted; bytes of text in a batch; count of a context for each partition of its pairs.
-K, BATCH_BYTES, SPREAD = 5, 8 << 20, 500_000
+K, BATCH_BYTES, SPREAD = 5, 6 << 20, 500_000
 _END, _BOS, _UNKNOWN = U64(1), U64(0), (1 << 40) - 1
 _ROW = "_b long, _k byte, _p int, _x binary, _y binary"
 
