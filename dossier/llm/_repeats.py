@@ -6,7 +6,7 @@ offsets, and neighbouring windows mostly share one, so there is about one anchor
 
 1. `anchors`: one row for each document and distinct anchor gram.
 2. `shared_grams`: rows sorted by gram; grams that stand at one place only drop out.  A gram of more
-   than HOT rows is marked hot.  The rows stream by; nothing is gathered.
+   than HOT runs is marked hot.  The rows stream by; nothing is gathered.
 3. `contexts`: for each anchor with a shared gram, the symbols its windows cover, sent to the gram's
    partition.  Windows of hot grams travel one by one under a digest of the whole window instead, so
    that no task gets a hot gram's rows.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from dossier.llm._text import U64, binary_column, gram_hashes, mix, prefix_sums, ragged, row_groups, sliding_min, string_buffers
 
-#: Rows of one gram beyond which its windows travel one by one, and symbol bytes that are judged at once.
+#: Runs of one gram beyond which its windows travel one by one, and symbol bytes that are judged at once.
 HOT, GROUP_BYTES = 5_000, 1 << 20
 _POS = U64((1 << 28) - 1)
 KEY = ["_d", "_v"]
@@ -75,7 +75,7 @@ def _pieces(batch: pa.RecordBatch, text: str, kind: Kind):
 
 
 def anchors(docs: DataFrame, text: str, kind: Kind) -> DataFrame:
-    """_h, _d, _v, _many (the gram is the anchor of several runs of the document)."""
+    """_h, _d, _v, _n (of how many runs of the document the gram is the anchor)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,24 +87,24 @@ def anchors(docs: DataFrame, text: str, kind: Kind) -> DataFrame:
                 at = np.lexsort((h, row))
                 row, h = row[at], h[at]
                 start = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])]))
-                many = np.diff(np.append(start, len(h))) > 1
+                count = np.diff(np.append(start, len(h))).astype(np.int32)
                 r = row[start] + lo
-                yield pa.RecordBatch.from_arrays([pa.array(h[start].view(np.int64)), pa.array(d[r]), pa.array(v[r]), pa.array(many)], names=["_h", "_d", "_v", "_many"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[start].view(np.int64)), pa.array(d[r]), pa.array(v[r]), pa.array(count)], names=["_h", "_d", "_v", "_n"])
 
-    return docs.select("_d", "_v", text).mapInArrow(run, "_h long, _d long, _v long, _many boolean")
+    return docs.select("_d", "_v", text).mapInArrow(run, "_h long, _d long, _v long, _n int")
 
 
 def shared_grams(rows: DataFrame, hot: int) -> DataFrame:
     """_d, _v, _grams, _hot: each document's shared grams, and those of them that are hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(h, d, v, many, is_hot):
+        def out(h, d, v, n, is_hot):
             if len(h):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, d, v, np.full(len(h), is_hot))], names=["_h", "_d", "_v", "_is_hot"])
 
         carry, burning = None, None
         for batch in batches:
-            now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("_h", "_d", "_v", "_many"))
+            now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("_h", "_d", "_v", "_n"))
             if burning is not None:
                 k = int(np.searchsorted(now[0], burning, "right"))
                 yield from out(*(x[:k] for x in now), True)
@@ -121,7 +121,7 @@ def shared_grams(rows: DataFrame, hot: int) -> DataFrame:
             keep = int(start[-1])
             yield from settle(tuple(x[:keep] for x in now), start[:-1], out)
             carry = tuple(x[keep:] for x in now)
-            if len(carry[0]) > hot:
+            if carry[3].sum() > hot:
                 yield from out(*carry, True)
                 burning, carry = carry[0][0], None
         if carry is not None and len(carry[0]):
@@ -131,8 +131,8 @@ def shared_grams(rows: DataFrame, hot: int) -> DataFrame:
         if not len(start):
             return
         size = np.diff(np.append(start, len(now[0])))
-        shared = (size > 1) | np.logical_or.reduceat(now[3].astype(bool), start)
-        hot_group = size > hot
+        runs = np.add.reduceat(now[3].astype(np.int64), start)
+        shared, hot_group = runs > 1, runs > hot
         for is_hot in (False, True):
             mask = np.repeat(shared & (hot_group == is_hot), size)
             yield from out(*(x[mask] for x in now), is_hot)
@@ -182,8 +182,12 @@ def contexts(docs: DataFrame, text: str, kind: Kind) -> DataFrame:
                 row, lo, hi, h = row[use], lo[use], hi[use], h[use]
                 if not len(h):
                     continue
-                # Short runs come in numbers only from periodic text: of equal windows in them the document sends one.
-                short = np.flatnonzero(hi - lo < max(2, (L - kind.gram) // 40))
+                # Of equal windows in one document one is sent: they have one gram, which stands there several times.
+                by = np.lexsort((h, row))
+                twin = np.zeros(len(h), bool)
+                twin[by[1:]] = (h[by[1:]] == h[by[:-1]]) & (row[by[1:]] == row[by[:-1]])
+                twin[by[:-1]] |= twin[by[1:]]
+                short = np.flatnonzero(twin)
                 keep = np.ones(len(h), bool)
                 if len(short) > 1:
                     places = ragged(lo[short], hi[short] - lo[short] + 1)
