@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 
 _NONE = 1 << 62
-#: Bounds of a worker's table of met pieces: entries of each of its two generations (about 50 MB each), and bytes of a piece that is kept.
-CACHE_PIECES, CACHE_BYTES = 250_000, 48
+#: Bounds of a worker's table of met pieces: entries of each of its two generations (about 35 MB each), and bytes of a piece that is kept.
+CACHE_PIECES, CACHE_BYTES = 160_000, 48
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:

@@ -39,7 +39,7 @@ from dossier.llm._repeats import KEY, keyed
 from dossier.llm._text import LOWER, SPACE, U64, binary_column, gram_hashes, mix, planes, prefix_sums, row_groups, span_hashes, string_buffers, whole, word_hashes, word_spans
 
 #: Sets of a block that are searched in one task; bytes of text whose shingles are counted at once.
-BLOCK, BATCH_BYTES = 4000, 8 << 20
+BLOCK, BATCH_BYTES = 4000, 4 << 20
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,22 +75,6 @@ def set_digests(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray,
     return size, digest
 
 
-def _facts(docs: DataFrame, text: str, n: int) -> DataFrame:
-    """_d, _v, _n (set size), _a (set digest) of every document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offs = string_buffers(batch.column(text))
-            sizes, digests = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
-            for lo, hi in row_groups(offs):
-                row, h = shingle_sets(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], n)
-                s, d = set_digests(row, h, hi - lo)
-                sizes.append(s), digests.append(d)
-            yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_v"), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(digests).view(np.int64))], names=["_d", "_v", "_n", "_a"])
-
-    return docs.select("_d", "_v", text).mapInArrow(run, "_d long, _v long, _n long, _a long")
-
-
 def _batch_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row and hash of the shingles of a batch's distinct sets, and each row's set size and digest."""
     buf, offs = string_buffers(column)
@@ -120,7 +104,10 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 def _suspects(docs: DataFrame, text: str, n: int, t: Fraction) -> DataFrame:
-    """_a, _set, _tokens: sets that hold, among their rarest shingles, some that other sets hold too (_tokens)."""
+    """_d, _v, _n (set size), _a (set digest) of every document, and for suspects _set and _tokens (else empty).
+
+    A suspect's set holds, among its rarest shingles, some that other sets hold too: its tokens.  Of equal
+    sets of a batch the first row has them."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
     batches = max(parts, -(-size // BATCH_BYTES))
@@ -144,16 +131,13 @@ def _suspects(docs: DataFrame, text: str, n: int, t: Fraction) -> DataFrame:
         return _table([(b, p, planes(total[inverse[cut[i] : cut[i + 1]]], 1), b"") for i, b in enumerate(asked)])
 
     def choose(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, kinds = ["_a", "_set", "_tokens"], [pa.int64(), pa.binary(), pa.binary()]
-        none = pa.table([pa.array([], k) for k in kinds], names=names)
+        names, kinds = ["_d", "_v", "_n", "_a", "_set", "_tokens"], [pa.int64()] * 4 + [pa.binary()] * 2
         if not left.num_rows:
-            return none
+            return pa.table([pa.array([], k) for k in kinds], names=names)
         row, h, size, digest = _batch_sets(left[text].combine_chunks(), n)
-        if not len(h):
-            return none
         key = _rarity_keys(h, width)
         known = np.unique(key)
-        replies = np.concatenate([whole(x, 1) for x in right.sort_by("_p")["_x"].to_pylist()])
+        replies = np.concatenate([np.zeros(0, np.int64), *(whole(x, 1) for x in right.sort_by("_p")["_x"].to_pylist())])
         assert len(replies) == len(known), "a table of shingles did not answer"
         holders = replies[np.searchsorted(known, key)]
         order = np.lexsort((h, key, holders, row))
@@ -163,13 +147,12 @@ def _suspects(docs: DataFrame, text: str, n: int, t: Fraction) -> DataFrame:
         own = row[order]
         use = (place < prefix[own]) & (holders[order] > 1)
         chosen = np.bincount(own[use], minlength=len(size))
-        some = np.flatnonzero(chosen)
-        tokens = binary_column(h[order][use], chosen[some] * 8)
         member = chosen[row] > 0
-        return pa.table([pa.array(digest[some].view(np.int64)), binary_column(h[member], size[some] * 8), tokens], names=names)
+        lists = [binary_column(h[member], np.where(chosen > 0, size, 0) * 8), binary_column(h[order][use], chosen * 8)]
+        return pa.table([left["_d"], left["_v"], pa.array(size), pa.array(digest.view(np.int64)), *lists], names=names)
 
     replies = dealt.groupBy("_b").applyInArrow(ask, _ROW).groupBy("_p").applyInArrow(answer, _ROW)
-    return dealt.groupBy("_b").cogroup(replies.groupBy("_b")).applyInArrow(choose, "_a long, _set binary, _tokens binary")
+    return dealt.groupBy("_b").cogroup(replies.groupBy("_b")).applyInArrow(choose, "_d long, _v long, _n long, _a long, _set binary, _tokens binary")
 
 
 def _candidates(suspects: DataFrame) -> DataFrame:
@@ -348,8 +331,8 @@ def near_components(docs: DataFrame, threshold: str, shingle: int, key: str = "d
     """_d, _v, n_shingles, _component (a long; documents with the same are linked; null for an empty set) per row of docs."""
     t = Fraction(threshold)
     rows = keyed(docs.select(key, text), key, text)
-    facts = checkpointed(_facts(rows, text, shingle))  # 32 bytes a document
-    suspects = checkpointed(_suspects(rows, text, shingle, t))  # the sets of documents that may have a partner
+    found = checkpointed(_suspects(rows, text, shingle, t))  # few documents have a set here
+    facts, suspects = found.select("_d", "_v", "_n", "_a"), found.where(F.octet_length("_tokens") > 0).select("_a", "_set", "_tokens")
     blocks = checkpointed(components(_candidates(suspects)).select(F.col("node").alias("_a"), F.col("root").alias("_block")))
     chunks = blocks.groupBy("_block").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_chunks"))
     links = checkpointed(_search(suspects.select("_a", "_set").join(blocks.join(chunks, "_block"), "_a"), t))
