@@ -8,6 +8,7 @@ from urllib.parse import urljoin, urlparse
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossier import refdata as R
 
@@ -20,6 +21,10 @@ TITLE_HINTS = ("title", "position", "role", "job")
 MAX_TEXT, MAX_EXCERPT = 20_000, 500
 
 
+def _strings(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
 class _Page(HTMLParser):
     """Title, visible text, meta tags and links of a page."""
 
@@ -68,7 +73,7 @@ def collapse(parts: list[str]) -> str:
     return " ".join(" ".join(parts).split())
 
 
-@F.pandas_udf("title string, text string, published_at string, description string")
+@F.pandas_udf(_strings("title", "text", "published_at", "description"))
 def page_content(html: pd.Series) -> pd.DataFrame:
     """Title (or og:title), visible text (white space collapsed, MAX_TEXT characters), raw date, description."""
 
@@ -80,7 +85,7 @@ def page_content(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x) for x in html], columns=["title", "text", "published_at", "description"])
 
 
-@F.pandas_udf("array<struct<url:string,text:string>>")
+@F.pandas_udf(T.ArrayType(_strings("url", "text")))
 def page_links(html: pd.Series, base: pd.Series) -> pd.Series:
     """Absolute http(s) links to the page's own host, with their text, in page order."""
 
@@ -135,7 +140,7 @@ def _walk(node):
             yield from _walk(c)
 
 
-@F.pandas_udf("array<struct<name:string,title:string,bio:string,email:string,phone:string>>")
+@F.pandas_udf(T.ArrayType(_strings("name", "title", "bio", "email", "phone")))
 def page_people(html: pd.Series) -> pd.Series:
     """People on a page: innermost elements whose class or id hints at one, with a name (first heading, or an
     element named so), a title, the longest paragraph of 40 characters, a mail and a phone (link, else as

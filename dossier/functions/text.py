@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 
@@ -77,13 +78,13 @@ def domain_of_url(c: Column) -> Column:
     return F.when((strip(c) != "") & (bare != ""), bare)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no such function."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio of two texts.  Not symmetric: the first is the stored value."""
     from difflib import SequenceMatcher

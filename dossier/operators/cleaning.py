@@ -113,10 +113,13 @@ def clean(df: DataFrame, profile: Profile | None = None) -> DataFrame:
 
 
 def audit_trail(cleaned: DataFrame, key: str) -> DataFrame:
-    """One row per change and warning, in run order within a record."""
-    changes = cleaned.select(key, F.posexplode("changes").alias("position", "x")).select(key, "position", F.lit("change").alias("kind"), "x.rule_id", "x.field_name", F.col("x.old_value").alias("old_value"), F.col("x.new_value").alias("new_value"), F.lit(None).cast("string").alias("code"))
-    warnings = cleaned.select(key, F.posexplode("warnings").alias("position", "x")).select(key, "position", F.lit("warning").alias("kind"), "x.rule_id", F.array_join("x.field_names", ",").alias("field_name"), F.lit(None).cast("string").alias("old_value"), F.lit(None).cast("string").alias("new_value"), "x.code")
-    return changes.unionByName(warnings)
+    """One row per change and warning, in run order within a record.
+
+    explode_outer, here and below: for a plain explode Catalyst infers a filter on the array and pushes it
+    through the stack of projections, copying what it reads at every level."""
+    changes = cleaned.select(key, F.posexplode_outer("changes").alias("position", "x")).select(key, "position", F.lit("change").alias("kind"), "x.rule_id", "x.field_name", F.col("x.old_value").alias("old_value"), F.col("x.new_value").alias("new_value"), F.lit(None).cast("string").alias("code"))
+    warnings = cleaned.select(key, F.posexplode_outer("warnings").alias("position", "x")).select(key, "position", F.lit("warning").alias("kind"), "x.rule_id", F.array_join("x.field_names", ",").alias("field_name"), F.lit(None).cast("string").alias("old_value"), F.lit(None).cast("string").alias("new_value"), "x.code")
+    return changes.unionByName(warnings).where("rule_id is not null")
 
 
 def rule_metrics(cleaned: DataFrame, profile: Profile | None = None) -> DataFrame:
@@ -125,12 +128,12 @@ def rule_metrics(cleaned: DataFrame, profile: Profile | None = None) -> DataFram
     spark = cleaned.sparkSession
     rules = spark.createDataFrame([(r.id, r.stage, r.category) for r in RULES if profile.enabled(r.id)], "rule_id string, stage string, category string")
     total = cleaned.agg(F.count("*").alias("records_evaluated"))
-    changed = cleaned.select(F.explode("changes").alias("x"), F.array_distinct(F.col("changes.rule_id")).alias("ids")).groupBy(F.col("x.rule_id").alias("rule_id")).agg(F.count("*").alias("changes"))
-    affected = cleaned.select(F.explode(F.array_distinct("changes.rule_id")).alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("records_affected"))
-    warned = cleaned.select(F.explode("warnings.rule_id").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("warnings"))
+    changed = cleaned.select(F.explode_outer("changes").alias("x")).groupBy(F.col("x.rule_id").alias("rule_id")).agg(F.count("*").alias("changes"))
+    affected = cleaned.select(F.explode_outer(F.array_distinct("changes.rule_id")).alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("records_affected"))
+    warned = cleaned.select(F.explode_outer("warnings.rule_id").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("warnings"))
     out = rules.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one").drop("_one")  # one row
     for part in (affected, changed, warned):
-        out = out.join(F.broadcast(part), "rule_id", "left")  # at most a row a rule
+        out = out.join(F.broadcast(part.where("rule_id is not null")), "rule_id", "left")  # at most a row a rule
     return out.na.fill(0, ["records_affected", "changes", "warnings"])
 
 
