@@ -12,6 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+# Freed Arrow buffers go back to the system: idle Python workers keep little.
+pa.set_memory_pool(pa.system_memory_pool())
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)

@@ -111,7 +111,7 @@ def _suspects(docs: DataFrame, text: str, n: int, t: Fraction) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
     batches = max(parts, -(-size // BATCH_BYTES))
-    width = parts
+    width = 4 * parts  # tables of shingles: each is counted in memory
     dealt = docs.select("_d", "_v", text).withColumn("_b", F.pmod(F.xxhash64("_d", "_v"), F.lit(batches)).cast("long")).repartition(parts, "_b")
 
     def ask(table: pa.Table) -> pa.Table:

@@ -81,12 +81,14 @@ def flag(docs: DataFrame, text: str, length: int, hot: int | None = None, anchor
     return repeated(docs, text, kind(length, anchor), find, False, hot)
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", hot: int | None = None, anchor: int = ANCHOR, q: int = BUCKET) -> DataFrame:
-    """docs plus n_bytes long, removed_spans array<struct<start, end>> (bytes; maximal), kept_bytes binary."""
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", hot: int | None = None, anchor: int = ANCHOR, q: int = BUCKET, as_text: bool = False) -> DataFrame:
+    """docs plus n_bytes long, removed_spans array<struct<start, end>> (bytes; maximal), kept_bytes binary.
+
+    as_text: instead of kept_bytes, _kept string (null for a null text); a character that a cut goes through goes whole."""
     names = ["n_bytes", "removed_spans", "kept_bytes"]
     clean = docs.drop(*names)
     found = flag(keyed(clean, key, text), text, length, hot, anchor, q).drop(*KEY)
-    schema = T.StructType([*clean.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("removed_spans", _SPANS), T.StructField("kept_bytes", T.BinaryType())])
+    schema = T.StructType([*clean.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("removed_spans", _SPANS), T.StructField("_kept", T.StringType()) if as_text else T.StructField("kept_bytes", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,6 +107,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
                 spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)), pairs)
                 kept = binary_column(piece[~gone], np.diff(before[o]))
                 part = batch.slice(lo, hi - lo)
+                if as_text:
+                    there = part.column(text).is_valid().to_pylist()
+                    kept = pa.array([b.decode("utf-8", "ignore") if t else None for b, t in zip(kept.to_pylist(), there)], pa.string())
                 columns = [c for c, n in zip(part.columns, part.schema.names) if n != "_runs"]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(o)), spans, kept], names=schema.names)
 
@@ -115,25 +120,5 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text
     """The documents without their repeated strings, with their own columns.  A character that a cut
     goes through goes whole; a null text stays null."""
     names = {"_key": key, "_text": text}
-    found = dedup_substrings(pack(docs, **names), length, "_key", "_text")
-    return unpack(_whole_characters(found, "_text"), docs, {text: F.col("_kept")}, **names)
-
-
-def _whole_characters(found: DataFrame, text: str) -> DataFrame:
-    schema = T.StructType([*[f for f in found.schema.fields if f.name not in ("n_bytes", "removed_spans", "kept_bytes")], T.StructField("_kept", T.StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, kept, spans = batch.column(text), batch.column("kept_bytes"), batch.column("removed_spans")
-            out = []
-            for i in range(batch.num_rows):
-                if not texts[i].is_valid:
-                    out.append(None)
-                elif not len(spans[i]):
-                    out.append(texts[i].as_py())
-                else:
-                    out.append(kept[i].as_py().decode("utf-8", "ignore"))
-            columns = [batch.column(f.name) for f in schema.fields[:-1]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.string())], names=schema.names)
-
-    return found.mapInArrow(run, schema)
+    found = dedup_substrings(pack(docs, **names), length, "_key", "_text", as_text=True)
+    return unpack(found, docs, {text: F.col("_kept")}, **names)
