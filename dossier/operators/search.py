@@ -69,7 +69,7 @@ def crawl(seeds: DataFrame, links: DataFrame, pages: int = 8, depth: int = 2) ->
     found = seeds.join(fetched, "url", "left_semi").select("site", "url", F.lit(0).alias("level"), F.lit(0).alias("score"))
     frontier = found
     for level in range(1, depth + 1):
-        reached = frontier.join(links, "url").groupBy("site", F.col("link").alias("url")).agg(F.max(links["score"]).alias("score"))
+        reached = frontier.select("site", "url").join(links, "url").groupBy("site", F.col("link").alias("url")).agg(F.max("score").alias("score"))
         fresh = reached.join(found.select("site", "url"), ["site", "url"], "left_anti").join(fetched, "url", "left_semi").withColumn("level", F.lit(level)).select("site", "url", "level", "score")
         found = found.unionByName(fresh)
         frontier = fresh

@@ -1,6 +1,19 @@
-def queries():
-    return {}
+"""All named queries of the library, and the SQL of those that SQL can express."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from dossier.plans import cleaning_queries, page_queries, record_queries
+
+_MODULES = (cleaning_queries, record_queries, page_queries)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}

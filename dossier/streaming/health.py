@@ -34,7 +34,7 @@ def breaker(attempts: DataFrame, threshold: int = UNHEALTHY) -> DataFrame:
 
 def activity(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events and failures by window and user, late data within the watermark."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", window), "user_id")
+    w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "user_id")
     return w.agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("failures")).select(F.col("window.start").alias("start"), "user_id", "events", "failures")
 
 
