@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm import bpe, decontaminate, fingerprint, jaccard_join, katz, licenses, shard, suffix_dedup, suffix_tree_dedup, toxicity
+from dossier.llm.oracles import ORACLE_SQL
 
 RANKS, SHARDS = "byte_bpe_50k.tiktoken", 40
 
@@ -87,4 +88,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
