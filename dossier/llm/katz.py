@@ -50,12 +50,13 @@ class Batch:
             starts, ends, first = word_spans(piece, offs[lo : hi + 1] - offs[lo], SPACE)
             h = word_hashes(piece, starts, ends)
             hashes.append(np.insert(np.where(h < 16, h + U64(16), h), first[1:], _END))
-            docs.append(np.repeat(np.arange(lo, hi), np.diff(first) + 1))
+            docs.append(np.repeat(np.arange(lo, hi, dtype=np.int32), np.diff(first) + 1))
         token = np.concatenate(hashes) if hashes else np.zeros(0, U64)
         self.doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
         self.begin = np.ones(len(token), bool)
         self.begin[1:] = self.doc[1:] != self.doc[:-1]
-        self.words, self.token = np.unique(token, return_inverse=True)
+        self.words, inverse = np.unique(token, return_inverse=True)
+        self.token = inverse.astype(np.int32)
         self.use = self.train[self.doc] if len(token) else np.zeros(0, bool)
         self.part = (mix(self.words) % U64(parts)).astype(np.int64)
         self.order = np.argsort(self.part, kind="stable")
@@ -80,14 +81,14 @@ class Batch:
     def pair_keys(self, parts: int, starts: int):
         """Distinct known pairs and contexts, in the order in which they are asked for."""
         token = self.token
-        context = np.full(len(token), -1, np.int64)
+        context = np.full(len(token), -1, np.int32)
         context[1:] = token[:-1]
         context[self.begin] = -1
         wide = len(self.words) + 1
         known = np.append(self.count > 0, starts > 0)  # at -1: the start
         ok = known[context] & known[token]
-        key, inverse = np.unique((context[ok] + 1) * wide + token[ok], return_inverse=True)
-        self.pair = np.full(len(token), -1, np.int64)
+        key, inverse = np.unique((context[ok].astype(np.int64) + 1) * wide + token[ok], return_inverse=True)
+        self.pair = np.full(len(token), -1, np.int32)
         self.pair[ok] = inverse
         train = np.bincount(inverse, self.use[ok], len(key)).astype(np.int64)
         ctx, fol = key // wide - 1, key % wide
@@ -208,7 +209,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     facts = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.count(F.when(train, 1)).alias("s")).first()
     batches, starts = max(n, math.ceil((facts["b"] or 0) / BATCH_BYTES)), facts["s"]
-    words_p, pairs_p = n, 2 * n
+    words_p, pairs_p = n, 4 * n
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
     dealt = rows.withColumn("_b", F.pmod(F.xxhash64("_key", "_text"), F.lit(batches)).cast("long")).repartition(n, "_b")
 
