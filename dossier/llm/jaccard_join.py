@@ -13,8 +13,9 @@ their sets reaches the threshold.  The result is each document's component: no p
 2. Search.  Inside a block, sets are searched with DivideSkip: of the inverted lists of a query's
    shingles the short ones are merged with a heap, and documents with enough occurrences are probed
    for by binary search in the long ones.  A set that has joined a component is not searched for
-   again, so a group of copies costs about one query.  A block of more than BLOCK sets is split into
-   chunks and every pair of chunks searched, which bounds memory and drops nothing.
+   again, so a group of copies costs about one query.  A block of more than BLOCK sets is held against
+   one of them first, row by row; only what is not similar to it is searched for, in chunks, which
+   bounds memory and drops nothing.
 
 Defined cases: a document without words has an empty set and links with nothing, not even with another
 such; with fewer words than a shingle its whole word sequence is its only shingle; equal sets are one
@@ -31,12 +32,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossier.llm._components import components
 from dossier.llm._cut import checkpointed
 from dossier.llm._pack import pack, unpack
 from dossier.llm._repeats import KEY, keyed
-from dossier.llm._text import LOWER, SPACE, U64, binary_column, gram_hashes, mix, planes, prefix_sums, row_groups, span_hashes, string_buffers, whole, word_hashes, word_spans
+from dossier.llm._text import LOWER, SPACE, U64, binary_column, gram_hashes, mix, planes, prefix_sums, ragged, row_groups, span_hashes, string_buffers, whole, word_hashes, word_spans
 
 #: Sets of a block that are searched in one task; bytes of text whose shingles are counted at once.
 BLOCK, BATCH_BYTES = 4000, 4 << 20
@@ -285,20 +287,62 @@ def link(sets: list[np.ndarray], t: Fraction) -> np.ndarray:
     return root
 
 
+def _against_pivot(members: DataFrame, t: Fraction) -> DataFrame:
+    """members plus _pivot (the least set of the block) and _linked (similar to it, or it)."""
+    pivots = members.groupBy("_block").agg(F.min(F.struct("_a", "_set")).alias("_p")).select("_block", F.col("_p._a").alias("_pivot"), F.col("_p._set").alias("_other"))
+    names = [*members.columns, "_pivot"]
+    schema = T.StructType([*members.schema.fields, T.StructField("_pivot", T.LongType()), T.StructField("_linked", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for x, y in zip(batch.column("_set"), batch.column("_other")):
+                a, b = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                linked.append(common * t.denominator >= (len(a) + len(b) - common) * t.numerator)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(linked, pa.bool_())], names=schema.names)
+
+    return members.join(pivots, "_block").select(*names, "_other").mapInArrow(run, schema)
+
+
+def _links(members: DataFrame, t: Fraction) -> DataFrame:
+    """u, v: links that span the components of each block.  members: _a, _set, _block, _chunks.
+
+    A block of more than BLOCK sets is first held against one of them, its pivot; what is similar to the
+    pivot is one component already and need not be compared with itself.  The rest, mostly few, is
+    searched against all, chunk by chunk."""
+    whole_blocks = members.where("_chunks = 1").withColumns({"_rest": F.lit(1), "_is_rest": F.lit(True)})
+    large = members.where("_chunks > 1")
+    if large.isEmpty():
+        return _search(whole_blocks, t)
+    judged = checkpointed(_against_pivot(large, t))
+    tied = judged.where("_linked and _a <> _pivot").select(F.col("_a").alias("u"), F.col("_pivot").alias("v"))
+    rest = judged.where("not _linked").groupBy("_block").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_rest"))
+    left = judged.join(rest, "_block").select("_a", "_set", "_block", "_chunks", "_rest", (~F.col("_linked")).alias("_is_rest"))
+    return tied.unionByName(_search(whole_blocks.unionByName(left), t))
+
+
 def _search(members: DataFrame, t: Fraction) -> DataFrame:
-    """u, v: links that span the components of each block.  members: _a, _set, _block, _chunks."""
+    """u, v: links found between the rest and all sets of each block.  members: _a, _set, _block, _chunks (of all
+    sets), _rest (chunks of the rest), _is_rest."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, block, g = (batch.column(c).to_numpy() for c in ("_a", "_block", "_chunks"))
-            own = (mix(a.view(U64)) % g.astype(U64)).astype(np.int64)
-            # A set of chunk c goes to every pair (i, j) of chunks with c among them.
-            times = np.repeat(np.arange(len(a)), g)
-            other = np.concatenate([np.arange(k) for k in g.tolist()]) if len(g) else np.zeros(0, np.int64)
-            pair = np.minimum(own[times], other) * g[times] + np.maximum(own[times], other)
+            a, block, g, r, is_rest = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_a", "_block", "_chunks", "_rest", "_is_rest"))
+            g, r = g.astype(np.int64), r.astype(np.int64)
+            digest = mix(a.view(U64))
+            own, own_rest = (digest % g.astype(U64)).astype(np.int64), (digest % r.astype(U64)).astype(np.int64)
+            # Group (i, j): chunk i of the rest and chunk j of all.  Every set goes to all i with its own j; one of
+            # the rest also to all j with its own i.
+            every, some = np.arange(len(a)), np.flatnonzero(is_rest)
+            t1, i1 = np.repeat(every, r), ragged(np.zeros(len(a), np.int64), r)
+            keep = ~(is_rest[t1] & (i1 == own_rest[t1]))
+            t2, j2 = np.repeat(some, g[some]), ragged(np.zeros(len(some), np.int64), g[some])
+            times = np.concatenate([t1[keep], t2])
+            pair = np.concatenate([(i1 * g[t1] + own[t1])[keep], own_rest[t2] * g[t2] + j2])
             for lo in range(0, len(times), 2000):
                 s = slice(lo, lo + 2000)
-                yield pa.RecordBatch.from_arrays([pa.array(block[times[s]]), pa.array(pair[s].astype(np.int64)), pa.array(a[times[s]]), batch.column("_set").take(pa.array(times[s]))], names=["_block", "_pair", "_a", "_set"])
+                yield pa.RecordBatch.from_arrays([pa.array(block[times[s]]), pa.array(pair[s]), pa.array(a[times[s]]), batch.column("_set").take(pa.array(times[s]))], names=["_block", "_pair", "_a", "_set"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(a, body):
@@ -335,7 +379,7 @@ def near_components(docs: DataFrame, threshold: str, shingle: int, key: str = "d
     facts, suspects = found.select("_d", "_v", "_n", "_a"), found.where(F.octet_length("_tokens") > 0).select("_a", "_set", "_tokens")
     blocks = checkpointed(components(_candidates(suspects)).select(F.col("node").alias("_a"), F.col("root").alias("_block")))
     chunks = blocks.groupBy("_block").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_chunks"))
-    links = checkpointed(_search(suspects.select("_a", "_set").join(blocks.join(chunks, "_block"), "_a"), t))
+    links = checkpointed(_links(suspects.select("_a", "_set").join(blocks.join(chunks, "_block"), "_a"), t))
     roots = components(links).select(F.col("node").alias("_a"), F.col("root").alias("_root"))
     return facts.join(roots, "_a", "left").select("_d", "_v", F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, F.coalesce("_root", "_a")).alias("_component"))
 
