@@ -79,6 +79,7 @@ def clean(df: DataFrame, profile: Profile | None = None) -> DataFrame:
     now = {c: c for c in df.columns}  # field -> the column that holds its latest value
     kinds = dict(df.dtypes)
     captured: list[tuple[Rule, str, str, str | None]] = []
+    touched: dict[str, str] = {}  # rule -> the column that says whether it counts the record as affected
     for stage in (SAFE, BUSINESS):
         for rule in RULES:
             if rule.stage != stage or not profile.enabled(rule.id):
@@ -89,10 +90,13 @@ def clean(df: DataFrame, profile: Profile | None = None) -> DataFrame:
                 column = f"_{rule.id[4:]}_{name}"
                 new[column] = value
                 captured.append((rule, name, column, now.get(name)))
+            if rule.touches:
+                touched[rule.id] = f"_{rule.id[4:]}_touched_"
+                new[touched[rule.id]] = F.coalesce(rule.touches(record, profile.params(rule.id)), F.lit(False))
             if new:
                 out = out.withColumns(new)
                 kinds.update({c: t for c, t in out.dtypes if c in new})
-                now.update({c.split("_", 2)[2]: c for c in new})
+                now.update({c.split("_", 2)[2]: c for c in new if c not in touched.values()})
     text = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")
     changes = []
     for rule, name, column, before in captured:
@@ -100,7 +104,10 @@ def clean(df: DataFrame, profile: Profile | None = None) -> DataFrame:
         changes.append(F.when(differs, F.struct(F.lit(rule.id).alias("rule_id"), F.lit(name).alias("field_name"), text(before).alias("old_value"), text(column).alias("new_value"), F.lit(rule.stage).alias("stage"))))
     found = F.filter(F.array(*changes), lambda x: x.isNotNull()) if changes else F.array().cast(f"array<{CHANGE}>")
     fields = [*df.columns, *[f for f in now if f not in df.columns]]
-    out = out.select(*[F.col(f"`{now[f]}`").alias(f) for f in fields], found.cast(f"array<{CHANGE}>").alias("changes"))
+    marks = F.array(*[F.when(F.col(f"`{c}`"), F.lit(r)) for r, c in touched.items()]) if touched else F.array().cast("array<string>")
+    out = out.select(*[F.col(f"`{now[f]}`").alias(f) for f in fields], found.cast(f"array<{CHANGE}>").alias("changes"), marks.alias("_marks"))
+    affected = F.array_distinct(F.concat(F.col("changes.rule_id"), F.filter("_marks", lambda x: x.isNotNull())))
+    out = out.select(*fields, "changes", affected.alias("affected"))
     record = Record({f: F.col(f"`{f}`") for f in fields}, {f: t for f, t in out.dtypes})
     notes = []
     for rule in RULES:
@@ -123,13 +130,13 @@ def audit_trail(cleaned: DataFrame, key: str) -> DataFrame:
 
 
 def rule_metrics(cleaned: DataFrame, profile: Profile | None = None) -> DataFrame:
-    """Per enabled rule: rows evaluated, affected (with a change), changes, warnings.  One shuffle of a few rows."""
+    """Per enabled rule: rows evaluated, affected (some rules count a record that they would have changed alike), changes, warnings.  One shuffle of a few rows."""
     profile = profile or Profile()
     spark = cleaned.sparkSession
     rules = spark.createDataFrame([(r.id, r.stage, r.category) for r in RULES if profile.enabled(r.id)], "rule_id string, stage string, category string")
     total = cleaned.agg(F.count("*").alias("records_evaluated"))
     changed = cleaned.select(F.explode_outer("changes").alias("x")).groupBy(F.col("x.rule_id").alias("rule_id")).agg(F.count("*").alias("changes"))
-    affected = cleaned.select(F.explode_outer(F.array_distinct("changes.rule_id")).alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("records_affected"))
+    affected = cleaned.select(F.explode_outer("affected").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("records_affected"))
     warned = cleaned.select(F.explode_outer("warnings.rule_id").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("warnings"))
     out = rules.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one").drop("_one")  # one row
     for part in (affected, changed, warned):

@@ -64,6 +64,8 @@ class Rule:
     default: bool = True
     writes: tuple[str, ...] = ()
     validate: Callable[[Any], None] | None = field(default=None, compare=False)
+    #: Whether the rule counts a record as affected although nothing may have changed; none: only if something did.
+    touches: Callable[[Record, dict], Column] | None = field(default=None, compare=False)
 
 
 def each(change: Callable[[Column, dict], Column], *fields: str):
@@ -408,6 +410,28 @@ def domains_differ(r: Record, params: dict) -> list[Draft]:
     return [Draft((a != b) & ~a.isin(*params.get("generic_domains", R.GENERIC_DOMAINS)), "EMAIL_DOMAIN_COMPANY_DOMAIN_MISMATCH", message, ("email", "url"))]
 
 
+# ---- what counts as affected -----------------------------------------------------------------------------
+
+
+def has_token(name: str, table: dict, pattern: str = r"(\s+|\S+)", bare: bool = False, when: Callable[[Record], Column] | None = None):
+    """A word of the text stands in the table, whether or not it is written as there."""
+
+    def touches(r: Record, params: dict) -> Column:
+        c = r.text(name)
+        if c is None:
+            return F.lit(False)
+        key = lambda t: X.rstrip_chars(F.lower(t), ".,") if bare else F.lower(t)
+        found = F.exists(F.regexp_extract_all(c, F.lit(pattern), 1), lambda t: key(t).isin(*table))
+        return found & when(r) if when else found
+
+    return touches
+
+
+def has_value(*names: str):
+    """One of the numbers is there."""
+    return lambda r, p: reduce(lambda a, b: a | b, [r.number(n).isNotNull() for n in names if r.number(n) is not None], F.lit(False))
+
+
 # ---- configuration checks --------------------------------------------------------------------------------
 
 
@@ -437,8 +461,8 @@ def _registry() -> list[Rule]:
     def safe(n, category, name, fields, apply, writes=()):
         out.append(Rule(f"CLN-{n:03}", name, category, SAFE, fields, apply, True, writes or fields))
 
-    def business(n, category, name, fields, apply, default, writes=(), validate=None):
-        out.append(Rule(f"CLN-{n:03}", name, category, BUSINESS, fields, apply, default, writes or fields, validate))
+    def business(n, category, name, fields, apply, default, writes=(), validate=None, touches=None):
+        out.append(Rule(f"CLN-{n:03}", name, category, BUSINESS, fields, apply, default, writes or fields, validate, touches))
 
     def check(n, category, name, fields, apply):
         out.append(Rule(f"CLN-{n:03}", name, category, WARNING, fields, apply))
@@ -448,8 +472,8 @@ def _registry() -> list[Rule]:
     safe(1, "identity", "Trim identity text", f, whitespace(*f))
     business(2, "identity", "Name casing", names, each(name_case, *names), True)
     business(3, "identity", "Name suffix", ("last_name",), name_suffix, False, ("last_name", "name_suffix"))
-    business(4, "identity", "Title acronyms", ("title",), each(title_acronyms, "title"), True)
-    business(5, "identity", "Title abbreviations", ("title",), each(title_words, "title"), False)
+    business(4, "identity", "Title acronyms", ("title",), each(title_acronyms, "title"), True, touches=has_token("title", R.ACRONYMS, r"(\s+|[,/-]|[^\s,/-]+)"))
+    business(5, "identity", "Title abbreviations", ("title",), each(title_words, "title"), False, touches=has_token("title", R.TITLE_EXPANSIONS))
     check(6, "identity", "Missing name", names, missing(("first_name", "MISSING_FIRST_NAME", "First Name is missing."), ("last_name", "MISSING_LAST_NAME", "Last Name is missing.")))
     check(7, "identity", "First equals last name", names, identical("IDENTICAL_FIRST_LAST_NAME", "First Name and Last Name are identical.", ("first_name",), "last_name"))
     check(8, "identity", "Unexpected characters in a name", names, shape("UNEXPECTED_CHARACTERS_IN_NAME", "Name field contains characters outside the expected allow-list.", r"(?U)[^A-Za-z\s\-'À-ɏ]", *names))
@@ -488,14 +512,14 @@ def _registry() -> list[Rule]:
     business(37, "address", "State or province", ("state_or_province",), standardize("state_or_province", R.STATE_CODES, R.STATE_NAMES), False)
     business(38, "address", "Country", ("country",), standardize("country", R.COUNTRY_CODES, R.COUNTRY_NAMES), False)
     business(39, "address", "Postal code", ("postal_code",), each(postal_code, "postal_code"), False)
-    business(40, "address", "Street words", ("address_line_1", "country"), street, False, ("address_line_1",))
+    business(40, "address", "Street words", ("address_line_1", "country"), street, False, ("address_line_1",), touches=has_token("address_line_1", R.STREET_SUFFIXES, bare=True, when=lambda r: F.coalesce(country_code(r.any("country")) == "US", F.lit(False))))
     check(41, "address", "Incomplete address", ("city", "state_or_province", "postal_code"), address_parts)
     check(42, "address", "Postal code shape", ("postal_code", "country"), postal_shape)
     check(43, "address", "Address line equals city", ("address_line_1", "city"), identical("ADDRESS_LINE_DUPLICATES_CITY", "Address Line 1 duplicates City.", ("address_line_1",), "city"))
     safe(44, "financial", "Missing numbers", R.NUMERIC_FIELDS, missing_values(*R.NUMERIC_FIELDS, sentinels=("", "n/a", "null")))
     tags, rounded = tuple(f"{m}_currency" for m in R.MONEY_FIELDS), tuple(f"{m}_rounded" for m in R.MONEY_FIELDS)
     business(45, "financial", "Currency tag", R.MONEY_FIELDS, currency, False, tags, needs("CLN-045", "currency"))
-    business(46, "financial", "Unit scale", ("sales_usd", "assets_usd", "liabilities_usd"), scale, False, (), needs("CLN-046", "scale", lambda s: s in R.SCALES))
+    business(46, "financial", "Unit scale", ("sales_usd", "assets_usd", "liabilities_usd"), scale, False, (), needs("CLN-046", "scale", lambda s: s in R.SCALES), has_value("sales_usd", "assets_usd", "liabilities_usd"))
     business(47, "financial", "Rounding", R.MONEY_FIELDS, rounding, False, rounded)
     check(48, "financial", "Negative value", ("sales_usd", "assets_usd", "employees_total"), negative("IMPLAUSIBLE_NEGATIVE_VALUE", "sales_usd", "assets_usd", "employees_total"))
     check(49, "financial", "Site above total", ("employees_single_site", "employees_total"), greater("SINGLE_SITE_EXCEEDS_TOTAL_EMPLOYEES", "Employees (Single Site) exceeds Employees (Total).", "employees_single_site", "employees_total"))

@@ -85,3 +85,12 @@ def test_mapping_and_empty_table(spark):
     assert cleaning.clean(mapped.limit(0)).count() == 0
     assert cleaning.run_report(cleaning.clean(mapped)).first()["records"] == 1
     assert cleaning.audit_trail(cleaning.clean(mapped), "row_number").where(F.col("kind") == "warning").count() > 0
+
+
+def test_affected_counts_more_than_changes(spark):
+    r = run(spark, "title", ["CEO", "ceo", "Painter"], ("CLN-004",))
+    assert [(len(x["changes"]), x["affected"]) for x in r] == [(0, ["CLN-004"]), (1, ["CLN-004"]), (0, [])]
+    df = spark.createDataFrame([("CEO",), ("ceo",), ("Painter",)], "title string")
+    p = Profile(only=("CLN-004",))
+    m = cleaning.rule_metrics(cleaning.clean(df, p), p).first()
+    assert (m["records_affected"], m["changes"], m["records_evaluated"]) == (2, 1, 3)
