@@ -208,7 +208,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     facts = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.count(F.when(train, 1)).alias("s")).first()
-    batches, starts = max(n, math.ceil((facts["b"] or 0) / BATCH_BYTES)), facts["s"]
+    batches, starts = max(math.ceil(n / 2), math.ceil((facts["b"] or 0) / BATCH_BYTES)), facts["s"]
     words_p, pairs_p = n, 4 * n
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
     dealt = rows.withColumn("_b", F.pmod(F.xxhash64("_key", "_text"), F.lit(batches)).cast("long")).repartition(n, "_b")
