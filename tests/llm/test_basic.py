@@ -1,12 +1,10 @@
 """Operators 1, 2, 5, 7 and 9 against brute force."""
 
-import hashlib
 import random
 import re
 import zlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from dossier.llm import bpe, decontaminate, licenses, queries, shard, toxicity
 from tests.llm.common import corpus, docs, prose

@@ -2,8 +2,6 @@
 
 import hashlib
 
-from pyspark.sql import functions as F
-
 from dossier.llm import fingerprint
 from tests.llm.common import corpus, docs, prose
 
