@@ -128,6 +128,26 @@ def test_toxicity_finds_held_out_documents_and_their_sentences(spark):
     assert kept.columns == table.columns and kept.count() < len(rows)
 
 
+def test_toxicity_does_not_grow_with_length(spark):
+    rows, labels = _toxic(1)
+    clean = ". ".join(prose(12, 70_000 + k, 200) for k in range(400))
+    table = docs(spark, [*rows, (9000, "\n".join([clean] * 150)), (9001, clean + ". you awful wretch")])
+    model = toxicity.train(table, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    out = {r["doc_id"]: r for r in toxicity.toxicity(table.where("doc_id >= 9000"), model).collect()}
+    assert len(out[9000]["text"]) > 2_000_000 and out[9000]["score"] < 0.5 and out[9000]["toxic_sentences"] == []
+    assert out[9001]["score"] >= 0.5
+
+
+def test_toxicity_learns_from_long_documents(spark):
+    rows, labels = _toxic(1)
+    pad = ". ".join(prose(12, 80_000 + k, 200) for k in range(700))
+    rows = [(i, pad + ". " + t) for i, t in rows[:200]]
+    assert min(len(t) for _, t in rows) > 32_768
+    table = docs(spark, rows)
+    out = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.toxicity(table, toxicity.train(table, spark.createDataFrame(labels[:200], "doc_id long, toxic int"), ~toxicity.held_out())).where(toxicity.held_out()).collect()}
+    assert any(out.values()) and sum(out[i] == bool(y) for i, y in labels[:200] if i in out) >= 0.97 * len(out)
+
+
 def test_toxicity_without_labels_or_with_one_class(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     table = docs(spark, corpus())
