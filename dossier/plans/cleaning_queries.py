@@ -216,3 +216,56 @@ QUERIES["clean_rule_metrics"] = lambda spark, sf_dir: cleaning.rule_metrics(clea
 SQL["clean_rule_metrics"] = _with + f"SELECT rule_id, (SELECT count(*) FROM contacts) AS records_evaluated, count(DISTINCT CASE WHEN kind = 'change' THEN k END) AS records_affected, count(CASE WHEN kind = 'change' THEN 1 END) AS changes, count(CASE WHEN kind = 'warning' THEN 1 END) AS warnings FROM (SELECT unnest([{quoted(_few.only)}]) AS rule_id) r LEFT JOIN audit USING (rule_id) GROUP BY rule_id"
 QUERIES["clean_run_report"] = lambda spark, sf_dir: cleaning.run_report(cleaning.clean(contacts(spark, sf_dir), _few))
 SQL["clean_run_report"] = _with + "SELECT (SELECT count(*) FROM contacts) AS records, count(DISTINCT CASE WHEN kind = 'change' THEN k END) AS records_with_changes, count(DISTINCT CASE WHEN kind = 'warning' THEN k END) AS records_with_warnings, count(CASE WHEN kind = 'change' THEN 1 END) AS changes, count(CASE WHEN kind = 'warning' THEN 1 END) AS warnings FROM audit"
+
+# ---- the same of a whole run: all rules of the default profile --------------------------------------------------
+
+_mail = lambda x: _MAIL.format(x=x)
+_at = lambda x: f"CASE WHEN contains({x}, '@') THEN regexp_extract({x}, '^(.*)@[^@]*$', 1) || '@' || lower(string_split({x}, '@')[-1]) ELSE {x} END"
+_names, _emails, _phones, _address = ("first_name", "last_name"), ("email", "company_email"), ("direct_phone", "phone"), ("address_line_1", "city", "state_or_province", "postal_code", "country")
+#: Rule, field, value before and after it; each sees what the rules before it made.
+_STEPS = [
+    *[("CLN-001", f, f, norm(f)) for f in (*_names, "title", "contact_level")],
+    *[("CLN-011", f, f, _mail(f)) for f in _emails],
+    *[("CLN-012", f, f, _PHONE.format(x=f)) for f in _phones],
+    *[("CLN-013", f, _mail(f), _at(_mail(f))) for f in _emails],
+    *[("CLN-024", f, f, norm(f)) for f in ("company_name", "ownership_type", "parent_company", "business_description")],
+    ("CLN-025", "duns_number", "duns_number", strip("duns_number")),
+    *[("CLN-035", f, f, norm(f)) for f in _address],
+    ("CLN-036", "address_line_1", norm("address_line_1"), f"nullif({norm('address_line_1')}, '')"),
+    *[("CLN-051", f, f, norm(f)) for f in ("industry_label", "naics_description")],
+    ("CLN-052", "naics_code", "naics_code", strip("naics_code")),
+    *[("CLN-056", f, f, norm(f)) for f in ("source", "url")],
+    *[("CLN-002", f, norm(f), name_case(norm(f))) for f in _names],
+    ("CLN-004", "title", norm("title"), acronyms(norm("title"))),
+    *[("CLN-014", f, _at(_mail(f)), _low(f)) for f in _emails],
+    ("CLN-028", "is_headquarters", "is_headquarters", _BOOL("is_headquarters")),
+    ("CLN-058", "tps_flag", "tps_flag", _BOOL("tps_flag")),
+]
+#: Derived from cleaned fields.
+_DERIVED = [("CLN-015", "primary_email", _first("email", "company_email")), ("CLN-017", "primary_phone", _first("direct_phone", "phone"))]
+_codes = ",".join(a for a, _ in R.CODE_PAIRS)
+#: Fields of each condition's warning, in the order of CONDITIONS.
+_NOTED = {
+    "CLN-006": _names, "CLN-007": ("first_name,last_name",), "CLN-008": _names, "CLN-009": ("title",), "CLN-010": ("contact_level,title",), "CLN-018": ("email",), "CLN-019": _emails, "CLN-020": ("email",),
+    "CLN-021": ("direct_phone,phone",), "CLN-022": _phones, "CLN-023": _phones, "CLN-029": ("company_name",), "CLN-030": ("company_name,parent_company",), "CLN-031": ("ticker,ownership_type",),
+    "CLN-032": ("business_description",), "CLN-033": ("duns_number",), "CLN-034": ("key_id",), "CLN-041": ("city,state_or_province,postal_code",), "CLN-042": ("postal_code,country",), "CLN-043": ("address_line_1,city",),
+    "CLN-048": ("sales_usd", "assets_usd", "employees_total"), "CLN-049": ("employees_single_site,employees_total",), "CLN-050": ("assets_usd,pre_tax_profit_usd,liabilities_usd,sales_usd",), "CLN-053": ("naics_code,naics_description",),
+    "CLN-054": ("naics_code",), "CLN-055": (f"{_codes},industry_label",), "CLN-060": ("source",), "CLN-061": ("url",), "CLN-062": ("dedup_id",), "CLN-063": ("email,direct_phone,phone",),
+    "CLN-064": ("first_name,last_name,company_name",), "CLN-065": ("address_line_1,company_name",), "CLN-066": ("email,url",), "CLN-068": (f"sales_usd,industry_label,{_codes}",),
+}
+_row = "SELECT k, '{kind}' AS kind, '{rule}' AS rule_id, '{field}' AS field_name, {old} AS old_value, {new} AS new_value, {code} AS code FROM {table} WHERE {when}"
+_all = " UNION ALL ".join([
+    *[_row.format(kind="change", rule=r, field=f, old=old, new=new, code="CAST(NULL AS varchar)", table="contacts", when=f"({old}) IS DISTINCT FROM ({new})") for r, f, old, new in _STEPS],
+    *[_row.format(kind="change", rule=r, field=f, old="NULL", new=new, code="NULL", table="c", when=f"({new}) IS NOT NULL") for r, f, new in _DERIVED],
+    *[_row.format(kind="warning", rule=r, field=f, old="NULL", new="NULL", code=f"'{code}'", table="c", when=when) for r, fs in _NOTED.items() for f, (code, when) in zip(fs, CONDITIONS[r], strict=True)],
+])
+#: Rules without a field among the contacts (CLN-044 looks at text only) still run.
+_RULES = sorted({r for r, *_ in (*_STEPS, *_DERIVED)} | set(CONDITIONS) | {"CLN-044", "CLN-059"})
+_acronym = f"len(list_filter(regexp_extract_all({norm('title')}, '(\\s+|[,/-]|[^\\s,/-]+)'), lambda t: lower(t) IN ({quoted(R.ACRONYMS)}))) > 0"
+_run = CLEAN + f", audit AS MATERIALIZED ({_all}), affected AS (SELECT rule_id, k FROM audit WHERE kind = 'change' UNION SELECT 'CLN-004', k FROM contacts WHERE {_acronym}) "
+QUERIES["clean_audit_trail_all"] = lambda spark, sf_dir: cleaning.audit_trail(cleaning.clean(contacts(spark, sf_dir)), "k").drop("position")
+SQL["clean_audit_trail_all"] = _run + "SELECT * FROM audit"
+QUERIES["clean_rule_metrics_all"] = lambda spark, sf_dir: cleaning.rule_metrics(cleaning.clean(contacts(spark, sf_dir))).drop("stage", "category")
+SQL["clean_rule_metrics_all"] = _run + f"SELECT rule_id, (SELECT count(*) FROM contacts) AS records_evaluated, (SELECT count(*) FROM affected a WHERE a.rule_id = r.rule_id) AS records_affected, count(CASE WHEN kind = 'change' THEN 1 END) AS changes, count(CASE WHEN kind = 'warning' THEN 1 END) AS warnings FROM (SELECT unnest([{quoted(_RULES)}]) AS rule_id) r LEFT JOIN audit USING (rule_id) GROUP BY rule_id"
+QUERIES["clean_run_report_all"] = lambda spark, sf_dir: cleaning.run_report(cleaning.clean(contacts(spark, sf_dir)))
+SQL["clean_run_report_all"] = _run + SQL["clean_run_report"].removeprefix(_with)

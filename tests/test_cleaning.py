@@ -94,3 +94,23 @@ def test_affected_counts_more_than_changes(spark):
     p = Profile(only=("CLN-004",))
     m = cleaning.rule_metrics(cleaning.clean(df, p), p).first()
     assert (m["records_affected"], m["changes"], m["records_evaluated"]) == (2, 1, 3)
+
+
+def test_reports_of_a_whole_run_equal_sql(spark):
+    from collections import Counter
+
+    import duckdb
+
+    from dossier.plans import registry
+
+    folder = "/root/testdata/sf0.001"
+    with duckdb.connect() as db:
+        for t in ("customer", "nation"):
+            db.sql(f"CREATE VIEW {t} AS FROM '{folder}/{t}.parquet'")
+        for name in ("clean_audit_trail_all", "clean_rule_metrics_all", "clean_run_report_all"):
+            out = registry.queries()[name](spark, folder)
+            peer = db.sql(registry.oracle_sql()[name])
+            assert out.columns == peer.columns
+            assert Counter(map(tuple, out.collect())) == Counter(peer.fetchall()), name
+            if name == "clean_rule_metrics_all":
+                assert {r["rule_id"] for r in out.collect()} == {r.id for r in RULES if r.default} and out.count() == 54
