@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from dossier.llm._pack import pack, unpack
 from dossier.llm._text import BYTE_CODE, LOWER, NON_ALNUM, U64, Members, prefix_sums, row_groups, span_hashes, string_buffers, word_spans
 
-TRAIN_ROWS, MIN_DOCS, SURPRISE = 3000, 3, 4.0
+TRAIN_ROWS, MIN_DOCS, SURPRISE = 6000, 3, 4.0
 #: The fit's probability that a document is toxic by none of its known words.
 LEAK = 0.01
 STEMS = (4, 5, 6)
