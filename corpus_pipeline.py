@@ -4,6 +4,7 @@ near copies stays, repeated passages are cut, contaminated documents go, and the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dossier.llm import bpe, decontaminate, jaccard_join, queries, suffix_dedup, toxicity
 
@@ -25,8 +26,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the ids; they are decoded again, and the run fails where that does not give the text."""
     ranks, pattern = queries.tokenizer(spark)
-    return bpe.encode_decode(docs, ranks, pattern, decoded=None)
+    out = bpe.encode_decode(docs, ranks, pattern, decoded="_decoded")
+    same = F.col("_decoded").eqNullSafe(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return out.where(F.when(same, F.lit(True)).otherwise(F.raise_error(F.lit("the round trip of a text failed")).cast("boolean"))).drop("_decoded")
 
 
 STAGES = [("toxicity", toxic), ("ngram_jaccard_join", near_copies), ("suffix_array_dedup", repeated_passages), ("decontamination", decontamination), ("bpe", tokens)]

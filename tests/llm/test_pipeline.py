@@ -1,7 +1,10 @@
 """The corpus pipeline: every stage acts, keeps clean documents, and bears any table."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from dossier.llm import jaccard_join, queries, suffix_dedup, toxicity
+from dossier.llm import bpe, jaccard_join, queries, suffix_dedup, toxicity
 from tests.llm.common import corpus, prose
 
 
@@ -66,6 +69,20 @@ def test_odd_tables(spark, tmp_path):
     assert 0 < len(out) < len(rows)
 
 
+def test_last_stage_decodes_and_holds_the_text_against_it(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one Two  三\n"), (2, ""), (3, None)], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.tokens(spark, docs, "").collect()} == {1, 2, 3}
+    real = bpe.encode_decode
+
+    def wrong(*args, decoded, **named):
+        assert decoded
+        return real(*args, decoded=decoded, **named).withColumn(decoded, F.lit(b"other"))
+
+    monkeypatch.setattr(bpe, "encode_decode", wrong)
+    with pytest.raises(Exception, match="round trip"):
+        corpus_pipeline.tokens(spark, docs, "").collect()
+
+
 def test_defaults():
     assert [s for s, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "suffix_array_dedup", "decontamination", "bpe"]
     assert suffix_dedup.LENGTH == 200 and jaccard_join.keep_one.__defaults__[:2] == ("0.8", 5) and toxicity.TRAIN_ROWS <= 10_000
