@@ -1,6 +1,10 @@
 """Operator 4 against brute force."""
 
 import hashlib
+import struct
+
+import pytest
+import xxhash
 
 from dossier.llm import fingerprint
 from tests.llm.common import corpus, docs, prose
@@ -52,3 +56,39 @@ def test_repeated_rows_one_row_and_no_row(spark):
 def test_no_python_in_the_plan(spark):
     plan = fingerprint.compare_edited(docs(spark, corpus()))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def plain(text):
+    """One-permutation MinHash word by word."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in (text or "").replace("\x1c", " ").split()]
+    bins = {}
+    for i in range(max(1, len(words) - 4)):
+        h = 42
+        for w in words[i : i + 5]:
+            h = xxhash.xxh64(struct.pack("<Q", w), seed=h).intdigest()
+        b = (signed(h) >> 57) + 64
+        bins[b] = min(bins.get(b, 1 << 64), h & 0xFFFFFFFFFFFFFFFF)
+    order = fingerprint._order()
+    return "".join(f"{bins[next(j for j in [i] + [i ^ m for m in order] if j in bins)] & 255:02x}" for i in range(128))
+
+
+def test_fingerprint_is_the_plain_one(spark):
+    rows = [*corpus(), (200, " lead and trail \n"), (201, "a b c d"), (202, "a b c d e"), (203, prose(2500, 4, 900))]
+    out = fingerprint.compare_edited(docs(spark, rows)).collect()
+    order = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1] or ""))
+    want = []
+    for k, (i, t) in enumerate(order):
+        t, following = t or "", order[(k + 1) % len(order)][1] or ""
+        q = len(t) // 4
+        want.append((i, plain(t), plain(t[: len(t) - q] + following[:q])))
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["fingerprint"], r["edited_fingerprint"])) for r in out)
+    named = docs(spark, rows).withColumnsRenamed({"extra": "_row", "lang": "_text"})
+    again = fingerprint.fingerprints(named.withColumnRenamed("doc_id", "_o__bits"))
+    assert again.columns == ["_o__bits", "text", "_text", "_row", "fingerprint"]
+    assert sorted(map(str, ((r["_o__bits"], r["fingerprint"]) for r in again.collect()))) == sorted(map(str, ((i, p) for i, p, _ in want)))
+
+
+def test_ids_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError):
+        fingerprint.compare_edited(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
