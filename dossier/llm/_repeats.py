@@ -6,15 +6,19 @@ offsets, and neighbouring windows mostly share one, so there is about one anchor
 
 1. `anchors`: one row for each document and distinct anchor gram.
 2. `shared_grams`: rows sorted by gram; grams that stand at one place only drop out.  A gram of more
-   than HOT runs is marked hot.  The rows stream by; nothing is gathered.
+   than HOT runs is marked hot.  The rows (28 bytes a document) stream by; nothing is gathered.
 3. `contexts`: for each anchor with a shared gram, the symbols its windows cover, sent to the gram's
-   partition.  Windows of hot grams travel one by one under a digest of the whole window instead, so
-   that no task gets a hot gram's rows.
-4. `judge`: partitions are sorted by gram and taken in memory-sized groups of whole grams; the
-   operator's own index (suffix buckets, suffix tree) finds the repeated windows of a group.  Hot
-   windows are judged as they stream by.
+   partition.  For a hot gram that prefix is too short: its windows are told apart by their whole
+   length.  They travel one by one, with their symbols, to the partition of the longer prefix, and of
+   equal ones in a batch one.
+4. `judge`: partitions are sorted by prefix and taken in memory-sized groups of whole prefixes; the
+   operator's own index finds the equal windows of a group.  Windows of a long prefix stream by: of
+   each, one is carried on.
 5. the flagged window starts go back to their documents.
 
+Whether windows are equal is always said by the operator's index over their symbols (suffix buckets,
+suffix tree): `classes(symbols, starts)` gives a number for each window, the same for equal ones.
+
 A document is known by its id and a hash of its text, so ids need not be unique: rows that share both
 are judged as rows of their own, and get the same result.
 """
@@ -28,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm._text import U64, binary_column, gram_hashes, mix, prefix_sums, ragged, row_groups, sliding_min, string_buffers
+from dossier.llm._pack import whole_number
+from dossier.llm._text import U64, binary_column, gram_hashes, mix, prefix_sums, ragged, row_groups, sliding_min, span_hashes, string_buffers
 
-#: Runs of one gram beyond which its windows travel one by one, and symbol bytes that are judged at once.
+#: Runs of one gram beyond which it is split by longer prefixes, and symbol bytes that are judged at once.
 HOT, GROUP_BYTES = 5_000, 1 << 20
 _POS = U64((1 << 28) - 1)
 KEY = ["_d", "_v"]
@@ -49,6 +54,8 @@ class Kind:
         z = np.zeros(0, np.int64)
         if n <= 0:
             return z, z, z, z, np.zeros(0, U64), sums
+        if len(codes) > _POS:
+            raise ValueError(f"a text of more than {int(_POS)} symbols; cut it first")
         grams = gram_hashes(sums, self.gram)
         least = sliding_min((grams & ~_POS) | np.arange(len(grams), dtype=U64), L - self.gram + 1)
         anchor = (least & _POS).astype(np.int64)
@@ -65,6 +72,7 @@ class Kind:
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """docs plus _d (the id; null as the least long) and _v (a hash of the text)."""
+    whole_number(docs, key)
     return docs.withColumns({"_d": F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), "_v": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
 
 
@@ -142,22 +150,22 @@ def shared_grams(rows: DataFrame, hot: int) -> DataFrame:
     return found.groupBy(*KEY).agg(F.collect_set("_h").alias("_grams"), F.collect_set(F.when(F.col("_is_hot"), F.col("_h"))).alias("_hot"))
 
 
-_CONTEXT = "_h long, _kind byte, _h2 long, _d long, _v long, _lo int, _hi int, _symbols binary"
+_CONTEXT = "_h long, _kind byte, _d long, _v long, _lo int, _hi int, _symbols binary"
 
 
-def contexts(docs: DataFrame, text: str, kind: Kind) -> DataFrame:
-    """Rows of kind 0 (a run of windows with their symbols), 1 (starts that repeat in their own
-    document; judged) or 2 (one window of a hot gram, under its digest)."""
+def contexts(docs: DataFrame, text: str, kind: Kind, classes: Callable) -> DataFrame:
+    """Rows of kind 0 (a run of windows with their symbols), 2 (one window of a hot gram, under its whole
+    length), 1 (starts that repeat in their own batch; judged) or 3 (starts that those repeat)."""
     L = kind.window
 
-    def emit(h, k, h2, d, v, lo, hi, symbols):
+    def emit(h, k, d, v, lo, hi, symbols):
         n = len(h)
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(n, k, np.int8)), pa.array(h2), pa.array(d), pa.array(v), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), symbols or pa.nulls(n, pa.binary())], names=[x.split()[0] for x in _CONTEXT.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(n, k, np.int8)), pa.array(d), pa.array(v), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), symbols or pa.nulls(n, pa.binary())], names=[x.split()[0] for x in _CONTEXT.split(", ")])
 
     def settled(k, d, v, lo, hi):
         """Rows that need no judging go to any partition."""
         spread = mix(d.view(U64) + v.view(U64) * U64(3) + lo.astype(U64) * U64(0x9E3779B97F4A7C15)).view(np.int64)
-        return emit(spread, k, np.zeros(len(d), np.int64), d, v, lo, hi, None)
+        return emit(spread, k, d, v, lo, hi, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,10 +200,10 @@ def contexts(docs: DataFrame, text: str, kind: Kind) -> DataFrame:
                 if len(short) > 1:
                     places = ragged(lo[short], hi[short] - lo[short] + 1)
                     of = np.repeat(short, hi[short] - lo[short] + 1)
-                    digest = self_digest(sums, places, L, row[of])
-                    order = np.lexsort((places, digest))
+                    same = classes(symbols, places)
+                    order = np.lexsort((places, row[of], same))
                     again = np.zeros(len(places), bool)
-                    again[order[1:]] = digest[order[1:]] == digest[order[:-1]]
+                    again[order[1:]] = (same[order[1:]] == same[order[:-1]]) & (row[of[order[1:]]] == row[of[order[:-1]]])
                     # A run goes if all its windows stood before in this document.
                     gone = np.ones(len(h), bool)
                     gone[of[~again]] = False
@@ -218,64 +226,67 @@ def contexts(docs: DataFrame, text: str, kind: Kind) -> DataFrame:
                 if burning.any():
                     size = hi[burning] - lo[burning] + 1
                     places, of = ragged(lo[burning], size), np.repeat(np.flatnonzero(burning), size)
-                    one, two = window_digest(sums, places, L)
-                    at, start = row[of] + first_row, places - first[row[of]]
+                    at, start, same = row[of] + first_row, places - first[row[of]], classes(symbols, places)
                     # Combined here: of equal windows the earliest goes on, the others are judged by it.
-                    order = np.lexsort((start, d[at], two, one))
-                    one, two, at, start = one[order], two[order], at[order], start[order]
-                    new = np.ones(len(one), bool)
-                    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-                    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+                    order = np.lexsort((start, d[at], same))
+                    places, at, start, same = places[order], at[order], start[order], same[order]
+                    lead = _leads(same)
                     told = (d[at] != d[at[lead]]) | (start != start[lead])
                     ahead = np.unique(lead[told])
                     yield settled(1, d[at[told]], v[at[told]], start[told], start[told])
                     yield settled(3, d[at[ahead]], v[at[ahead]], start[ahead], start[ahead])
-                    yield emit(one[~told].view(np.int64), 2, two[~told].view(np.int64), d[at[~told]], v[at[~told]], start[~told], start[~told], None)
+                    left = np.flatnonzero(~told)
+                    for k in range(0, len(left), 5_000):
+                        own = left[k : k + 5_000]
+                        size = np.full(len(own), L)
+                        yield emit(span_hashes(sums, places[own], places[own] + L).view(np.int64), 2, d[at[own]], v[at[own]], start[own], start[own], binary_column(symbols[ragged(places[own], size)], size * kind.dtype.itemsize))
                     row, lo, hi, h = row[~burning], lo[~burning], hi[~burning], h[~burning]
                 for k in range(0, len(h), 20_000):
                     s = slice(k, k + 20_000)
                     size = hi[s] - lo[s] + L
                     at, base = row[s] + first_row, first[row[s]]
                     if len(size):
-                        yield emit(h[s].view(np.int64), 0, np.zeros(len(size), np.int64), d[at], v[at], lo[s] - base, hi[s] - base, binary_column(symbols[ragged(lo[s], size)], size * kind.dtype.itemsize))
+                        yield emit(h[s].view(np.int64), 0, d[at], v[at], lo[s] - base, hi[s] - base, binary_column(symbols[ragged(lo[s], size)], size * kind.dtype.itemsize))
 
     # All columns go in, used or not: pruning them here would give the exchange below another shape than the
     # result's, and the texts would be dealt twice.
     return docs.mapInArrow(run, _CONTEXT)
 
 
-def window_digest(sums: np.ndarray, places: np.ndarray, L: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each window: hashes of its two halves, mixed apart."""
-    from dossier.llm._text import span_hashes
-
-    half = L // 2
-    a, b = span_hashes(sums, places, places + half), span_hashes(sums, places + half, places + L)
-    return mix(a + U64(3) * b), mix(b ^ (a * U64(0x9E3779B97F4A7C15)))
-
+def _leads(sorted_classes: np.ndarray) -> np.ndarray:
+    """For each place of a sorted array the first place of its value."""
+    new = np.ones(len(sorted_classes), bool)
+    new[1:] = sorted_classes[1:] != sorted_classes[:-1]
+    return np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, np.int64)
 
-def self_digest(sums: np.ndarray, places: np.ndarray, L: int, row: np.ndarray) -> np.ndarray:
-    a, b = window_digest(sums, places, L)
-    return mix(a + b * U64(5) + row.astype(U64) * U64(0xD6E8FEB86659FD93))
 
+def judge(rows: DataFrame, kind: Kind, classes: Callable, keep_first: bool) -> DataFrame:
+    """_d, _v, _lo, _hi: runs of flagged window starts: all that repeat, or (keep_first) all but the earliest."""
+    item, L = kind.dtype.itemsize, kind.window
 
-def judge(rows: DataFrame, kind: Kind, find: Callable, keep_first: bool) -> DataFrame:
-    """_d, _v, _lo, _hi: runs of flagged window starts.
+    def repeat(same, d, start):
+        if not keep_first:
+            return np.bincount(same)[same] > 1 if len(same) else np.zeros(0, bool)
+        order = np.lexsort((start, d, same))
+        lead = order[_leads(same[order])]
+        mask = np.zeros(len(same), bool)
+        mask[order] = (d[order] != d[lead]) | (start[order] != start[lead])
+        return mask
 
-    find(symbols, begin, count, d, start) -> mask over all windows of a group, context after context;
-    begin: where each context's symbols begin; count: its windows; d, start: of each window."""
-    item = kind.dtype.itemsize
+    def symbols_of(table: pa.Table):
+        raw = table["_symbols"].chunk(0) if table["_symbols"].num_chunks else pa.array([], pa.binary())
+        data, offs = string_buffers(raw)
+        return np.ascontiguousarray(data).view(kind.dtype), offs[:-1] // item
 
     def group(parts: list[pa.RecordBatch]):
         t = pa.Table.from_batches(parts).combine_chunks()
-        raw = t["_symbols"].chunk(0) if t["_symbols"].num_chunks else pa.array([], pa.binary())
-        data, offs = string_buffers(raw)
-        symbols = np.ascontiguousarray(data).view(kind.dtype)
+        symbols, begin = symbols_of(t)
         d, v, lo, hi = (t[c].to_numpy() for c in ("_d", "_v", "_lo", "_hi"))
         lo, hi = lo.astype(np.int64), hi.astype(np.int64)
         count = hi - lo + 1
         of = np.repeat(np.arange(len(lo)), count)
         start = ragged(lo, count)
-        mask = find(symbols, offs[:-1] // item, count, d[of], start)
+        mask = repeat(classes(symbols, ragged(begin, count)), d[of], start)
         new = mask.copy()
         new[1:] &= ~mask[:-1] | (of[1:] != of[:-1])
         last = mask.copy()
@@ -283,35 +294,36 @@ def judge(rows: DataFrame, kind: Kind, find: Callable, keep_first: bool) -> Data
         a, b = np.flatnonzero(new), np.flatnonzero(last)
         return flagged(d[of[a]], v[of[a]], start[a], start[b])
 
+    def hot(batch: pa.RecordBatch, carried):
+        """Judges windows of long prefixes; carried, and returned: the first of each window of the last prefix, and whether it was flagged."""
+        t = pa.Table.from_batches([*([carried[0]] if carried else []), batch]).combine_chunks()
+        old = carried[0].num_rows if carried else 0
+        symbols, begin = symbols_of(t)
+        h, d, v, lo = (t[c].to_numpy() for c in ("_h", "_d", "_v", "_lo"))
+        same = classes(symbols, begin)
+        mask = repeat(same, d, lo.astype(np.int64))
+        say = mask.copy()
+        say[:old] &= ~carried[1] if carried else True
+        if keep_first:
+            say[:old] = False
+        at = np.flatnonzero(h == h[-1])
+        at = np.sort(at[np.unique(same[at], return_index=True)[1]])
+        return flagged(d[say], v[say], lo[say], lo[say]), (t.take(pa.array(at)).combine_chunks().to_batches()[0], mask[at])
+
     def flagged(d, v, lo, hi):
         return pa.RecordBatch.from_arrays([pa.array(d), pa.array(v), pa.array(np.asarray(lo).astype(np.int32)), pa.array(np.asarray(hi).astype(np.int32))], names=["_d", "_v", "_lo", "_hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last_h = [], 0, None
-        previous = None  # of the hot windows: digest, id and start of the group's first, and whether it is still alone
+        carried = None
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             k = batch.column("_kind").to_numpy()
             passed = batch.filter(pa.array((k == 1) | ((k == 3) & (not keep_first))))
             if passed.num_rows:
                 yield flagged(*(passed.column(c).to_numpy() for c in ("_d", "_v", "_lo", "_hi")))
             if (k == 2).any():
-                hot = batch.filter(pa.array(k == 2))
-                h, h2, d, v, lo = (hot.column(c).to_numpy() for c in ("_h", "_h2", "_d", "_v", "_lo"))
-                if previous is not None:
-                    h, h2, d, v, lo = (np.concatenate([[p], x]) for p, x in zip(previous[:5], (h, h2, d, v, lo)))
-                new = np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])])
-                start = np.flatnonzero(new)
-                lead = start[np.cumsum(new) - 1]
-                if keep_first:
-                    mask = (d != d[lead]) | (lo != lo[lead])
-                else:
-                    mask = np.repeat(np.diff(np.append(start, len(h))) > 1, np.diff(np.append(start, len(h))))
-                if previous is not None and (keep_first or previous[5]):
-                    mask[0] = False  # said before
-                yield flagged(d[mask], v[mask], lo[mask], lo[mask])
-                s = start[-1]  # the last group's first row stands for it in the next batch
-                seen = len(h) - s > 1 or (previous is not None and s == 0 and previous[5])
-                previous = (h[s], h2[s], d[s], v[s], lo[s], seen)
+                out, carried = hot(batch.filter(pa.array(k == 2)), carried)
+                yield out
             batch = batch.filter(pa.array(k == 0))
             while batch.num_rows:
                 h = batch.column("_h").to_numpy()
@@ -332,17 +344,17 @@ def judge(rows: DataFrame, kind: Kind, find: Callable, keep_first: bool) -> Data
             yield group(held)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = rows.repartition(n, "_h").sortWithinPartitions("_h", "_kind", "_h2", "_d", "_lo")
+    ready = rows.repartition(n, "_h").sortWithinPartitions("_h", "_kind", "_d", "_lo")
     return ready.mapInArrow(run, "_d long, _v long, _lo int, _hi int")
 
 
-def repeated(docs: DataFrame, text: str, kind: Kind, find: Callable, keep_first: bool, hot: int | None = None) -> DataFrame:
+def repeated(docs: DataFrame, text: str, kind: Kind, classes: Callable, keep_first: bool, hot: int | None = None) -> DataFrame:
     """docs (keyed) plus _runs: array<struct<_lo, _hi>> of flagged window starts, in symbols of the document (null: none)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.repartition(n, *KEY)  # one exchange, read for the contexts and for the result
     grams = shared_grams(anchors(docs, text, kind), HOT if hot is None else hot)
-    rows = contexts(dealt.join(grams, KEY), text, kind)
-    runs = judge(rows, kind, find, keep_first).groupBy(*KEY).agg(F.collect_list(F.struct("_lo", "_hi")).alias("_runs"))
+    rows = contexts(dealt.join(grams, KEY), text, kind, classes)
+    runs = judge(rows, kind, classes, keep_first).groupBy(*KEY).agg(F.collect_list(F.struct("_lo", "_hi")).alias("_runs"))
     return dealt.join(runs, KEY, "left")
 
 

@@ -3,11 +3,15 @@
 A byte goes if a string of `length` bytes over it also starts anywhere else, in this document or
 another.  Suffixes that can matter are brought together by `_repeats` (an anchor gram each).  Within a
 group, suffixes begin in buckets of equal q-grams; a bucket is refined by sorting its suffixes on the
-bucket pointers of the suffixes q further on, which doubles the depth, and the refined pointers are
-what the next round reads.  At depth `length` the buckets of two or more are the repeats.
-
-Defined cases: a null or empty text has no bytes; a text shorter than `length` keeps all; of repeated
-rows (same id and text) each is a place of its own, so long ones go; ids may be null or not unique.
+bucket pointers of the suffixes further on, which doubles the depth, and the refined pointers are what
+the next round reads: with the default of 16 bytes four rounds, to depths 32, 64, 128 and 200.  At depth
+`length` the buckets of two or more are the repeats.
+
+Defined cases: a null or empty text has no bytes; a text shorter than `length` keeps all; an empty table
+gives no rows; of repeated rows (same id and text) each is a place of its own, so long ones go; ids may
+be null or not unique, but are whole numbers (others raise TypeError); a text may have 2**28 bytes
+(longer ones raise ValueError) and is taken whole; columns of the table pass through whatever their
+names, but for those with the names of the output, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,9 +26,9 @@ from pyspark.sql import types as T
 
 from dossier.llm._pack import pack, unpack
 from dossier.llm._repeats import KEY, Kind, covered, keyed, repeated
-from dossier.llm._text import BYTE_CODE, binary_column, gram_hashes, prefix_sums, ragged, row_groups, string_buffers
+from dossier.llm._text import BYTE_CODE, binary_column, gram_hashes, prefix_sums, row_groups, string_buffers
 
-LENGTH, ANCHOR, BUCKET = 200, 48, 100
+LENGTH, ANCHOR, BUCKET = 200, 48, 16
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
@@ -36,63 +40,85 @@ def kind(length: int = LENGTH, anchor: int = ANCHOR) -> Kind:
     return Kind(_bytes, np.uint8, length, min(anchor, length))
 
 
-def refine(pointer: np.ndarray, suffixes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Splits the buckets of `suffixes` by the pointers `step` further on and updates their pointers.
-    Returns the suffixes in bucket order and where buckets begin."""
-    order = np.lexsort((pointer[suffixes + step], pointer[suffixes]))
-    s = suffixes[order]
-    b, k = pointer[s], pointer[s + step]
-    new = np.concatenate([[True], (b[1:] != b[:-1]) | (k[1:] != k[:-1])])
-    pointer[s] = np.cumsum(new).astype(np.uint64)  # read by the next rounds, here and at other suffixes
-    return s, new
-
-
-def repeats(codes: np.ndarray, suffixes: np.ndarray, length: int, q: int = BUCKET) -> np.ndarray:
-    """Mask over `suffixes`: another one begins with the same `length` symbols.
-
-    All suffixes of one group lie in `codes`; each has at least `length` symbols."""
-    if not len(suffixes):
-        return np.zeros(0, bool)
+class Buckets:
+    """Bucket pointers of suffixes: equal for two suffixes if they agree in their first `depth` symbols.
+
+    A bucket is refined by sorting its suffixes on the pointers of the suffixes `step` further on; the
+    refined pointers are what the later rounds read.  Buckets of one are not sorted again: nothing else
+    has their pointer at any greater depth."""
+
+    def __init__(self, codes: np.ndarray, suffixes: np.ndarray, q: int):
+        grams = gram_hashes(prefix_sums(codes), q)[suffixes]
+        order = np.argsort(grams)
+        self.pointer = np.zeros(len(codes) + 1, np.uint64)
+        self.several = np.zeros(len(codes) + 1, bool)  # suffixes in a bucket of two or more
+        self.rounds = self.used = 0
+        self._number(suffixes[order], grams[order])
+
+    def _number(self, suffixes: np.ndarray, keys: np.ndarray) -> None:
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        self.pointer[suffixes] = np.cumsum(new).astype(np.uint64) + np.uint64(self.used)
+        self.used += int(new.sum())
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        self.several[suffixes] = ~alone
+
+    def refine(self, suffixes: np.ndarray, step: int) -> None:
+        """Refines the buckets of `suffixes` from their depth to `step` more."""
+        suffixes = suffixes[self.several[suffixes]]
+        keys = self.pointer[suffixes] << np.uint64(32) | self.pointer[suffixes + step]
+        order = np.argsort(keys)
+        self._number(suffixes[order], keys[order])
+        self.rounds += 1
+
+
+def buckets(codes: np.ndarray, suffixes: np.ndarray, length: int, q: int = BUCKET) -> Buckets:
+    """The suffixes in buckets of depth `length`; each has at least `length` symbols."""
     q = min(q, length)
     depths = [q]
     while depths[-1] < length:
         depths.append(min(2 * depths[-1], length))
     steps = np.diff(depths).tolist()
     # Whose pointers the later rounds read: a suffix's own, and those further on.
-    rounds = [suffixes]
-    for step in reversed(steps[1:]):
-        rounds.append(np.unique(np.concatenate([rounds[-1], rounds[-1] + step])))
-    pointer = gram_hashes(prefix_sums(codes), q)
-    pointer = np.append(pointer, np.zeros(q, np.uint64))
-    s = suffixes[np.argsort(pointer[suffixes])]
-    new = np.concatenate([[True], pointer[s[1:]] != pointer[s[:-1]]])
-    for step, of in zip(steps, reversed(rounds)):
-        s, new = refine(pointer, of, step)
-    alone = new & np.append(new[1:], True)
-    mask = np.zeros(len(codes) + 1, bool)
-    mask[s[~alone]] = True
-    return mask[suffixes]
+    wanted = np.zeros(len(codes) + 1, bool)
+    wanted[suffixes] = True
+    rounds = [np.flatnonzero(wanted)]
+    for step in reversed(steps):
+        wanted[step:] |= wanted[:-step].copy()
+        rounds.append(np.flatnonzero(wanted))
+    out = Buckets(codes, rounds[-1], q)
+    for step, of in zip(steps, reversed(rounds[:-1])):
+        out.refine(of, step)
+    return out
+
+
+def classes(codes: np.ndarray, suffixes: np.ndarray, length: int, q: int = BUCKET) -> np.ndarray:
+    """A number for each suffix, the same for those that begin with the same `length` symbols."""
+    return buckets(codes, suffixes, length, q).pointer[suffixes].astype(np.int64) if len(suffixes) else np.zeros(0, np.int64)
 
 
 def flag(docs: DataFrame, text: str, length: int, hot: int | None = None, anchor: int = ANCHOR, q: int = BUCKET) -> DataFrame:
-    def find(symbols, begin, count, d, start):
-        return repeats(BYTE_CODE[symbols], ragged(begin, count), length, q)
+    return repeated(docs, text, kind(length, anchor), lambda symbols, starts: classes(BYTE_CODE[symbols], starts, length, q), False, hot)
+
 
-    return repeated(docs, text, kind(length, anchor), find, False, hot)
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", hot: int | None = None, anchor: int = ANCHOR, q: int = BUCKET) -> DataFrame:
+    """docs plus n_bytes long, removed_spans array<struct<start, end>> (bytes; maximal), kept_bytes binary."""
+    clean, names = docs.drop("n_bytes", "removed_spans", "kept_bytes"), {"_key": key, "_text": text}
+    found = _cut(pack(clean, **names), length, hot, anchor, q, False)
+    return unpack(found, clean, {}, {"n_bytes": F.col("_bytes"), "removed_spans": F.col("_spans"), "kept_bytes": F.col("_kept")}, **names)
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", hot: int | None = None, anchor: int = ANCHOR, q: int = BUCKET, as_text: bool = False) -> DataFrame:
-    """docs plus n_bytes long, removed_spans array<struct<start, end>> (bytes; maximal), kept_bytes binary.
+def _cut(packed: DataFrame, length: int, hot: int | None, anchor: int, q: int, as_text: bool) -> DataFrame:
+    """packed (_key, _text, _row) plus _bytes, _spans and _kept (binary).
 
-    as_text: instead of kept_bytes, _kept string (null for a null text); a character that a cut goes through goes whole."""
-    names = ["n_bytes", "removed_spans", "kept_bytes"]
-    clean = docs.drop(*names)
-    found = flag(keyed(clean, key, text), text, length, hot, anchor, q).drop(*KEY)
-    schema = T.StructType([*clean.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("removed_spans", _SPANS), T.StructField("_kept", T.StringType()) if as_text else T.StructField("kept_bytes", T.BinaryType())])
+    as_text: _kept is a string (null for a null text); a character that a cut goes through goes whole."""
+    found = flag(keyed(packed, "_key", "_text"), "_text", length, hot, anchor, q).select("_key", "_text", "_row", "_runs")
+    schema = T.StructType([*packed.schema.fields, T.StructField("_bytes", T.LongType()), T.StructField("_spans", _SPANS), T.StructField("_kept", T.StringType() if as_text else T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = string_buffers(batch.column(text))
+            buf, offs = string_buffers(batch.column("_text"))
             runs = batch.column("_runs")
             for lo, hi in row_groups(offs):
                 piece, o = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
@@ -108,10 +134,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
                 kept = binary_column(piece[~gone], np.diff(before[o]))
                 part = batch.slice(lo, hi - lo)
                 if as_text:
-                    there = part.column(text).is_valid().to_pylist()
+                    there = part.column("_text").is_valid().to_pylist()
                     kept = pa.array([b.decode("utf-8", "ignore") if t else None for b, t in zip(kept.to_pylist(), there)], pa.string())
-                columns = [c for c, n in zip(part.columns, part.schema.names) if n != "_runs"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(o)), spans, kept], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.diff(o)), spans, kept], names=schema.names)
 
     return found.mapInArrow(run, schema)
 
@@ -120,5 +145,5 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text
     """The documents without their repeated strings, with their own columns.  A character that a cut
     goes through goes whole; a null text stays null."""
     names = {"_key": key, "_text": text}
-    found = dedup_substrings(pack(docs, **names), length, "_key", "_text", as_text=True)
+    found = _cut(pack(docs, **names), length, None, ANCHOR, BUCKET, True)
     return unpack(found, docs, {text: F.col("_kept")}, **names)

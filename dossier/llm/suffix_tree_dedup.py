@@ -1,14 +1,19 @@
 """Substring deduplication on words by prefix-partitioned suffix trees.
 
 A word goes if a window of `window` words over it, with the same words, also starts earlier (in a
-document of smaller id, or earlier in this one).  Suffixes are split by prefix: the anchor gram, `gram`
-words, and where that prefix is too frequent for one group the whole window (`_repeats`).  Each group
-fits in memory and gets the suffix tree of its prefixes: suffixes in lexicographic order with their
-common prefix lengths, whose intervals are the tree's internal nodes.  The nodes at depth `window` and
-below are the repeats; the earliest leaf of each stays.
-
-Defined cases: a null or empty text has no words; with fewer words than a window all stay; rows with
-the same id are one document (a window at the same start is not earlier); null ids come first.
+document of smaller id, or earlier in this one).  Suffixes are split by prefixes of variable length: the
+anchor gram, `gram` words, and where that prefix is too frequent for one group the whole window
+(`_repeats`).  Each group fits in memory and gets the suffix tree of its prefixes: suffixes in
+lexicographic order with their common prefix lengths, whose intervals are the tree's internal nodes.
+The nodes at depth `window` are the repeats; the earliest leaf of each stays.
+
+Words are compared by 32 bits of their hash, so that windows of 20 words are told apart by 640 bits.
+
+Defined cases: a null or empty text has no words; with fewer words than a window all stay; an empty
+table gives no rows; rows with the same id are one document (a window at the same start is not earlier);
+null ids come first; ids are whole numbers (others raise TypeError); a text may have 2**28 words (longer
+ones raise ValueError) and is taken whole; columns of the table pass through whatever their names, but
+for those with the names of the output, which are replaced.
 """
 
 from __future__ import annotations
@@ -18,9 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossier.llm._repeats import KEY, Kind, covered, keyed, repeated
+from dossier.llm._pack import pack, unpack
+from dossier.llm._repeats import Kind, covered, keyed, repeated
 from dossier.llm._text import SPACE, U64, ragged, row_groups, string_buffers, word_hashes, word_spans
 
 WINDOW, GRAM = 20, 5
@@ -47,34 +54,25 @@ def suffix_order(symbols: np.ndarray, begin: np.ndarray, depth: int) -> tuple[np
     return order, common
 
 
-def later_leaves(order: np.ndarray, common: np.ndarray, depth: int, d: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Mask over suffixes: a leaf below an internal node of that depth, and not its earliest."""
-    node = np.cumsum(common < depth)  # leaves with the same number are below one deep node
-    by = np.lexsort((start[order], d[order], node))
-    leaf, node = order[by], node[by]
-    new = np.concatenate([[True], node[1:] != node[:-1]])
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-    mask = np.zeros(len(order), bool)
-    mask[leaf] = (d[leaf] != d[leaf[lead]]) | (start[leaf] != start[leaf[lead]])
-    return mask
+def deep_nodes(symbols: np.ndarray, begin: np.ndarray, depth: int) -> np.ndarray:
+    """For each suffix the number of the tree's node at that depth above it."""
+    order, common = suffix_order(symbols, begin, depth)
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.cumsum(common < depth)  # leaves with the same number are below one deep node
+    return out
 
 
 def dedup_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, key: str = "doc_id", text: str = "text", hot: int | None = None) -> DataFrame:
     """docs plus n_words long, n_removed long, kept_text string (kept words joined by one space)."""
-    names = ["n_words", "n_removed", "kept_text"]
-    clean = docs.drop(*names)
-    kind = Kind(_split, np.uint32, window, min(gram, window))
-
-    def find(symbols, begin, count, d, start):
-        at = ragged(begin, count)
-        return later_leaves(*suffix_order(symbols, at, window), window, d, start) if len(at) else np.zeros(0, bool)
-
-    found = repeated(keyed(clean, key, text), text, kind, find, True, hot).drop(*KEY)
-    schema = T.StructType([*clean.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    clean, names = docs.drop("n_words", "n_removed", "kept_text"), {"_key": key, "_text": text}
+    packed, kind = pack(clean, **names), Kind(_split, np.uint32, window, min(gram, window))
+    nodes = lambda symbols, begin: deep_nodes(symbols, begin, window)
+    found = repeated(keyed(packed, "_key", "_text"), "_text", kind, nodes, True, hot).select("_key", "_text", "_row", "_runs")
+    schema = T.StructType([*packed.schema.fields, T.StructField("_words", T.LongType()), T.StructField("_removed", T.LongType()), T.StructField("_kept", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = string_buffers(batch.column(text))
+            buf, offs = string_buffers(batch.column("_text"))
             runs = batch.column("_runs")
             for lo, hi in row_groups(offs):
                 piece = buf[offs[lo] : offs[hi]]
@@ -96,8 +94,8 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, key:
                 o = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 kept = pa.Array.from_buffers(pa.string(), hi - lo, [None, pa.py_buffer(o), pa.py_buffer(np.ascontiguousarray(out[keep]))])
                 part = batch.slice(lo, hi - lo)
-                columns = [c for c, n in zip(part.columns, part.schema.names) if n != "_runs"]
                 words = np.diff(first)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(words), pa.array(words - np.diff(before)), kept], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(words), pa.array(words - np.diff(before)), kept], names=schema.names)
 
-    return found.mapInArrow(run, schema)
+    out = found.mapInArrow(run, schema)
+    return unpack(out, clean, {}, {"n_words": F.col("_words"), "n_removed": F.col("_removed"), "kept_text": F.col("_kept")}, **names)

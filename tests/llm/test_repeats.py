@@ -54,7 +54,7 @@ def more():
     return rows
 
 
-@pytest.mark.parametrize("length,anchor,q,hot", [(200, 48, 100, None), (200, 48, 100, 2), (64, 16, 20, None), (50, 12, 7, 3)])
+@pytest.mark.parametrize("length,anchor,q,hot", [(200, 48, 16, None), (200, 48, 16, 2), (200, 48, 100, None), (64, 16, 20, None), (50, 12, 7, 3)])
 def test_bytes_against_brute_force(spark, length, anchor, q, hot):
     rows = more()
     out = suffix_dedup.dedup_substrings(docs(spark, rows), length, hot=hot, anchor=anchor, q=q).collect()
@@ -77,9 +77,11 @@ def test_words_against_brute_force(spark, window, gram, hot):
 def test_refinement_rounds_agree():
     text = np.frombuffer((prose(300, 5, 9) * 2).encode(), np.uint8)
     suffixes = np.arange(len(text) - 40)
-    want = suffix_dedup.repeats(BYTE_CODE[text], suffixes, 40, 40)
+    same = lambda q: np.unique(suffix_dedup.classes(BYTE_CODE[text], suffixes, 40, q), return_inverse=True)[1]
+    pairs = lambda q: same(q)[:, None] == same(q)[None, :]
+    want = np.array([[(text[i : i + 40] == text[j : j + 40]).all() for j in suffixes] for i in suffixes])
     for q in (3, 7, 10, 20, 39):
-        assert (suffix_dedup.repeats(BYTE_CODE[text], suffixes, 40, q) == want).all()
+        assert (pairs(q) == want).all()
 
 
 def test_empty_table_and_other_columns(spark):
@@ -89,3 +91,23 @@ def test_empty_table_and_other_columns(spark):
     assert suffix_dedup.dedup_substrings(table).columns == ["doc_id", "text", "lang", "extra", "kept_text", "n_bytes", "removed_spans", "kept_bytes"]
     cut = suffix_dedup.cut_repeats(table)
     assert cut.columns == table.columns and cut.where("text is null").count() == 2 and cut.count() == len(corpus())
+
+
+def test_refined_pointers_are_read_by_later_rounds():
+    codes = BYTE_CODE[np.frombuffer(b"spam eggs " * 60, np.uint8)]
+    found = suffix_dedup.buckets(codes, np.arange(len(codes) - suffix_dedup.LENGTH + 1), suffix_dedup.LENGTH)
+    assert found.rounds == 4  # 16, 32, 64, 128, 200
+    assert len(np.unique(found.pointer[:400])) == 10
+
+
+def test_columns_of_any_name_pass_through(spark):
+    rows = more()
+    for call, own in ((suffix_dedup.dedup_substrings, "kept_bytes"), (suffix_tree_dedup.dedup_passages, "kept_text")):
+        plain = call(docs(spark, rows)).select("text", own).collect()
+        for a, b in (("_runs", "_d"), ("_v", "_row"), ("_key", "_text"), ("_kept", own)):
+            odd = docs(spark, rows).withColumnsRenamed({"lang": a, "extra": b})
+            out = call(odd)
+            assert out.columns[:3] == ["doc_id", "text", a] and out.where(f"`{a}` = 'en'").count() > 0
+            assert sorted(map(str, out.select("text", own).collect())) == sorted(map(str, plain))
+        with pytest.raises(TypeError):
+            call(spark.createDataFrame([("x", "y")], "doc_id string, text string"))
