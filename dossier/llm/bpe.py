@@ -8,13 +8,15 @@ time, so a piece of n bytes costs O(n log n) whatever it looks like.
 Rows stay in their partitions: there is no shuffle.  Each Python worker keeps a bounded table of
 pieces it has met, so that a frequent word is merged once.
 
-Defined cases: a null or empty text gives no ids and empty bytes; repeated rows are encoded alike;
-other columns pass through untouched.
+Defined cases: a null or empty text gives no ids and empty bytes; an empty table gives no rows; repeated
+rows are encoded alike; a very long text or piece is encoded whole; other columns pass through untouched,
+but for those with the names of the output, which are replaced.
 """
 
 from __future__ import annotations
 
 import base64
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -37,32 +39,37 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
 
 
 class SegmentTree:
-    """Leftmost minimum over a fixed number of positions; value rank << 32 | position."""
+    """Leftmost minimum over a fixed number of positions; values have the position in their lowest bits."""
 
     def __init__(self, values: list[int]):
-        size = 1
-        while size < len(values):
-            size *= 2
-        self.size = size
-        tree = [_NONE] * size + values + [_NONE] * (size - len(values))
-        for i in range(size - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a <= b else b
-        self.tree = tree
+        self.bits = max(0, (len(values) - 1).bit_length())
+        self.size = 1 << self.bits
+        level = values + [_NONE] * (self.size - len(values))
+        levels = [level]
+        while len(level) > 1:
+            level = list(map(min, level[::2], level[1::2]))
+            levels.append(level)
+        self.tree = [_NONE]
+        for level in reversed(levels):
+            self.tree += level
 
     def least(self) -> int:
         return self.tree[1]
 
-    def put(self, position: int, value: int) -> None:
-        tree, i = self.tree, self.size + position
-        tree[i] = value
-        while i > 1:
-            i >>= 1
-            a, b = tree[2 * i], tree[2 * i + 1]
-            value = a if a <= b else b
-            if tree[i] == value:
-                break
+    def put(self, *changes: tuple[int, int]) -> None:
+        """(position, value) pairs; each climbs as far as minima change."""
+        tree, size = self.tree, self.size
+        for position, value in changes:
+            i = size + position
             tree[i] = value
+            while i > 1:
+                other = tree[i ^ 1]
+                if other < value:
+                    value = other
+                i >>= 1
+                if tree[i] == value:
+                    break
+                tree[i] = value
 
 
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -70,29 +77,30 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
+    n, get = len(piece), ranks.get
+    bits = (n - 1).bit_length()
+    mask = (1 << bits) - 1
     end = list(range(1, n + 1))  # end of the token that starts here
     before = list(range(-1, n - 1))  # start of the token before
-    get = ranks.get
-
-    def pair(i: int) -> int:
-        j = end[i]
-        if j >= n:
-            return _NONE
-        r = get(piece[i : end[j]])
-        return _NONE if r is None else r << 32 | i
-
-    tree = SegmentTree([pair(i) for i in range(n)])
-    while (best := tree.least()) < _NONE:
-        i = best & 0xFFFFFFFF
+    pairs = [get(piece[i : i + 2]) for i in range(n - 1)]
+    tree = SegmentTree([_NONE if r is None else r << bits | i for i, r in enumerate(pairs)] + [_NONE])
+    nodes, put = tree.tree, tree.put
+    while (best := nodes[1]) < _NONE:
+        i = best & mask
         j = end[i]
-        end[i] = end[j]
-        tree.put(j, _NONE)
-        if end[i] < n:
-            before[end[i]] = i
-        tree.put(i, pair(i))
-        if before[i] >= 0:
-            tree.put(before[i], pair(before[i]))
+        k = end[i] = end[j]
+        own = left = _NONE
+        if k < n:
+            before[k] = i
+            if (r := get(piece[i : end[k]])) is not None:
+                own = r << bits | i
+        h = before[i]
+        if h >= 0:
+            if (r := get(piece[h:k])) is not None:
+                left = r << bits | h
+            put((j, _NONE), (i, own), (h, left))
+        else:
+            put((j, _NONE), (i, own))
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -100,13 +108,18 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _little(ids: list[int]) -> bytes:
+    """Unsigned 32-bit little-endian integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder(dict):
     """Text -> ids as little-endian unsigned 32-bit integers; the dictionary holds met pieces.
 
     When it is full it becomes the older generation, out of which pieces that are met again return."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.find, self.older = ranks, regex.compile(pattern).findall, {}
+        self.ranks, self.find, self.older, self.vocabulary = ranks, regex.compile(pattern).findall, {}, None
         self.token = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
             self.token[v] = k
@@ -115,7 +128,7 @@ class Encoder(dict):
         ids = self.older.get(piece)
         if ids is None:
             raw = piece.encode("utf-8", "surrogatepass")
-            ids = np.array(encode_piece(raw, self.ranks), "<u4").tobytes()
+            ids = _little(encode_piece(raw, self.ranks))
             if len(raw) > CACHE_BYTES:
                 return ids
         if len(self) >= CACHE_PIECES:
@@ -127,8 +140,23 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.find(text)))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, packed: list[bytes]) -> pa.Array:
+        """The bytes of each row's ids: tokens taken from the vocabulary, back to back."""
+        if self.vocabulary is None:
+            self.vocabulary = pa.array(self.token, pa.binary())
+        count = np.cumsum([0, *(len(x) // 4 for x in packed)])
+        out = []
+        lo = 0
+        while lo < len(packed):  # rows of some million tokens at once, so that 32-bit offsets suffice
+            hi = max(lo + 1, int(np.searchsorted(count, count[lo] + (1 << 22), "right")) - 1)
+            ids = np.frombuffer(b"".join(packed[lo:hi]), "<u4")
+            taken = self.vocabulary.take(pa.array(ids)) if len(ids) else pa.array([], pa.binary())
+            _, offsets, data = taken.buffers()
+            offsets = np.frombuffer(offsets, np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+            rows = np.ascontiguousarray(offsets[count[lo : hi + 1] - count[lo]])
+            out.append(pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(rows), data if data is not None else pa.py_buffer(b"")]))
+            lo = hi
+        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
 
 #: The encoder of the last vocabulary that this worker process used; later tasks find its table filled.
@@ -157,7 +185,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text:
                 packed = [encoder.encode(x) if x else b"" for x in part.column(text).to_pylist()]
                 columns = [*part.columns, pa.array(packed, pa.binary())]
                 if decoded:
-                    columns.append(pa.array(list(map(encoder.decode, packed)), pa.binary()))
+                    columns.append(encoder.decode(packed))
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *names])
 
     return kept.mapInArrow(run, schema)
