@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,7 @@ _SILENT = {"script", "style", "noscript", "template"}
 DATE_KEYS = ("article:published_time", "og:article:published_time", "datepublished", "date", "og:updated_time")
 PERSON_HINTS = ("team-member", "teammember", "leadership", "exec", "staff", "bio", "person", "member", "management")
 TITLE_HINTS = ("title", "position", "role", "job")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 MAX_TEXT, MAX_EXCERPT = 20_000, 500
 
 
@@ -106,78 +108,166 @@ def page_links(html: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([one(x, u) for x, u in zip(html, base)])
 
 
-class _Tree(HTMLParser):
+class _Elements(HTMLParser):
+    """The elements of a page that may say something about a person, in order: where each begins and ends (counted in
+    elements), its tag, class and id words, link and visible text."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = {"tag": "", "attrs": {}, "children": []}
-        self.stack = [self.root]
+        self.found, self._open, self._count = [], [], 0
 
     def handle_starttag(self, tag, attrs):
-        node = {"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "children": []}
-        self.stack[-1]["children"].append(node)
+        a = {k: v or "" for k, v in attrs}
+        self._count += 1
+        marks = f"{a.get('class', '')} {a.get('id', '')}".lower()
+        entry = None
+        if marks.strip() or tag in ("a", "p") or tag in HEADINGS:
+            entry = {"first": self._count, "last": self._count, "tag": tag, "marks": marks, "link": a.get("href"), "text": []}
+            self.found.append(entry)
         if tag not in _VOID:
-            self.stack.append(node)
+            self._open.append((tag, entry))
 
     def handle_endtag(self, tag):
-        if any(n["tag"] == tag for n in self.stack[1:]):
-            while self.stack.pop()["tag"] != tag:
-                pass
+        if any(t == tag for t, _ in self._open):
+            while self._open:
+                name, entry = self._open.pop()
+                if entry:
+                    entry["last"] = self._count
+                if name == tag:
+                    break
 
     def handle_data(self, data):
-        self.stack[-1]["children"].append(data)
+        if not any(t in _SILENT for t, _ in self._open):
+            for _, entry in self._open:
+                if entry:
+                    entry["text"].append(data)
 
+    def close(self):
+        super().close()
+        for _, entry in self._open:
+            if entry:
+                entry["last"] = self._count
 
-def _text(node) -> str:
-    if isinstance(node, str):
-        return node
-    return "" if node["tag"] in _SILENT else " ".join(_text(c) for c in node["children"])
 
+_ELEMENT = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), *_strings("tag", "marks", "link", "text").fields])
 
-def _walk(node):
-    yield node
-    for c in node["children"]:
-        if not isinstance(c, str):
-            yield from _walk(c)
 
+@F.pandas_udf(T.ArrayType(_ELEMENT))
+def page_elements(html: pd.Series) -> pd.Series:
+    """Elements with a class or an id, links, paragraphs and headings, in page order."""
 
-@F.pandas_udf(T.ArrayType(_strings("name", "title", "bio", "email", "phone")))
-def page_people(html: pd.Series) -> pd.Series:
-    """People on a page: innermost elements whose class or id hints at one, with a name (first heading, or an
-    element named so), a title, the longest paragraph of 40 characters, a mail and a phone (link, else as
-    they stand in the text); the first of each (name, title)."""
+    def one(x):
+        page = _Elements()
+        page.feed(x or "")
+        page.close()
+        return [e | {"text": collapse(e["text"])} for e in page.found]
 
-    def mark(n):
-        return f"{n['attrs'].get('class', '')} {n['attrs'].get('id', '')}".lower()
+    return pd.Series([one(x) for x in html])
 
-    def first(nodes, fits, other=""):
-        return next((t for c in nodes if fits(c) and (t := collapse([_text(c)])) and t != other), None)
 
-    def linked(nodes, scheme, pattern, body):
-        href = next((h for c in nodes if c["tag"] == "a" and (h := c["attrs"].get("href", "")).lower().startswith(scheme)), None)
-        if href is not None:
-            return href[len(scheme) :].split("?" if scheme == "mailto:" else "\0")[0].strip() or None
-        m = re.search(pattern, body)
-        return m[0].strip() if m else None
+def _hinted(element: Column, hints: tuple[str, ...]) -> Column:
+    return element["marks"].rlike("|".join(hints))
 
-    def one(x):
-        tree = _Tree()
-        tree.feed(x or "")
-        seen, out = set(), []
-        for n in _walk(tree.root):
-            inside = list(_walk(n))[1:]
-            if not any(h in mark(n) for h in PERSON_HINTS) or any(h in mark(c) for c in inside for h in PERSON_HINTS):
-                continue
-            name = first(inside[:], lambda c: re.fullmatch("h[1-6]", c["tag"])) or first(inside, lambda c: "name" in mark(c))
-            if not name:
-                continue
-            title = first(inside, lambda c: any(h in mark(c) for h in TITLE_HINTS), name)
-            key = (name.lower(), (title or "").lower())
-            if key in seen:
-                continue
-            seen.add(key)
-            paragraphs = [t for c in inside if c["tag"] == "p" and len(t := collapse([_text(c)])) >= 40 and t not in (name, title)]
-            body = collapse([_text(n)])
-            out.append({"name": name, "title": title, "bio": max(paragraphs, key=len, default=None), "email": linked(inside, "mailto:", R.EMAIL_SHAPE, body), "phone": linked(inside, "tel:", R.PHONE_SHAPE, body)})
-        return out
 
-    return pd.Series([one(x) for x in html])
+def page_people(pages: DataFrame, html: str = "html") -> DataFrame:
+    """pages with nth and p (name, title, bio, email, phone), a row a person.
+
+    A person is an innermost element whose class or id hints at one, with a name: its first heading's text, or that of
+    the first element marked so.  The title is the first marked one that is not the name, the biography the longest
+    paragraph of 40 characters, mail and phone a link's, else as they stand in the text.  Of people with the same name
+    and title (whatever the case) a page's first stays."""
+    found = pages.withColumn("_elements", page_elements(F.col(html)))
+    e = F.col("_elements")
+    person = lambda x: _hinted(x, PERSON_HINTS)
+    inside = lambda x, c: (x["first"] > c["first"]) & (x["first"] <= c["last"])
+    people = F.filter(e, person)
+    found = found.withColumn("_people", people)
+    innermost = F.filter("_people", lambda c: ~F.exists("_people", lambda x: inside(x, c)))
+    one = found.select(*pages.columns, "_elements", F.posexplode(innermost).alias("_at", "_c"))
+    one = one.withColumn("_own", F.filter(e, lambda x: inside(x, F.col("_c")))).drop("_elements")
+    texts = lambda fits: F.transform(F.filter("_own", fits), lambda x: x["text"])
+    heading = F.get(texts(lambda x: x["tag"].isin(*HEADINGS)), F.lit(0))
+    marked = F.get(F.filter(texts(lambda x: x["marks"].contains("name")), lambda t: t != ""), F.lit(0))
+    one = one.withColumn("_name", F.coalesce(F.when(heading != "", heading), marked)).where("_name is not null")
+    one = one.withColumn("_title", F.get(F.filter(texts(lambda x: _hinted(x, TITLE_HINTS)), lambda t: (t != "") & (t != F.col("_name"))), F.lit(0)))
+    twins = Window.partitionBy(*[f"`{c}`" for c in pages.columns], F.lower("_name"), F.lower(F.coalesce("_title", F.lit("")))).orderBy("_at")
+    one = one.withColumn("_twin", F.row_number().over(twins)).where("_twin = 1")
+    told = F.filter(texts(lambda x: x["tag"] == "p"), lambda t: (F.length(t) >= 40) & (t != F.col("_name")) & ~t.eqNullSafe(F.col("_title")))
+    bio = F.aggregate(told, F.lit(None).cast("string"), lambda best, t: F.when(best.isNull() | (F.length(t) > F.length(best)), t).otherwise(best))
+
+    def reached(scheme: str, end: str, pattern: str) -> Column:
+        link = F.get(F.filter("_own", lambda x: (x["tag"] == "a") & F.lower(x["link"]).startswith(scheme)), F.lit(0))["link"]
+        named = F.trim(F.regexp_replace(F.substring(link, F.lit(len(scheme) + 1), F.length(link)), end, ""))
+        stated = F.trim(F.regexp_extract(F.col("_c")["text"], pattern, 0))
+        return F.nullif(F.when(link.isNotNull(), named).otherwise(stated), F.lit(""))
+
+    p = F.struct(F.col("_name").alias("name"), F.col("_title").alias("title"), bio.alias("bio"), reached("mailto:", r"\?.*$", R.EMAIL_SHAPE).alias("email"), reached("tel:", r"$", R.PHONE_SHAPE).alias("phone"))
+    return one.select(*[f"`{c}`" for c in pages.columns], F.col("_at").alias("nth"), p.alias("p"))
+
+
+def _matches(selector: str):
+    """A test for a simple selector: tag, .class and #id parts that must all hold."""
+    tag, marks = re.match(r"[\w-]*", selector)[0].lower(), re.findall(r"([.#])([\w-]+)", selector)
+
+    def fits(e) -> bool:
+        classes = e["class"].split()
+        return (not tag or e["tag"] == tag) and all((m in classes) if kind == "." else m == e["id"] for kind, m in marks)
+
+    return fits
+
+
+class _Selected(HTMLParser):
+    """Of each container that a selector finds, the first title, link and snippet elements in it."""
+
+    def __init__(self, container: str, **wanted: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.container, self.wanted = _matches(container), {k: _matches(v) for k, v in wanted.items() if v}
+        self.results, self._open = [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        e = {"tag": tag, "class": a.get("class", ""), "id": a.get("id", "")}
+        takes = []
+        for result in [r for _, opened, _ in self._open for r in opened]:
+            for k, fits in self.wanted.items():
+                if k not in result and fits(e):
+                    result[k] = {"href": a.get("href", ""), "text": []}
+                    takes.append(result[k])
+        opened = []
+        if self.container(e):
+            opened.append({})
+            self.results += opened
+        if tag not in _VOID:
+            self._open.append((tag, opened, takes))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _, _ in self._open):
+            while self._open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        for _, _, takes in self._open:
+            for taken in takes:
+                taken["text"].append(data)
+
+
+def result_rows(container: str, title: str, url: str, snippet: str = "", most: int = 10):
+    """A function of (html, base): results of a rendered results page as array<struct<rank, title, url, snippet>>; those
+    without title or link are left out and do not count."""
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("rank", T.IntegerType()), *_strings("title", "url", "snippet").fields])))
+    def rows(html: pd.Series, base: pd.Series) -> pd.Series:
+        def one(x, at):
+            page = _Selected(container, title=title, url=url, snippet=snippet)
+            page.feed(x or "")
+            page.close()
+            out = []
+            for r in page.results:
+                name, link = collapse(r["title"]["text"]) if "title" in r else "", r["url"]["href"].strip() if "url" in r else ""
+                if name and link and len(out) < most:
+                    out.append({"rank": len(out) + 1, "title": name, "url": urljoin(at or "", link), "snippet": collapse(r["snippet"]["text"]) if "snippet" in r else ""})
+            return out
+
+        return pd.Series([one(x, at) for x, at in zip(html, base)])
+
+    return rows

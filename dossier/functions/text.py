@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,10 +76,21 @@ def domain_of_url(c: Column) -> Column:
     return F.when((strip(c) != "") & (bare != ""), bare)
 
 
-@F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    """Canonical composition; Spark has no such function."""
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+def nfc(c: Column) -> Column:
+    """Canonical composition of texts that are not ASCII, by the Unicode library on Spark's class path."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), composed).otherwise(c)
+
+
+def number(c: Column) -> Column:
+    """A double as Python writes it: plain from 0.0001 up to 1e16, beyond with a signed exponent of two digits."""
+    s = c.cast("string")
+    exponent = F.regexp_extract(s, r"E(-?\d+)$", 1).try_cast("int")
+    plain = F.regexp_replace(s.try_cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
+    mantissa = F.regexp_replace(F.regexp_extract(s, r"^(.*)E", 1), r"\.0$", "")
+    sign = F.when(exponent < 0, "-").otherwise("+")
+    far = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")))
+    return F.when(exponent.isNull(), s).when(exponent.between(-4, 15), plain).otherwise(far)
 
 
 @F.pandas_udf(T.DoubleType())

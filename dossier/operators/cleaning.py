@@ -10,19 +10,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier import refdata as R
+from dossier.functions import text as X
 from dossier.operators.rules import BUSINESS, RULES, SAFE, WARNING, ConfigurationError, Record, Rule
 
-CHANGE = "struct<rule_id:string,field_name:string,old_value:string,new_value:string,stage:string>"
-NOTE = "struct<rule_id:string,code:string,message:string,field_names:array<string>>"
+CHANGE = "struct<rule_id:string,rule_version:string,field_name:string,old_value:string,new_value:string,stage:string,at:timestamp>"
+NOTE = "struct<rule_id:string,rule_version:string,code:string,message:string,field_names:array<string>,at:timestamp>"
+FAILURE = "struct<rule_id:string,rule_version:string,error_message:string,at:timestamp>"
+#: Of all rules.
+VERSION = "1.0.0"
 
 
 @dataclass(frozen=True)
 class Profile:
-    """Which rules run, with which parameters.  `unicode`: compose text (a Python worker is needed for it)."""
+    """Which rules run, with which parameters."""
 
     name: str = "default"
     business: bool = True
@@ -30,7 +34,6 @@ class Profile:
     enabled_rules: dict[str, bool] = field(default_factory=dict)
     parameters: dict[str, dict] = field(default_factory=dict)
     only: tuple[str, ...] | None = None
-    unicode: bool = False
 
     def rule(self, rule_id: str) -> Rule:
         found = next((r for r in RULES if r.id == rule_id), None)
@@ -49,7 +52,7 @@ class Profile:
         return self.enabled_rules.get(rule_id, rule.default)
 
     def params(self, rule_id: str) -> dict:
-        return {"unicode": self.unicode, **self.parameters.get(rule_id, {})}
+        return self.parameters.get(rule_id, {})
 
     def validate(self) -> None:
         if not self.name.strip():
@@ -71,12 +74,18 @@ def map_fields(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFram
     return df.select(*kept, *[(F.col(f"`{h}`") if h in df.columns else F.lit(None).cast("string")).alias(name) for name, h in mapping.items()])
 
 
-def clean(df: DataFrame, profile: Profile | None = None) -> DataFrame:
-    """df with cleaned columns (and derived ones), changes: array of CHANGE, warnings: array of NOTE, affected: array of rule ids."""
+def clean(df: DataFrame, profile: Profile | None = None, now: Column | None = None) -> DataFrame:
+    """df with cleaned columns (and derived ones), changes: array of CHANGE, warnings: array of NOTE, affected: array
+    of rule ids, failures: array of FAILURE.
+
+    A rule that cannot be applied to the table (its code raises, or Spark refuses its columns) is left out
+    for every record, and says so in failures; the others run.  now: the time of the run."""
     profile = profile or Profile()
+    now_ = F.current_timestamp() if now is None else now
+    failed: dict[str, str] = {}
     profile.validate()
     out = df
-    now = {c: c for c in df.columns}  # field -> the column that holds its latest value
+    latest = {c: c for c in df.columns}  # field -> the column that holds its latest value
     kinds = dict(df.dtypes)
     captured: list[tuple[Rule, str, str, str | None]] = []
     touched: dict[str, str] = {}  # rule -> the column that says whether it counts the record as affected
@@ -84,39 +93,57 @@ def clean(df: DataFrame, profile: Profile | None = None) -> DataFrame:
         for rule in RULES:
             if rule.stage != stage or not profile.enabled(rule.id):
                 continue
-            record = Record({f: F.col(f"`{c}`") for f, c in now.items()}, {f: kinds[c] for f, c in now.items()})
-            new = {}
-            for name, value in rule.apply(record, profile.params(rule.id)).items():
-                column = f"_{rule.id[4:]}_{name}"
-                new[column] = value
-                captured.append((rule, name, column, now.get(name)))
+            record = Record({f: F.col(f"`{c}`") for f, c in latest.items()}, {f: kinds[c] for f, c in latest.items()})
+            prefix = f"_{rule.id[4:]}_"
+            try:
+                values = rule.apply(record, profile.params(rule.id))
+                new = {prefix + name: value for name, value in values.items()}
+                if rule.touches:
+                    new[prefix + "touched_"] = F.coalesce(rule.touches(record, profile.params(rule.id)), F.lit(False))
+                after = out.withColumns(new) if new else out
+            except Exception as error:  # one rule must not sink the run
+                failed[rule.id] = str(error)
+                continue
+            out = after
+            kinds.update({c: t for c, t in out.dtypes if c in new})
             if rule.touches:
-                touched[rule.id] = f"_{rule.id[4:]}_touched_"
-                new[touched[rule.id]] = F.coalesce(rule.touches(record, profile.params(rule.id)), F.lit(False))
-            if new:
-                out = out.withColumns(new)
-                kinds.update({c: t for c, t in out.dtypes if c in new})
-                now.update({c.split("_", 2)[2]: c for c in new if c not in touched.values()})
-    text = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")
+                touched[rule.id] = prefix + "touched_"
+            for name in values:
+                captured.append((rule, name, prefix + name, latest.get(name)))
+                latest[name] = prefix + name
+    def text(c: str | None) -> Column:
+        if c is None:
+            return F.lit(None).cast("string")
+        return X.number(F.col(f"`{c}`")) if kinds[c] == "double" else F.col(f"`{c}`").cast("string")
+
     changes = []
     for rule, name, column, before in captured:
         differs = ~F.col(f"`{column}`").eqNullSafe(F.col(f"`{before}`") if before else F.lit(None))
-        changes.append(F.when(differs, F.struct(F.lit(rule.id).alias("rule_id"), F.lit(name).alias("field_name"), text(before).alias("old_value"), text(column).alias("new_value"), F.lit(rule.stage).alias("stage"))))
+        changes.append(F.when(differs, F.struct(F.lit(rule.id).alias("rule_id"), F.lit(VERSION).alias("rule_version"), F.lit(name).alias("field_name"), text(before).alias("old_value"), text(column).alias("new_value"), F.lit(rule.stage).alias("stage"), now_.alias("at"))))
     found = F.filter(F.array(*changes), lambda x: x.isNotNull()) if changes else F.array().cast(f"array<{CHANGE}>")
-    fields = [*df.columns, *[f for f in now if f not in df.columns]]
+    fields = [*df.columns, *[f for f in latest if f not in df.columns]]
     marks = F.array(*[F.when(F.col(f"`{c}`"), F.lit(r)) for r, c in touched.items()]) if touched else F.array().cast("array<string>")
-    out = out.select(*[F.col(f"`{now[f]}`").alias(f) for f in fields], found.cast(f"array<{CHANGE}>").alias("changes"), marks.alias("_marks"))
+    out = out.select(*[F.col(f"`{latest[f]}`").alias(f) for f in fields], found.cast(f"array<{CHANGE}>").alias("changes"), marks.alias("_marks"))
     affected = F.array_distinct(F.concat(F.col("changes.rule_id"), F.filter("_marks", lambda x: x.isNotNull())))
     out = out.select(*fields, "changes", affected.alias("affected"))
     record = Record({f: F.col(f"`{f}`") for f in fields}, {f: t for f, t in out.dtypes})
     notes = []
     for rule in RULES:
         if rule.stage == WARNING and profile.enabled(rule.id):
-            for d in rule.apply(record, profile.params(rule.id)):
-                message = F.lit(d.message) if isinstance(d.message, str) else d.message
-                notes.append(F.when(d.when, F.struct(F.lit(rule.id).alias("rule_id"), F.lit(d.code).alias("code"), message.alias("message"), F.array(*[F.lit(x) for x in d.fields]).alias("field_names"))))
+            try:
+                own = []
+                for d in rule.apply(record, profile.params(rule.id)):
+                    message = F.lit(d.message) if isinstance(d.message, str) else d.message
+                    own.append(F.when(d.when, F.struct(F.lit(rule.id).alias("rule_id"), F.lit(VERSION).alias("rule_version"), F.lit(d.code).alias("code"), message.alias("message"), F.array(*[F.lit(x) for x in d.fields]).alias("field_names"), now_.alias("at"))))
+                if own:
+                    out.select(F.array(*own))
+            except Exception as error:
+                failed[rule.id] = str(error)
+                continue
+            notes += own
     warned = F.filter(F.array(*notes), lambda x: x.isNotNull()) if notes else F.array().cast(f"array<{NOTE}>")
-    return out.withColumn("warnings", warned.cast(f"array<{NOTE}>"))
+    failures = [F.struct(F.lit(r).alias("rule_id"), F.lit(VERSION).alias("rule_version"), F.lit(e).alias("error_message"), now_.alias("at")) for r, e in failed.items()]
+    return out.withColumns({"warnings": warned.cast(f"array<{NOTE}>"), "failures": F.array(*failures).cast(f"array<{FAILURE}>")})
 
 
 def audit_trail(cleaned: DataFrame, key: str) -> DataFrame:
@@ -124,13 +151,14 @@ def audit_trail(cleaned: DataFrame, key: str) -> DataFrame:
 
     explode_outer, here and below: for a plain explode Catalyst infers a filter on the array and pushes it
     through the stack of projections, copying what it reads at every level."""
-    changes = cleaned.select(key, F.posexplode_outer("changes").alias("position", "x")).select(key, "position", F.lit("change").alias("kind"), "x.rule_id", "x.field_name", F.col("x.old_value").alias("old_value"), F.col("x.new_value").alias("new_value"), F.lit(None).cast("string").alias("code"))
-    warnings = cleaned.select(key, F.posexplode_outer("warnings").alias("position", "x")).select(key, "position", F.lit("warning").alias("kind"), "x.rule_id", F.array_join("x.field_names", ",").alias("field_name"), F.lit(None).cast("string").alias("old_value"), F.lit(None).cast("string").alias("new_value"), "x.code")
+    changes = cleaned.select(key, F.posexplode_outer("changes").alias("position", "x")).select(key, "position", F.lit("change").alias("kind"), "x.rule_id", "x.rule_version", "x.at", "x.field_name", F.col("x.old_value").alias("old_value"), F.col("x.new_value").alias("new_value"), F.lit(None).cast("string").alias("code"))
+    warnings = cleaned.select(key, F.posexplode_outer("warnings").alias("position", "x")).select(key, "position", F.lit("warning").alias("kind"), "x.rule_id", "x.rule_version", "x.at", F.array_join("x.field_names", ",").alias("field_name"), F.lit(None).cast("string").alias("old_value"), F.lit(None).cast("string").alias("new_value"), "x.code")
     return changes.unionByName(warnings).where("rule_id is not null")
 
 
 def rule_metrics(cleaned: DataFrame, profile: Profile | None = None) -> DataFrame:
-    """Per enabled rule: rows evaluated, affected (some rules count a record that they would have changed alike), changes, warnings.  One shuffle of a few rows."""
+    """Per enabled rule: rows evaluated, affected (some rules count a record that they would have changed alike), changes,
+    warnings, failures.  One shuffle of a few rows."""
     profile = profile or Profile()
     spark = cleaned.sparkSession
     rules = spark.createDataFrame([(r.id, r.stage, r.category) for r in RULES if profile.enabled(r.id)], "rule_id string, stage string, category string")
@@ -139,9 +167,10 @@ def rule_metrics(cleaned: DataFrame, profile: Profile | None = None) -> DataFram
     affected = cleaned.select(F.explode_outer("affected").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("records_affected"))
     warned = cleaned.select(F.explode_outer("warnings.rule_id").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("warnings"))
     out = rules.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one").drop("_one")  # one row
-    for part in (affected, changed, warned):
+    failed = cleaned.select(F.explode_outer("failures.rule_id").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("failures"))
+    for part in (affected, changed, warned, failed):
         out = out.join(F.broadcast(part.where("rule_id is not null")), "rule_id", "left")  # at most a row a rule
-    return out.na.fill(0, ["records_affected", "changes", "warnings"])
+    return out.na.fill(0, ["records_affected", "changes", "warnings", "failures"])
 
 
 def run_report(cleaned: DataFrame) -> DataFrame:
@@ -152,4 +181,5 @@ def run_report(cleaned: DataFrame) -> DataFrame:
         F.count_if(F.size("warnings") > 0).alias("records_with_warnings"),
         F.coalesce(F.sum(F.size("changes")), F.lit(0)).cast("long").alias("changes"),
         F.coalesce(F.sum(F.size("warnings")), F.lit(0)).cast("long").alias("warnings"),
+        F.coalesce(F.sum(F.size("failures")), F.lit(0)).cast("long").alias("failures"),
     )

@@ -28,18 +28,23 @@ class ComparisonProfile:
             raise ConfigurationError("thresholds lie within 0 and 1")
 
 
-def existing_values(records: DataFrame, ref: str) -> DataFrame:
-    """ref, field, existing: one row for each of the five fields."""
+def resolved(records: DataFrame) -> dict[str, Column]:
+    """The five fields of a record, each from the first of its columns that holds something."""
     c = lambda n: F.col(n) if n in records.columns else F.lit(None).cast("string")
     some = (F.coalesce(c("first_name"), F.lit("")) != "") | (F.coalesce(c("last_name"), F.lit("")) != "")
     name = F.when(some, X.blank_to_null(F.concat(F.coalesce(c("first_name"), F.lit("")), F.lit(" "), F.coalesce(c("last_name"), F.lit("")))))
-    values = {
+    return {
         "name": name,
         "title": X.first_present(c("title")),
         "company": X.first_present(c("company_name_normalized"), c("company_name")),
         "email": X.first_present(c("primary_email"), c("email"), c("company_email")),
         "phone": X.first_present(c("primary_phone"), c("direct_phone"), c("phone")),
     }
+
+
+def existing_values(records: DataFrame, ref: str) -> DataFrame:
+    """ref, field, existing: one row for each of the five fields."""
+    values = resolved(records)
     rows = [F.struct(F.lit(k).alias("position"), F.lit(f).alias("field"), v.alias("existing")) for k, (f, v) in enumerate(values.items())]
     return records.select(F.col(ref).alias("ref"), F.explode(F.array(*rows)).alias("x")).select("ref", "x.*")
 

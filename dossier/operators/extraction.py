@@ -78,7 +78,7 @@ def observations(results: DataFrame, pages: DataFrame) -> DataFrame:
 
 def person_observations(pages: DataFrame) -> DataFrame:
     """People on company pages (subject_id, url, html) as observations that share a person_ref."""
-    people = pages.select("subject_id", "url", F.posexplode(H.page_people(F.col("html"))).alias("nth", "p"))
+    people = H.page_people(pages.select("subject_id", "url", "html"))
     fields = [("full_name", "name"), ("title", "title"), ("biography", "bio"), ("email", "email"), ("phone", "phone")]
     rows = [F.struct(F.lit(k).alias("position"), F.lit(a).alias("attribute"), F.col(f"p.{c}").alias("value")) for k, (a, c) in enumerate(fields)] + [F.struct(F.lit(5).alias("position"), F.lit("source_page").alias("attribute"), F.col("url").alias("value"))]
     ref = F.sha2(F.concat_ws("|", "url", F.col("nth").cast("string"), "p.name"), 256)

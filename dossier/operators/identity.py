@@ -77,6 +77,9 @@ def candidates(incoming: DataFrame, stored: DataFrame, profile: IdentityProfile
     blocking = [t for t, s in profile.signals.items() if s[2]]
     a = incoming.where(F.col("signal_type").isin(*blocking)).select("ref", "signal_type", "value")
     b = stored.where(F.col("signal_type").isin(*blocking)).select("identity_id", "signal_type", "value")
+    # A record's first identities are among the first of each of its values: a common value must not meet every record.
+    place = F.row_number().over(Window.partitionBy("signal_type", "value").orderBy("identity_id"))
+    b = b.distinct().withColumn("place", place).where(F.col("place") <= profile.most_candidates).drop("place")
     pairs = a.join(b, ["signal_type", "value"]).select("ref", "identity_id").distinct()
     nth = F.row_number().over(Window.partitionBy("ref").orderBy("identity_id"))
     return pairs.withColumn("nth", nth).where(F.col("nth") <= profile.most_candidates).drop("nth")

@@ -18,14 +18,15 @@ def seniority(title: Column) -> Column:
     return F.array_max(F.array(*found))["rank"]
 
 
-def detect(compared: DataFrame, summary: DataFrame, overrides: dict[str, float] | None = None, disabled: tuple[str, ...] = ()) -> DataFrame:
+def detect(compared: DataFrame, overrides: dict[str, float] | None = None, disabled: tuple[str, ...] = ()) -> DataFrame:
     """ref, rule_id, type, confidence, explanation, fields: 0 to 7 rows a record.  One aggregation by record."""
     overrides = overrides or {}
     if any(not 0 <= v <= 1 for v in overrides.values()):
         raise ConfigurationError("a base confidence lies within 0 and 1")
     fields = ("name", "title", "company", "email", "phone")
-    wide = compared.groupBy("ref").agg(*[F.max(F.when(F.col("field") == f, F.struct("status", "existing", "new"))).alias(f) for f in fields])
-    wide = wide.join(summary.select("ref", F.col("confidence").alias("certainty")), "ref")
+    told, clean = F.count_if(F.col("status") != "unknown"), F.count_if(F.col("status").isin("match", "changed", "missing", "new"))
+    certainty = F.when(told > 0, clean / told).otherwise(0.0)  # the confidence of the record's comparison
+    wide = compared.groupBy("ref").agg(*[F.max(F.when(F.col("field") == f, F.struct("status", "existing", "new"))).alias(f) for f in fields], certainty.alias("certainty"))
     status, old, new = (lambda f: F.col(f)["status"]), (lambda f: F.col(f)["existing"]), (lambda f: F.col(f)["new"])
     is_ = lambda f, s: F.coalesce(status(f) == s, F.lit(False))
     wide = wide.withColumns({"old_rank": F.when(is_("title", "changed"), seniority(old("title"))), "new_rank": F.when(is_("title", "changed"), seniority(new("title")))})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +28,37 @@ def ordered(providers: DataFrame, subject_type: str) -> DataFrame:
     return own.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(subject_type)).orderBy("priority", "provider_id")))
 
 
+@dataclass(frozen=True)
+class CoordinationProfile:
+    """How providers run: enabled, timeout_seconds, max_age_days, fallback_only by provider, else the defaults."""
+
+    name: str = "default"
+    providers: dict[str, dict] = field(default_factory=dict)
+    defaults: dict = field(default_factory=lambda: {"enabled": True, "timeout_seconds": 10.0, "max_age_days": MAX_AGE_DAYS, "fallback_only": False})
+
+    def validate(self) -> None:
+        """Before any provider runs: a broken profile fails the whole run."""
+        for own in (*self.providers.values(), self.defaults):
+            of = self.defaults | own
+            if of["timeout_seconds"] <= 0:
+                raise ConfigurationError(f"profile {self.name}: a timeout of {of['timeout_seconds']} seconds")
+            if of["max_age_days"] < 0:
+                raise ConfigurationError(f"profile {self.name}: a greatest age of {of['max_age_days']} days")
+
+    def apply(self, providers: DataFrame) -> DataFrame:
+        """providers (provider_id) with their configuration.  Literal maps: a profile names some dozens."""
+        self.validate()
+
+        def column(k: str) -> Column:
+            table = {p: own[k] for p, own in self.providers.items() if k in own}
+            return (X.lookup(F.col("provider_id"), table, F.lit(self.defaults[k])) if table else F.lit(self.defaults[k])).alias(k)
+
+        return providers.select("*", *map(column, self.defaults))
+
+
 def configured(providers: DataFrame, configuration: DataFrame) -> DataFrame:
     """Left join with defaults: enabled, 30 days, no fallback."""
-    out = providers.join(F.broadcast(configuration), "provider_id", "left")  # a row a provider
+    out = providers.join(configuration, "provider_id", "left")
     return out.withColumns({"enabled": F.coalesce("enabled", F.lit(True)), "max_age_days": F.coalesce("max_age_days", F.lit(MAX_AGE_DAYS)), "fallback_only": F.coalesce("fallback_only", F.lit(False))})
 
 

@@ -82,7 +82,7 @@ def each(change: Callable[[Column, dict], Column], *fields: str):
 
 def whitespace(*fields: str, artifact: str | None = None, remove_all: bool = False):
     def change(c: Column, params: dict) -> Column:
-        c = X.nfc(c) if params.get("unicode", False) else c
+        c = X.nfc(c)
         c = F.regexp_replace(c, artifact, "") if artifact else c
         return F.regexp_replace(c, r"(?U)\s+", "") if remove_all else X.normalize(c)
 
@@ -131,13 +131,12 @@ def email_side(domain: bool):
 
 
 def name_case(c: Column, params: dict) -> Column:
-    particles, prefixes = params.get("particles", R.PARTICLES), params.get("prefixes", R.NAME_PREFIXES)
+    particles, prefixes = params.get("particles", R.PARTICLES), params.get("prefixes", R.PREFIX_HEADS)
 
     def one(t: Column) -> Column:
         low = F.lower(t)
         out = F.when(low.isin(*particles), low)
-        for p in prefixes:
-            head = p[:-1].capitalize() + "'" if p.endswith("'") else p.capitalize()
+        for p, head in prefixes.items():
             out = out.when(low.startswith(p) & (F.length(low) > len(p)), F.concat(F.lit(head), X.capitalize(F.substring(low, F.lit(len(p) + 1), F.length(low)))))
         return out.otherwise(X.capitalize(t))
 
@@ -310,7 +309,7 @@ def shape(code: str, message: str, pattern: str, *fields: str, invert: bool = Fa
 
 def negative(code: str, *fields: str):
     def apply(r: Record, params: dict) -> list[Draft]:
-        return [Draft(c < 0, code, F.concat(F.lit(f"{f} is negative ("), c.cast("string"), F.lit("), which is implausible for this field.")), (f,)) for f in fields if (c := r.number(f)) is not None]
+        return [Draft(c < 0, code, F.concat(F.lit(f"{f} is negative ("), X.number(c.cast("double")) if r.kinds.get(f) in ("double", "float") else c.cast("string"), F.lit("), which is implausible for this field.")), (f,)) for f in fields if (c := r.number(f)) is not None]
 
     return apply
 
@@ -319,10 +318,13 @@ def greater(code: str, message: str, a: str, b: str):
     return lambda r, p: [Draft(r.number(a) > r.number(b), code, message, (a, b))] if r.number(a) is not None and r.number(b) is not None else []
 
 
-def presence(code: str, message: str, trigger: tuple[str, ...], required: tuple[str, ...]):
-    """Any of `trigger` present and none of `required`."""
-    any_of = lambda r, fs: reduce(lambda x, y: x | y, [r.present(f) for f in fs])
-    return lambda r, p: [Draft(any_of(r, trigger) & ~any_of(r, required), code, message, (*trigger, *required))]
+def presence(code: str, message: str, trigger: tuple[str, ...], required: tuple[str, ...], all_trigger: bool = False, all_required: bool = False):
+    """Any (or all) of `trigger` present and not any (or not all) of `required`."""
+
+    def some(r: Record, fields: tuple[str, ...], every: bool) -> Column:
+        return reduce(lambda x, y: x & y if every else x | y, [r.present(f) for f in fields])
+
+    return lambda r, p: [Draft(some(r, trigger, all_trigger) & ~some(r, required, all_required), code, message, (*trigger, *required))]
 
 
 def pairs(code: str, *both: tuple[str, str]):

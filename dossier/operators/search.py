@@ -83,12 +83,11 @@ def page_summary(pages: DataFrame) -> DataFrame:
     return c.select("page_id", "c.title", F.coalesce(F.when(F.col("c.description") != "", F.col("c.description")), F.substring("c.text", 1, 240)).alias("snippet"))
 
 
-def selected_results(pages: DataFrame, rows: DataFrame, most: int) -> DataFrame:
-    """Result rows in page order with absolute URLs, at most `most` a page.  rows: page_id, position, title, url, snippet."""
-    nth = F.row_number().over(Window.partitionBy("page_id").orderBy("position"))
-    full = F.when(F.col("url").rlike(R.URL_SCHEME), F.col("url")).otherwise(F.concat(U.part(F.col("base"), 1), F.lit("://"), U.part(F.col("base"), 2), F.regexp_replace("url", "^/?", "/")))
-    kept = rows.where("title <> '' and url <> ''").join(pages.select("page_id", F.col("url").alias("base")), "page_id")
-    return kept.withColumn("rank", nth).where(F.col("rank") <= most).select("page_id", "rank", "title", full.alias("url"), "snippet")
+def selected_results(pages: DataFrame, container: str, title: str, url: str, snippet: str = "", most: int = 10) -> DataFrame:
+    """page_id, rank, title, url (absolute), snippet of rendered results pages (page_id, url, html): what the selectors
+    (tag, .class, #id) find in each container, at most `most` a page."""
+    rows = H.result_rows(container, title, url, snippet, most)
+    return pages.select("page_id", F.explode(rows(F.col("html"), F.col("url"))).alias("r")).select("page_id", "r.*")
 
 
 def page_kind(url: Column, html: Column) -> Column:

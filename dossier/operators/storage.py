@@ -43,18 +43,34 @@ def apply_changes(stored: DataFrame, compared: DataFrame, strongest: DataFrame,
 def rewrite(df: DataFrame, path: str) -> None:
     """Replaces a table by a new version of itself: written beside it first, then moved over by the file system.
 
-    A failure before the move leaves the table as it was."""
+    A failure leaves the table as it was, or says where it is: the old version goes only when the new one stands."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     beside, old = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "._new"), jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "._old")
     df.write.mode("overwrite").parquet(beside.toString())
+    if fs.exists(old):  # of a run that broke off
+        if not fs.exists(target):
+            _move(fs, old, target)
+        else:
+            fs.delete(old, True)
+    there = fs.exists(target)
+    if there:
+        _move(fs, target, old)
+    try:
+        _move(fs, beside, target)
+    except OSError:
+        if there:
+            _move(fs, old, target)
+        raise
     fs.delete(old, True)
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(beside, target)
-    fs.delete(old, True)
+
+
+def _move(fs, source, target) -> None:
+    """A rename that failed is an error, not a value to be overlooked."""
+    if not fs.rename(source, target):
+        raise OSError(f"could not move {source.toString()} to {target.toString()}")
 
 
 def latest(history: DataFrame, key: list[str], at: str) -> DataFrame:

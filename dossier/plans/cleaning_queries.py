@@ -97,6 +97,9 @@ def fields_sql(change, *fields):
 
 _text = ("first_name", "last_name", "title", "company_name", "address_line_1", "city", "industry_label", "url")
 add("clean_whitespace", (*_text, "duns_number", "naics_code"), fields_sql(norm, *_text) + ", " + fields_sql(strip, "duns_number", "naics_code"), only=("CLN-001", "CLN-024", "CLN-025", "CLN-035", "CLN-051", "CLN-052", "CLN-056", "CLN-059"))
+_marked = "title || ' Cafe' || chr(769)"
+QUERIES["clean_whitespace_unicode"] = lambda spark, sf_dir: cleaning.clean(contacts(spark, sf_dir).withColumn("title", F.concat("title", F.lit(" Cafe\u0301"))), Profile(only=("CLN-001",))).select("k", "title")
+SQL["clean_whitespace_unicode"] = f"WITH contacts AS ({derived.plain(derived.CONTACTS)}) SELECT k, {norm(f'nfc_normalize({_marked})')} AS title FROM contacts"
 _low = lambda x: f"CASE WHEN contains({x}, '@') THEN lower({_MAIL.format(x=x)}) ELSE {_MAIL.format(x=x)} END"
 add("clean_email_case", ("email", "company_email"), fields_sql(_low, "email", "company_email"), only=("CLN-011", "CLN-013", "CLN-014"))
 add("clean_phone_artifact", ("direct_phone", "phone"), fields_sql(lambda x: _PHONE.format(x=x), "direct_phone", "phone"), only=("CLN-012",))
@@ -210,12 +213,12 @@ _pairs = {"CLN-012": [(f, _PHONE.format(x=f)) for f in ("direct_phone", "phone")
 _changes = " UNION ALL ".join(f"SELECT k, 'change' AS kind, '{r}' AS rule_id, '{f}' AS field_name, {f} AS old_value, {new} AS new_value, NULL AS code FROM contacts WHERE {f} IS DISTINCT FROM {new}" for r, fs in _pairs.items() for f, new in fs)
 _warnings = "SELECT k, 'warning' AS kind, 'CLN-032' AS rule_id, 'business_description' AS field_name, NULL AS old_value, NULL AS new_value, 'BUSINESS_DESCRIPTION_SUSPICIOUSLY_SHORT' AS code FROM contacts WHERE business_description <> '' AND length(business_description) < 10"
 _with = f"WITH contacts AS ({derived.plain(derived.CONTACTS)}), audit AS ({_changes} UNION ALL {_warnings}) "
-QUERIES["clean_audit_trail"] = lambda spark, sf_dir: cleaning.audit_trail(cleaning.clean(contacts(spark, sf_dir), _few), "k").drop("position")
-SQL["clean_audit_trail"] = _with + "SELECT * FROM audit"
+QUERIES["clean_audit_trail"] = lambda spark, sf_dir: cleaning.audit_trail(cleaning.clean(contacts(spark, sf_dir), _few), "k").drop("position", "at")
+SQL["clean_audit_trail"] = _with + f"SELECT *, '{cleaning.VERSION}' AS rule_version FROM audit"
 QUERIES["clean_rule_metrics"] = lambda spark, sf_dir: cleaning.rule_metrics(cleaning.clean(contacts(spark, sf_dir), _few), _few).drop("stage", "category")
-SQL["clean_rule_metrics"] = _with + f"SELECT rule_id, (SELECT count(*) FROM contacts) AS records_evaluated, count(DISTINCT CASE WHEN kind = 'change' THEN k END) AS records_affected, count(CASE WHEN kind = 'change' THEN 1 END) AS changes, count(CASE WHEN kind = 'warning' THEN 1 END) AS warnings FROM (SELECT unnest([{quoted(_few.only)}]) AS rule_id) r LEFT JOIN audit USING (rule_id) GROUP BY rule_id"
+SQL["clean_rule_metrics"] = _with + f"SELECT rule_id, (SELECT count(*) FROM contacts) AS records_evaluated, count(DISTINCT CASE WHEN kind = 'change' THEN k END) AS records_affected, count(CASE WHEN kind = 'change' THEN 1 END) AS changes, count(CASE WHEN kind = 'warning' THEN 1 END) AS warnings, CAST(0 AS bigint) AS failures FROM (SELECT unnest([{quoted(_few.only)}]) AS rule_id) r LEFT JOIN audit USING (rule_id) GROUP BY rule_id"
 QUERIES["clean_run_report"] = lambda spark, sf_dir: cleaning.run_report(cleaning.clean(contacts(spark, sf_dir), _few))
-SQL["clean_run_report"] = _with + "SELECT (SELECT count(*) FROM contacts) AS records, count(DISTINCT CASE WHEN kind = 'change' THEN k END) AS records_with_changes, count(DISTINCT CASE WHEN kind = 'warning' THEN k END) AS records_with_warnings, count(CASE WHEN kind = 'change' THEN 1 END) AS changes, count(CASE WHEN kind = 'warning' THEN 1 END) AS warnings FROM audit"
+SQL["clean_run_report"] = _with + "SELECT (SELECT count(*) FROM contacts) AS records, count(DISTINCT CASE WHEN kind = 'change' THEN k END) AS records_with_changes, count(DISTINCT CASE WHEN kind = 'warning' THEN k END) AS records_with_warnings, count(CASE WHEN kind = 'change' THEN 1 END) AS changes, count(CASE WHEN kind = 'warning' THEN 1 END) AS warnings, CAST(0 AS bigint) AS failures FROM audit"
 
 # ---- the same of a whole run: all rules of the default profile --------------------------------------------------
 
@@ -263,9 +266,9 @@ _all = " UNION ALL ".join([
 _RULES = sorted({r for r, *_ in (*_STEPS, *_DERIVED)} | set(CONDITIONS) | {"CLN-044", "CLN-059"})
 _acronym = f"len(list_filter(regexp_extract_all({norm('title')}, '(\\s+|[,/-]|[^\\s,/-]+)'), lambda t: lower(t) IN ({quoted(R.ACRONYMS)}))) > 0"
 _run = CLEAN + f", audit AS MATERIALIZED ({_all}), affected AS (SELECT rule_id, k FROM audit WHERE kind = 'change' UNION SELECT 'CLN-004', k FROM contacts WHERE {_acronym}) "
-QUERIES["clean_audit_trail_all"] = lambda spark, sf_dir: cleaning.audit_trail(cleaning.clean(contacts(spark, sf_dir)), "k").drop("position")
-SQL["clean_audit_trail_all"] = _run + "SELECT * FROM audit"
+QUERIES["clean_audit_trail_all"] = lambda spark, sf_dir: cleaning.audit_trail(cleaning.clean(contacts(spark, sf_dir)), "k").drop("position", "at")
+SQL["clean_audit_trail_all"] = _run + f"SELECT *, '{cleaning.VERSION}' AS rule_version FROM audit"
 QUERIES["clean_rule_metrics_all"] = lambda spark, sf_dir: cleaning.rule_metrics(cleaning.clean(contacts(spark, sf_dir))).drop("stage", "category")
-SQL["clean_rule_metrics_all"] = _run + f"SELECT rule_id, (SELECT count(*) FROM contacts) AS records_evaluated, (SELECT count(*) FROM affected a WHERE a.rule_id = r.rule_id) AS records_affected, count(CASE WHEN kind = 'change' THEN 1 END) AS changes, count(CASE WHEN kind = 'warning' THEN 1 END) AS warnings FROM (SELECT unnest([{quoted(_RULES)}]) AS rule_id) r LEFT JOIN audit USING (rule_id) GROUP BY rule_id"
+SQL["clean_rule_metrics_all"] = _run + f"SELECT rule_id, (SELECT count(*) FROM contacts) AS records_evaluated, (SELECT count(*) FROM affected a WHERE a.rule_id = r.rule_id) AS records_affected, count(CASE WHEN kind = 'change' THEN 1 END) AS changes, count(CASE WHEN kind = 'warning' THEN 1 END) AS warnings, CAST(0 AS bigint) AS failures FROM (SELECT unnest([{quoted(_RULES)}]) AS rule_id) r LEFT JOIN audit USING (rule_id) GROUP BY rule_id"
 QUERIES["clean_run_report_all"] = lambda spark, sf_dir: cleaning.run_report(cleaning.clean(contacts(spark, sf_dir)))
 SQL["clean_run_report_all"] = _run + SQL["clean_run_report"].removeprefix(_with)

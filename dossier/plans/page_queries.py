@@ -180,11 +180,12 @@ def _(spark, d):
 _robots = "SELECT DISTINCT h AS host FROM (SELECT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS h FROM {pages}) x"
 
 
-@query("robots_gate", f"SELECT page_id, NOT (CASE WHEN length({_authority('url')}) % 2 = 0 THEN starts_with({_path('url')}, '/a') AND NOT starts_with({_path('url')}, '/ab') ELSE false END) AS allowed FROM pages")
+@query("robots_gate", f"SELECT page_id, NOT (length({_authority('url')}) % 2 = 0 AND ((starts_with({_path('url')}, '/de') AND NOT starts_with({_path('url')}, '/de/1')) OR starts_with({_path('url')}, '/fr/1'))) AS allowed FROM pages")
 def _(spark, d):
     p = pages(spark, d)
     hosts = p.select(F.lower(U.part(F.col("url"), 2)).alias("host")).distinct()
-    body = F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /a\nAllow: /ab\n")
+    # The first line for a path holds, so /de/2 stays forbidden; only the first group for all counts; `other` is nobody here.
+    body = F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *   # everyone\nAllow: /de/1\nDisallow: /de\nAllow: /de/2\nDisallow: /fr/1\nAllow: /fr\n\nUser-agent: *\nDisallow: /\n")
     files = hosts.select("host", F.when(F.length("host") % 2 == 0, 200).otherwise(404).alias("http_status"), body.alias("body"))
     return landed.allowed(p, landed.robots_rules(files)).select("page_id", "allowed")
 
@@ -201,7 +202,10 @@ def _stream(spark, d):
     return spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
 
 
-@query("stream_health")
+_streaks = "WITH a AS (SELECT user_id AS provider_id, event_id AS seq, event_type <> 'error' AS ok FROM events), i AS (SELECT *, sum(CAST(ok AS int)) OVER (PARTITION BY provider_id ORDER BY seq) AS g FROM a)"
+
+
+@query("stream_health", _streaks + " SELECT provider_id, seq, CAST(n AS int) AS consecutive_failures, CASE WHEN n >= 3 THEN 'unhealthy' WHEN n > 0 THEN 'degraded' ELSE 'healthy' END AS status FROM (SELECT provider_id, seq, sum(CAST(NOT ok AS int)) OVER (PARTITION BY provider_id, g ORDER BY seq) AS n FROM i)")
 def _(spark, d):
     from dossier.streaming import health
 
@@ -209,7 +213,7 @@ def _(spark, d):
     return health.run_once(health.breaker(a), "stream_health_out")
 
 
-@query("stream_session_activity")
+@query("stream_window_activity", "SELECT * FROM (SELECT date_trunc('hour', ts) AS start, user_id, count(*) AS events, count(CASE WHEN event_type = 'error' THEN 1 END) AS failures FROM events GROUP BY ALL) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
 def _(spark, d):
     from dossier.streaming import health
 

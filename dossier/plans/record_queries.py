@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier import refdata as R
-from dossier.operators import comparison, evaluation, identity, inflection, providers, simulation, storage
+from dossier.operators import comparison, evaluation, identity, inflection, providers, simulation, storage, subjects
 from dossier.plans import derived
 
 QUERIES, SQL = {}, {}
@@ -169,7 +172,7 @@ _events = _compare + f""", wide AS MATERIALIZED (SELECT ref, {", ".join(f"max(CA
 
 def _found(spark, d):
     v = _verdicts(spark, d)
-    return v, inflection.detect(v, comparison.summaries(v))
+    return v, inflection.detect(v)
 
 
 @query("infl_seniority", WITH + f" SELECT subject_id, title, {_rank('title')} AS rank FROM people")
@@ -310,6 +313,51 @@ def _(spark, d):
     return evaluation.batch_statistics(_rows(spark, d))
 
 
+# ---- whole runs --------------------------------------------------------------------------------------------------
+
+#: The same comparison without difflib, which SQL has not.
+_EXACT = comparison.ComparisonProfile(tuple((f, "exact", None, a) for f, _, _, a in R.COMPARED))
+_run = _decided + _events + f""", state AS MATERIALIZED (SELECT subject_id, k, nullif(trim(coalesce(first_name, '') || ' ' || coalesce(last_name, '')), '') AS name, company_name, k % 13 = 0 AS broken,
+ subject_id IN (SELECT subject_id FROM observed) AS seen FROM people),
+ felt AS MATERIALIZED (SELECT events.* FROM events JOIN state ON ref = subject_id WHERE seen AND NOT broken AND name IS NOT NULL),
+ best AS MATERIALIZED (SELECT ref, arg_max(type, round(confidence, 6) * 1000 - position) AS type FROM felt GROUP BY ref), cur AS (SELECT ref, {_now} FROM wide),
+ said AS MATERIALIZED (SELECT ref, CASE type {" ".join(f"WHEN '{k}' THEN {_fill(t)}" for k, t in R.MESSAGES.items())} END AS message FROM best JOIN cur USING (ref)),
+ status AS MATERIALIZED (SELECT state.*, CASE WHEN name IS NULL OR broken THEN 'failed' WHEN k % 11 = 0 THEN 'partial' ELSE 'success' END AS status,
+ CASE WHEN name IS NULL THEN '{subjects.NO_NAME}' ELSE concat_ws('; ', CASE WHEN k % 11 = 0 THEN 'Enrichment (person) failed: timeout' END, CASE WHEN broken THEN 'Comparison failed: broken' END) END AS errors,
+ CASE WHEN name IS NOT NULL THEN decision END AS identity FROM state JOIN decided ON ref = subject_id)"""
+
+
+def _processed(spark, d, profile=None):
+    p, o = people(spark, d), observed(spark, d)
+    failed = p.where("k % 11 = 0").select("subject_id", F.lit("Enrichment (person)").alias("stage"), F.lit("timeout").alias("error"))
+    failed = failed.unionByName(p.where("k % 13 = 0").select("subject_id", F.lit("Comparison").alias("stage"), F.lit("broken").alias("error")))
+    held = stored(spark, d)
+    none = {"title": "string", "company": "string", "url": "string", "last_inflection_type": "string", "last_inflection_confidence": "double", "last_inflection_explanation": "string", "last_inflection_detected_at": "timestamp", "created_at": "timestamp", "updated_at": "timestamp"}
+    held = held.select("subject_id", "name", "email", "phone", "duns_number", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    return subjects.process(p, "subject_id", o, held, F.expr(_RUN), failures=failed, profile=profile), o
+
+
+@query("process_subjects", WITH + _run + " SELECT subject_id, name AS executive_name, status, errors, identity, CASE WHEN NOT seen OR name IS NULL THEN 'not_detected' ELSE coalesce((SELECT string_agg(DISTINCT type, ',' ORDER BY type) FROM felt WHERE felt.ref = subject_id), 'none') END AS inflections_detected, message FROM status LEFT JOIN said ON ref = subject_id")
+def _(spark, d):
+    return _processed(spark, d, _EXACT)[0].reports.select("subject_id", "executive_name", "status", "errors", "identity", "inflections_detected", "message")
+
+
+@query("process_subjects_fuzzy")
+def _(spark, d):
+    return _processed(spark, d)[0].reports.select("subject_id", "executive_name", "status", "errors", "identity", "comparison_summary", "inflections_detected", "message")
+
+
+@query("run_report_full", WITH + _run + """ SELECT count(*) AS subjects, count(CASE WHEN status = 'success' THEN 1 END) AS success, count(CASE WHEN status = 'partial' THEN 1 END) AS partial, count(CASE WHEN status = 'failed' THEN 1 END) AS failed,
+ CAST(sum(CASE WHEN errors = '' THEN 0 ELSE len(string_split(errors, '; ')) END) AS bigint) AS errors, (SELECT count(DISTINCT ref) FROM felt) AS subjects_with_inflections, (SELECT count(*) FROM said) AS messages,
+ count(CASE WHEN identity = 'auto_merge' THEN 1 END) AS auto_merge, count(CASE WHEN identity = 'candidate_review' THEN 1 END) AS candidate_review, count(CASE WHEN identity = 'new_identity' THEN 1 END) AS new_identity,
+ (SELECT count(*) FROM felt) AS inflections, (SELECT count(*) FROM observed) AS observations, (SELECT count(DISTINCT subject_id) FROM observed) AS subjects_with_evidence,
+ (SELECT CAST(count(*) AS bigint) FROM compared JOIN state ON ref = subject_id WHERE status IN ('changed', 'new') AND new IS NOT NULL AND NOT broken AND name IS NOT NULL) AS fields_updated,
+ round(count(CASE WHEN status = 'success' THEN 1 END) / count(*) * 100, 6) AS success_rate, round((SELECT count(DISTINCT ref) FROM felt) / count(*) * 100, 6) AS inflection_rate, round(count(CASE WHEN identity = 'auto_merge' THEN 1 END) / count(identity) * 100, 6) AS merge_rate FROM status""")
+def _(spark, d):
+    run, o = _processed(spark, d, _EXACT)
+    return subjects.summary(run, o).withColumns({c: F.round(c, 6) for c in ("success_rate", "inflection_rate", "merge_rate")})
+
+
 # ---- providers ---------------------------------------------------------------------------------------------------
 
 _health = f"WITH attempts AS ({derived.plain(derived.ATTEMPTS)}), island AS (SELECT *, sum(CAST(ok AS int)) OVER (PARTITION BY provider_id ORDER BY seq) AS g FROM attempts), streak AS MATERIALIZED (SELECT provider_id, seq, ok, CAST(sum(CAST(NOT ok AS int)) OVER (PARTITION BY provider_id, g ORDER BY seq) AS bigint) AS n FROM island)"
@@ -362,10 +410,13 @@ def _template(k, t):
     return f"SELECT subject_id, {k} AS position, {filled} AS query FROM subject WHERE {' AND '.join(needs)}"
 
 
-@query("query_templates", WITH + ", subject AS (SELECT subject_id, trim(coalesce(first_name, '') || ' ' || coalesce(last_name, '')) AS name, coalesce(company_name, '') AS company, coalesce(title, '') AS title FROM people) SELECT subject_id, query, min(position) AS position FROM (" + " UNION ALL ".join(_template(k, t) for k, t in enumerate(R.QUERY_TEMPLATES["google_web_search"])) + ") GROUP BY subject_id, query")
+_subject = ", subject AS (SELECT subject_id, trim(coalesce(first_name, '') || ' ' || coalesce(last_name, '')) AS name, coalesce(company_name, '') AS company, coalesce(title, '') AS title FROM people)"
+
+
+@query("query_templates", WITH + _subject + " SELECT provider, subject_id, query, min(position) AS position FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS provider, x.* FROM ({_template(k, t)}) x" for p, ts in R.QUERY_TEMPLATES.items() for k, t in enumerate(ts)) + ") GROUP BY provider, subject_id, query")
 def _(spark, d):
     s = people(spark, d).select("subject_id", F.concat(F.coalesce("first_name", F.lit("")), F.lit(" "), F.coalesce("last_name", F.lit(""))).alias("name"), F.col("company_name").alias("company"), "title")
-    return providers.queries(s, "google_web_search")
+    return reduce(DataFrame.unionByName, [providers.queries(s, p).withColumn("provider", F.lit(p)) for p in R.QUERY_TEMPLATES])
 
 
 _bodies = "SELECT event_id AS subject_id, 'user' || CAST(user_id AS string) || '@x.com' AS email, CAST(CASE event_id % 9 WHEN 0 THEN 429 WHEN 1 THEN 500 WHEN 2 THEN 408 ELSE 200 END AS int) AS http_status, CASE event_id % 7 WHEN 0 THEN 'throttle_triggered' WHEN 1 THEN 'temp_unavail' ELSE 'success' END AS s, CASE event_id % 5 WHEN 0 THEN 'valid' WHEN 1 THEN 'invalid' WHEN 2 THEN 'disposable' WHEN 3 THEN 'catchall' ELSE 'unknown' END AS r FROM {events}"

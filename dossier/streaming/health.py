@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,19 +22,23 @@ def breaker(attempts: DataFrame, threshold: int = UNHEALTHY) -> DataFrame:
 
     def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values("seq")
-        streaks = []
-        for ok in rows["ok"]:
-            streak = 0 if ok else streak + 1
-            streaks.append(streak)
-        state.update((streak,))
-        yield pd.DataFrame({"provider_id": rows["provider_id"], "seq": rows["seq"], "consecutive_failures": streaks, "status": ["unhealthy" if s >= threshold else "degraded" if s else "healthy" for s in streaks]})
+        rows = pd.concat(list(frames)).sort_values("seq")  # one provider's attempts since the last batch
+        failed = ~rows["ok"].to_numpy(bool)
+        total = np.cumsum(failed)
+        base = np.maximum.accumulate(np.where(failed, -streak, total))  # failures before the last success
+        streaks = total - base
+        state.update((int(streaks[-1]),))
+        status = np.select([streaks >= threshold, streaks > 0], ["unhealthy", "degraded"], "healthy")
+        yield pd.DataFrame({"provider_id": rows["provider_id"], "seq": rows["seq"], "consecutive_failures": streaks, "status": status})
 
     return attempts.groupBy("provider_id").applyInPandasWithState(fold, OUT, "streak int", "append", GroupStateTimeout.NoTimeout)
 
 
 def activity(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Events and failures by window and user, late data within the watermark."""
+    """Events and failures by tumbling window and user, late data within the watermark.
+
+    In append mode a window comes out once the watermark (the latest time less `late`) has passed its end; those
+    that are still open then come with later events."""
     w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "user_id")
     return w.agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("failures")).select(F.col("window.start").alias("start"), "user_id", "events", "failures")
 

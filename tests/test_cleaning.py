@@ -10,7 +10,7 @@ from dossier.operators.rules import BUSINESS, RULES, SAFE, ConfigurationError
 
 def run(spark, field, values, only, **params):
     df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], f"k int, {field} string")
-    return [r for r in cleaning.clean(df, Profile(only=only, parameters=params.get("parameters", {}), unicode=params.get("unicode", False))).orderBy("k").collect()]
+    return [r for r in cleaning.clean(df, Profile(only=only, parameters=params.get("parameters", {}))).orderBy("k").collect()]
 
 
 def test_registry():
@@ -51,7 +51,7 @@ def test_parameters(spark):
     assert [(r["last_name"], r["name_suffix"]) for r in run(spark, "last_name", ["Smith jr.", "Ives"], ("CLN-003",), parameters={"CLN-003": {"strip": True}})] == [("Smith", "jr."), ("Ives", None)]
     assert [r["phone"] for r in run(spark, "phone", ["(555) 010-2000", "15550102000", "+44 20", "call"], ("CLN-016",), parameters={"CLN-016": {"default_region": "US"}})] == ["+15550102000", "+15550102000", "+4420", "call"]
     assert [r["postal_code"] for r in run(spark, "postal_code", ["12345-6789", "x"], ("CLN-039",), parameters={"CLN-039": {"target": "5_digit"}})] == ["12345", "x"]
-    assert run(spark, "title", ["Café"], ("CLN-001",), unicode=True)[0]["title"] == "Café"
+    assert run(spark, "title", ["Café"], ("CLN-001",))[0]["title"] == "Café"
 
 
 def test_configuration_errors():
@@ -110,7 +110,8 @@ def test_reports_of_a_whole_run_equal_sql(spark):
         for name in ("clean_audit_trail_all", "clean_rule_metrics_all", "clean_run_report_all"):
             out = registry.queries()[name](spark, folder)
             peer = db.sql(registry.oracle_sql()[name])
-            assert out.columns == peer.columns
+            assert sorted(out.columns) == sorted(peer.columns)
+            out = out.select(*peer.columns)
             assert Counter(map(tuple, out.collect())) == Counter(peer.fetchall()), name
             if name == "clean_rule_metrics_all":
                 assert {r["rule_id"] for r in out.collect()} == {r.id for r in RULES if r.default} and out.count() == 54

@@ -51,15 +51,15 @@ def test_verdicts(spark):
 
 def test_inflections_and_messages(spark):
     v, _ = _case(spark, [("full_name", "Ann Lee"), ("title", "CEO"), ("company_name", "Beta {title}")])
-    events = inflection.detect(v, comparison.summaries(v))
+    events = inflection.detect(v)
     got = {r["type"]: r["confidence"] for r in events.collect()}
     assert set(got) == {"promotion", "company_change"} and got["promotion"] == pytest.approx(0.9)
     m = inflection.messages(events, v).first()
     assert m["type"] == "company_change" and m["message"].startswith("Hi Ann Lee, congratulations on your new role as CEO at Beta {title}!")
     v, _ = _case(spark, [("full_name", "Ann Lee")])
-    assert [r["type"] for r in inflection.detect(v, comparison.summaries(v)).collect()] == ["possible_resignation"]
+    assert [r["type"] for r in inflection.detect(v).collect()] == ["possible_resignation"]
     with pytest.raises(ConfigurationError):
-        inflection.detect(v, comparison.summaries(v), {"INF-001": 2.0})
+        inflection.detect(v, {"INF-001": 2.0})
 
 
 def test_identity_scores_gate_and_no_cartesian_product(spark):
