@@ -11,11 +11,13 @@ The join goes by word shingles ordered by rarity:
 4. the candidate's words are compared with the window's, all of them.
 
 The benchmark is the query side.  It is taken in blocks of at most BLOCK_BYTES of text, each small
-enough to send to every worker; the corpus is never shuffled.
+enough to send to every worker; with one the corpus is not shuffled, with more the texts are, once.
 
 Defined cases: a null or empty text or item has no words and no window; equal windows of several
 items count for each of them; items with a null id mark words but are not listed; repeated rows are
-judged alike.
+judged alike; an empty table of documents gives no rows, an empty benchmark no hits; a very long text is
+taken whole; other columns pass through whatever their names, but for those with the names of the output,
+which are replaced.
 """
 
 from __future__ import annotations
@@ -170,7 +172,14 @@ def _scan(docs: DataFrame, text: str, index: Index) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """docs plus n_words long, hit_spans array<struct<start, end>> and item_ids array<string> (sorted)."""
-    docs = docs.drop("n_words", "hit_spans", "item_ids")
+    clean = docs.drop("n_words", "hit_spans", "item_ids")
+    found = _found(pack(clean, _text=text), benchmark, item, item_text, window, shingle)
+    return unpack(found, clean, {}, {c: F.col(c) for c in ("n_words", "hit_spans", "item_ids")}, _text=text)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, item: str, item_text: str, window: int, shingle: int) -> DataFrame:
+    """docs (_text, _row) plus n_words, hit_spans and item_ids."""
+    text = "_text"
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("body"))
     size = items.agg(F.sum(F.octet_length("body")).alias("b")).first()["b"] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
@@ -222,5 +231,6 @@ def n_hit(spans: str = "hit_spans"):
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any benchmark window, with their own columns."""
     text = options.pop("text", "text")
-    found = contamination(pack(docs, _text=text), benchmark, text="_text", **options)
+    names = {"item": "item_id", "item_text": "text", "window": WINDOW, "shingle": SHINGLE} | options
+    found = _found(pack(docs, _text=text), benchmark, **names)
     return unpack(found.where(F.size("hit_spans") == 0), docs, _text=text)

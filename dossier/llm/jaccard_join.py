@@ -19,7 +19,9 @@ their sets reaches the threshold.  The result is each document's component: no p
 
 Defined cases: a document without words has an empty set and links with nothing, not even with another
 such; with fewer words than a shingle its whole word sequence is its only shingle; equal sets are one
-class from the start; ids may be null or repeated.
+class from the start; ids may be null or repeated, but are whole numbers (others raise TypeError); an empty
+table gives no rows; a very long text is taken whole; other columns pass through keep_one whatever their
+names.
 """
 
 from __future__ import annotations
@@ -401,5 +403,7 @@ def keep_one(docs: DataFrame, threshold: str = "0.8", shingle: int = 5, key: str
     group = F.coalesce(F.col("_component"), F.xxhash64("_d", "_v"))
     stay = found.groupBy(group.alias("_g"), F.col("_component").isNull().alias("_e")).agg(F.min(F.struct("_d", "_v")).alias("_x")).select("_x._d", "_x._v")
     dealt = keyed(packed, "_key", "_text").join(stay.distinct(), KEY)
-    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(0)))
+    # Of rows with the same id and text the least stays, by what else they hold.
+    whole_row = F.to_json(F.struct("_row"))
+    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.xxhash64(whole_row), whole_row))
     return unpack(dealt.withColumn("_nth", nth).where("_nth = 1"), docs, **names)

@@ -5,7 +5,9 @@ white space) and hashed whole; the digest is joined with those of known licences
 licences has a fixed size and is the only thing broadcast; the texts are not shuffled.
 
 Defined cases: a null or empty text has the canonical form '' and matches nothing; repeated rows match
-alike; a text that is a licence with words before or after it is not that licence.
+alike; a text that is a licence with words before or after it is not that licence (its usual titles are
+known); an empty table gives no rows; a very long text is hashed whole; other columns pass through whatever
+their names, but for those with the names of the output, which are replaced.
 """
 
 from __future__ import annotations
@@ -13,6 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossier.llm._pack import pack, unpack
+
+#: Text of known licences up to which their digests are broadcast.
+KNOWN_BYTES = 64 << 20
 # Texts of well-known licences, without their copyright lines.
 KNOWN = {
     "MIT": """MIT License
@@ -55,12 +61,45 @@ In jurisdictions that recognize copyright laws, the author or authors of this so
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
 
 For more information, please refer to <https://unlicense.org>""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSL-1.0": """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "MIT-0": """MIT No Attribution
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "Apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 
     http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
 }
+# The titles that stand above these texts, or do not.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "Expat License", ""),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", ""),
+    "0BSD": ("", "BSD Zero Clause License", "Zero-Clause BSD", "0BSD"),
+    "BSD-2-Clause": ("", "BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License", "FreeBSD License"),
+    "BSD-3-Clause": ("", "BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "Modified BSD License", "Revised BSD License"),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003", ""),
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License", "MIT-0", ""),
+    "Unlicense": ("", "The Unlicense", "Unlicense"),
+    "Zlib": ("", "zlib License", "The zlib License", "zlib/libpng License"),
+}
 # A copyright line, and spellings that mean the same (pattern, replacement), after lower-casing.
 COPYRIGHT_LINE = r"(^|\n)[ \t#/*;-]*(copyright[ \t]*(\(c\)|©|[0-9])|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*"
 SPELLINGS = [
@@ -86,15 +125,30 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(c, PUNCTUATION, " "))
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """license_id and text, under each title that it goes by."""
+    out = []
+    for name, body in sorted(KNOWN.items()):
+        titles = TITLES.get(name, ("",))
+        bare = body.removeprefix(titles[0]).lstrip()
+        out += [(name, f"{title}\n\n{bare}" if title else bare) for title in titles]
+    return out
+
+
 def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
-    """license_id and digest of each known licence, by the same canonical form."""
-    rows = spark.createDataFrame(sorted((known or KNOWN).items()), "license_id string, body string")
-    return rows.select(F.sha2(canonical(F.col("body")), 256).alias("canonical_sha256"), "license_id").groupBy("canonical_sha256").agg(F.min("license_id").alias("license_id"))
+    """license_id and digest of each known licence, by the same canonical form; a text of the caller's counts as it stands."""
+    rows = spark.createDataFrame(known_texts() if known is None else sorted(known.items()), "license_id string, body string")
+    return rows.select(F.sha2(canonical(F.col("body")), 256).alias("_digest"), "license_id").groupBy("_digest").agg(F.min("license_id").alias("_license"))
 
 
 def license_scan(docs: DataFrame, text: str = "text", known: dict[str, str] | None = None) -> DataFrame:
-    """docs plus canonical_chars int, canonical_sha256 string, and license_id string (null: none)."""
-    c = canonical(F.col(text))
-    keyed = docs.drop("canonical_chars", "canonical_sha256", "license_id").withColumn("_canonical", c)
-    keyed = keyed.withColumn("canonical_chars", F.length("_canonical")).withColumn("canonical_sha256", F.sha2("_canonical", 256)).drop("_canonical")
-    return keyed.join(F.broadcast(known_digests(docs.sparkSession, known)), "canonical_sha256", "left")  # a fixed table
+    """docs plus canonical_chars int, canonical_sha256 string, and license_id string (null: none).
+
+    known: texts by licence instead of the bundled ones, as many as a driver's dictionary holds in some MB."""
+    clean = docs.drop("canonical_chars", "canonical_sha256", "license_id")
+    rows = pack(clean, _text=text).withColumn("_canonical", canonical(F.col("_text")))
+    rows = rows.withColumns({"_chars": F.length("_canonical"), "_digest": F.sha2("_canonical", 256)}).drop("_canonical")
+    digests = known_digests(docs.sparkSession, known)
+    small = sum(len(b) for b in (known or KNOWN).values()) < KNOWN_BYTES
+    out = rows.join(F.broadcast(digests) if small else digests, "_digest", "left")
+    return unpack(out, clean, {}, {"canonical_chars": F.col("_chars"), "canonical_sha256": F.col("_digest"), "license_id": F.col("_license")}, _text=text)

@@ -54,7 +54,7 @@ def _canonical(text: str) -> str:
 
 
 def op9() -> str:
-    known = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(licenses.KNOWN.items()))
+    known = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.known_texts())
     return f"""WITH known AS (SELECT sha256({_canonical('body')}) AS canonical_sha256, min(license_id) AS license_id FROM (VALUES {known}) v(license_id, body) GROUP BY ALL),
 c AS (SELECT doc_id, {_canonical('text')} AS c FROM documents)
 SELECT doc_id, CAST(length(c) AS int) AS canonical_chars, sha256(c) AS canonical_sha256, license_id, license_id IS NOT NULL AS is_license FROM c LEFT JOIN known ON sha256(c) = canonical_sha256"""

@@ -13,7 +13,9 @@ MIN_DOCS of the documents, and in toxic ones above chance.  Scoring reads every
 
 Defined cases: a null or empty text has no sentence and scores 0; with no labels, or labels of one
 class, every score is 0 or 1 accordingly with no words (0 without labels); conflicting labels of one
-document count as toxic; repeated rows score alike.
+document count as toxic; of an id with several texts one is learnt from (the least by hash); repeated rows
+score alike; an empty table gives no rows; a very long text is scored whole; other columns pass through, but
+for those with the names of the output, which are replaced.
 """
 
 from __future__ import annotations
@@ -104,6 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, key: st
     kind = dict(labels.dtypes)[key]
     chosen = spark.createDataFrame([(r[key], r["_y"]) for r in picked], f"_key {kind}, _y int")
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")  # TRAIN_ROWS ids
+    rows = rows.groupBy("_key", "_y").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))  # one text an id, however often it stands there
     by = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
     if len(by) < 2:
         return Model(np.zeros(0, U64), np.zeros(0), 30.0 if 1 in by else -30.0)

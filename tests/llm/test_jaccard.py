@@ -83,3 +83,11 @@ def test_one_of_each_group_stays(spark):
     empty = sum(not (t or "").split() for _, t in rows)
     assert len(got) == len({c for _, n, c in groups if n}) + empty
     assert jaccard_join.keep_one(table.limit(0)).count() == 0
+
+
+def test_of_rows_alike_the_least_stays(spark):
+    rows = [(7, "one two three four five six", "b"), (7, "one two three four five six", "a"), (8, "", "z"), (8, "", "y")]
+    for parts in (1, 3):
+        out = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _b string").repartition(parts)).collect()
+        first = {r["doc_id"]: r["_b"] for r in out} if parts == 1 else first
+        assert len(out) == 2 and {r["doc_id"]: r["_b"] for r in out} == first
