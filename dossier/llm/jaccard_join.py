@@ -26,9 +26,10 @@ names.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from fractions import Fraction
+from heapq import merge
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -256,19 +257,13 @@ class Lists:
         return found[count >= np.array([need(int(x)) for x in total], np.int64)]
 
     def _merge(self, tokens: np.ndarray, fits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents on the lists of `tokens` and how often: a heap merge of short lists, by counting once they are long."""
-        lists = [self.key[self.begin[x] : self.begin[x + 1]] - x * self.n for x in tokens.tolist()]
-        if sum(map(len, lists)) > 200:
-            count = np.bincount(np.concatenate(lists), minlength=self.n) * fits
-            found = np.flatnonzero(count)
-            return found, count[found]
+        """Documents on the lists of `tokens` and how often: a heap merge of the short lists."""
+        lists = [(self.key[self.begin[x] : self.begin[x + 1]] - x * self.n).tolist() for x in tokens.tolist()]
         found, count = [], []
-        for d in heapq.merge(*(x.tolist() for x in lists)):
-            if found and found[-1] == d:
-                count[-1] += 1
-            elif fits[d]:
+        for d, same in groupby(merge(*lists)):
+            if fits[d]:
                 found.append(d)
-                count.append(1)
+                count.append(sum(1 for _ in same))
         return np.array(found, np.int64), np.array(count, np.int64)
 
 
