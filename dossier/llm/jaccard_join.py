@@ -3,19 +3,22 @@
 A document is the set of its distinct word shingles.  Two documents link if the Jaccard similarity of
 their sets reaches the threshold.  The result is each document's component: no pair is listed.
 
-1. Blocks.  Shingles are ordered by rarity: how many sets of the whole corpus hold them (counted in
+1. Groups.  Shingles are ordered by rarity: how many sets of the whole corpus hold them (counted in
    tables partitioned by shingle, which batches of documents ask and fill at once).  Two sets that
    reach the threshold share one of their rarest n - ceil(t * n) + 1 shingles each, so those are the
-   only ones worth comparing, and of them only the ones that more than one set holds.  Most documents
-   have none and are done.  Sets that share one are tied together (combined where they are met: a
-   batch sends the least set of each shingle only, so a frequent one has a row a batch at most); the
-   components of the ties are the blocks.
-2. Search.  Inside a block, sets are searched with DivideSkip: of the inverted lists of a query's
-   shingles the short ones are merged with a heap, and documents with enough occurrences are probed
-   for by binary search in the long ones.  A set that has joined a component is not searched for
-   again, so a group of copies costs about one query.  A block of more than BLOCK sets is held against
-   one of them first, row by row; only what is not similar to it is searched for, in chunks, which
+   only ones worth comparing, and of them only the ones that more than one set holds: its tokens.
+   Most documents have none and are done.  A token's leader is the least set that holds it; a group is
+   a leader and every set that shares a token with it which it leads.  Two sets with a common token are
+   both in the group of its leader, so no link is missed, and groups are not closed over further ones:
+   a group is as large as the lists of one set's tokens, however the corpus hangs together.  Copies
+   have the same leaders for most of their tokens, so a set travels to few groups.
+2. Search.  Inside a group, sets are searched with DivideSkip, the leader first: of the inverted lists
+   of a query's shingles the short ones are merged with a heap, and documents with enough occurrences
+   are probed for by binary search in the long ones.  A set that has joined a component is not searched
+   for again, so a group of copies costs about one query.  A group of more than BLOCK sets goes in
+   chunks: the leader is searched for in each, then what is not similar to it, in chunk pairs, which
    bounds memory and drops nothing.
+3. Components of the links found.
 
 Defined cases: a document without words has an empty set and links with nothing, not even with another
 such; with fewer words than a shingle its whole word sequence is its only shingle; equal sets are one
@@ -43,8 +46,8 @@ from dossier.llm._pack import pack, unpack
 from dossier.llm._repeats import KEY, keyed
 from dossier.llm._text import LOWER, SPACE, U64, binary_column, gram_hashes, mix, planes, prefix_sums, ragged, row_groups, span_hashes, string_buffers, whole, word_hashes, word_spans
 
-#: Sets of a block that are searched in one task; bytes of text whose shingles are counted at once.
-BLOCK, BATCH_BYTES = 4000, 4 << 20
+#: Sets of a group that are searched in one task; bytes of text whose shingles are counted at once, and in one task.
+BLOCK, BATCH_BYTES, TASK_BYTES = 4000, 4 << 20, 64 << 20
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +116,9 @@ def _suspects(docs: DataFrame, text: str, n: int, t: Fraction) -> DataFrame:
 
     A suspect's set holds, among its rarest shingles, some that other sets hold too: its tokens.  Of equal
     sets of a batch the first row has them."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
+    # Partitions follow the bytes, so that no task and no table grows with the corpus.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     batches = max(parts, -(-size // BATCH_BYTES))
     width = 4 * parts  # tables of shingles: each is counted in memory
     dealt = docs.select("_d", "_v", text).withColumn("_b", F.pmod(F.xxhash64("_d", "_v"), F.lit(batches)).cast("long")).repartition(parts, "_b")
@@ -156,62 +160,22 @@ def _suspects(docs: DataFrame, text: str, n: int, t: Fraction) -> DataFrame:
         lists = [binary_column(h[member], np.where(chosen > 0, size, 0) * 8), binary_column(h[order][use], chosen * 8)]
         return pa.table([left["_d"], left["_v"], pa.array(size), pa.array(digest.view(np.int64)), *lists], names=names)
 
-    replies = dealt.groupBy("_b").applyInArrow(ask, _ROW).groupBy("_p").applyInArrow(answer, _ROW)
-    return dealt.groupBy("_b").cogroup(replies.groupBy("_b")).applyInArrow(choose, "_d long, _v long, _n long, _a long, _set binary, _tokens binary")
+    replies = dealt.groupBy("_b").applyInArrow(ask, _ROW).repartition(parts, "_p").groupBy("_p").applyInArrow(answer, _ROW)
+    return dealt.groupBy("_b").cogroup(replies.repartition(parts, "_b").groupBy("_b")).applyInArrow(choose, "_d long, _v long, _n long, _a long, _set binary, _tokens binary")
 
 
-def _candidates(suspects: DataFrame) -> DataFrame:
-    """u, v: sets that share a chosen shingle; each tied to the least that holds it."""
-    parts = int(suspects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    width = 2 * parts
-
-    def packed(p, x, y, kind):
-        return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array([kind] * len(p), pa.int8()), *(pa.array([v.tobytes() for v in c], pa.binary()) for c in (x, y))], names=["_p", "_k", "_x", "_y"])
-
-    def ties(node, token):
-        """Each token's least node, and the pairs that tie the others to it."""
-        order = np.lexsort((node, token))
-        node, token = node[order], token[order]
-        new = np.concatenate([[True], token[1:] != token[:-1]])
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        pairs = np.unique(np.stack([node, node[lead]], 1)[~new], axis=0)
-        return node[new], token[new], pairs[pairs[:, 0] != pairs[:, 1]]
+def _groups(suspects: DataFrame) -> DataFrame:
+    """_a, _block: the sets of every leader's group, the leader too.  suspects: _a, _tokens."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = string_buffers(batch.column("_tokens").cast(pa.large_binary()))
-            token = np.ascontiguousarray(data).view(U64)
-            if not len(token):
-                continue
-            node = np.repeat(batch.column("_a").to_numpy().view(U64), np.diff(offs) // 8)
-            node, token, tied = ties(node, token)
-            if len(tied):
-                yield packed([int(tied[0, 0] % U64(width))], [np.ascontiguousarray(tied[:, 0])], [np.ascontiguousarray(tied[:, 1])], 1)
-            target = (mix(token) % U64(width)).astype(np.int64)
-            order = np.argsort(target, kind="stable")
-            cut = np.flatnonzero(np.concatenate([[True], np.diff(target[order]) != 0, [True]]))
-            spans = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
-            yield packed([int(target[order[i]]) for i, _ in spans], [node[order[i:j]] for i, j in spans], [token[order[i:j]] for i, j in spans], 0)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, token, found = [], [], []
-        for batch in batches:
-            for k, x, y in zip(*(batch.column(c).to_pylist() for c in ("_k", "_x", "_y"))):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                if k == 1:
-                    found.append(np.stack([x, y], 1))
-                else:
-                    node.append(x), token.append(y)
-        if node:
-            found.append(ties(np.concatenate(node), np.concatenate(token))[2])
-        if found:
-            pairs = np.unique(np.concatenate(found), axis=0)
-            for k in range(0, len(pairs), 100_000):
-                own = np.ascontiguousarray(pairs[k : k + 100_000].T).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1])], names=["u", "v"])
-
-    dealt = suspects.select("_a", "_tokens").mapInArrow(deal, "_p int, _k byte, _x binary, _y binary").repartition(parts, "_p")
-    return dealt.mapInArrow(meet, "u long, v long")
+            token = np.ascontiguousarray(data).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(token), batch.column("_a").take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(offs) // 8)))], names=["_w", "_a"])
+
+    held = suspects.select("_a", "_tokens").mapInArrow(deal, "_w long, _a long")
+    leaders = held.groupBy("_w").agg(F.min("_a").alias("_block"), F.max("_a").alias("_last")).where("_last > _block").select("_w", "_block")
+    return held.join(leaders, "_w").select("_a", "_block").distinct()
 
 
 class Lists:
@@ -284,43 +248,61 @@ def link(sets: list[np.ndarray], t: Fraction) -> np.ndarray:
     return root
 
 
-def _against_pivot(members: DataFrame, t: Fraction) -> DataFrame:
-    """members plus _pivot (the least set of the block) and _linked (similar to it, or it)."""
-    pivots = members.groupBy("_block").agg(F.min(F.struct("_a", "_set")).alias("_p")).select("_block", F.col("_p._a").alias("_pivot"), F.col("_p._set").alias("_other"))
-    names = [*members.columns, "_pivot"]
-    schema = T.StructType([*members.schema.fields, T.StructField("_pivot", T.LongType()), T.StructField("_linked", T.BooleanType())])
+def _against_leader(members: DataFrame, t: Fraction) -> DataFrame:
+    """members without the leaders, plus _linked (similar to the leader): the leader is searched for in every chunk."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leads = F.col("_a") == F.col("_block")
+    chunk = F.when(leads, F.sequence(F.lit(0), F.col("_chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("_a"), "_chunks").cast("int")))
+    names = members.columns
+    schema = T.StructType([*members.schema.fields, T.StructField("_linked", T.BooleanType())])
+
+    def judged(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        sets = [np.frombuffer(x.as_buffer(), U64) for x in table["_set"]]
+        open_ = np.ones(len(sets), bool)
+        open_[0] = False
+        linked = np.zeros(len(sets), bool)
+        if len(sets) > 1:
+            linked[Lists(sets).search(0, open_, t)] = True
+        return pa.RecordBatch.from_arrays([*(table[c].combine_chunks() for c in names), pa.array(linked)], names=schema.names).slice(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("_set"), batch.column("_other")):
-                a, b = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                linked.append(common * t.denominator >= (len(a) + len(b) - common) * t.numerator)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(linked, pa.bool_())], names=schema.names)
+            k = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("_block", "_chunk")], 1)
+            cut = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(1), [True]]))
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                if tuple(k[lo]) != key and rows:
+                    yield judged(rows)
+                    rows = []
+                key = tuple(k[lo])
+                rows.append(batch.slice(lo, hi - lo).select(names))
+        if rows:
+            yield judged(rows)
 
-    return members.join(pivots, "_block").select(*names, "_other").mapInArrow(run, schema)
+    dealt = members.withColumn("_chunk", F.explode(chunk)).repartition(parts, "_block", "_chunk")
+    return dealt.sortWithinPartitions("_block", "_chunk", F.when(leads, 0).otherwise(1), "_a").mapInArrow(run, schema)
 
 
 def _links(members: DataFrame, t: Fraction) -> DataFrame:
-    """u, v: links that span the components of each block.  members: _a, _set, _block, _chunks.
+    """u, v: links that span the components of each group.  members: _a, _set, _block, _chunks.
 
-    A block of more than BLOCK sets is first held against one of them, its pivot; what is similar to the
-    pivot is one component already and need not be compared with itself.  The rest, mostly few, is
-    searched against all, chunk by chunk."""
+    In a group of one chunk the leader is the first query.  In others it is searched for chunk by chunk; what is
+    similar to it is one component already and need not be compared with itself.  The rest is searched
+    against all, in chunk pairs."""
     whole_blocks = members.where("_chunks = 1").withColumns({"_rest": F.lit(1), "_is_rest": F.lit(True)})
     large = members.where("_chunks > 1")
     if large.isEmpty():
         return _search(whole_blocks, t)
-    judged = checkpointed(_against_pivot(large, t))
-    tied = judged.where("_linked and _a <> _pivot").select(F.col("_a").alias("u"), F.col("_pivot").alias("v"))
+    judged = checkpointed(_against_leader(large, t))
+    tied = judged.where("_linked").select(F.col("_a").alias("u"), F.col("_block").alias("v"))
     rest = judged.where("not _linked").groupBy("_block").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_rest"))
     left = judged.join(rest, "_block").select("_a", "_set", "_block", "_chunks", "_rest", (~F.col("_linked")).alias("_is_rest"))
     return tied.unionByName(_search(whole_blocks.unionByName(left), t))
 
 
 def _search(members: DataFrame, t: Fraction) -> DataFrame:
-    """u, v: links found between the rest and all sets of each block.  members: _a, _set, _block, _chunks (of all
+    """u, v: links found between the rest and all sets of each group.  members: _a, _set, _block, _chunks (of all
     sets), _rest (chunks of the rest), _is_rest."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,8 +337,7 @@ def _search(members: DataFrame, t: Fraction) -> DataFrame:
                     if len(a) > 1:
                         out += settle(a, body)
                     key, a, body = k[:2], [], []
-                if not a or a[-1] != k[2]:  # several batches may hold the same set
-                    a.append(k[2]), body.append(k[3])
+                a.append(k[2]), body.append(k[3])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["u", "v"])
                 out = []
@@ -373,10 +354,12 @@ def near_components(docs: DataFrame, threshold: str, shingle: int, key: str = "d
     t = Fraction(threshold)
     rows = keyed(docs.select(key, text), key, text)
     found = checkpointed(_suspects(rows, text, shingle, t))  # few documents have a set here
-    facts, suspects = found.select("_d", "_v", "_n", "_a"), found.where(F.octet_length("_tokens") > 0).select("_a", "_set", "_tokens")
-    blocks = checkpointed(components(_candidates(suspects)).select(F.col("node").alias("_a"), F.col("root").alias("_block")))
-    chunks = blocks.groupBy("_block").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_chunks"))
-    links = checkpointed(_links(suspects.select("_a", "_set").join(blocks.join(chunks, "_block"), "_a"), t))
+    facts = found.select("_d", "_v", "_n", "_a")
+    # Batches may hold the same set: one row of it goes on.
+    suspects = found.where(F.octet_length("_tokens") > 0).groupBy("_a").agg(F.first("_set").alias("_set"), F.first("_tokens").alias("_tokens"))
+    groups = checkpointed(_groups(suspects))
+    chunks = groups.groupBy("_block").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_chunks"))
+    links = checkpointed(_links(suspects.select("_a", "_set").join(groups.join(chunks, "_block"), "_a"), t))
     roots = components(links).select(F.col("node").alias("_a"), F.col("root").alias("_root"))
     return facts.join(roots, "_a", "left").select("_d", "_v", F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, F.coalesce("_root", "_a")).alias("_component"))
 
@@ -386,7 +369,9 @@ def jaccard_components(docs: DataFrame, threshold: str = "0.9", shingle: int = 3
     found = near_components(docs, threshold, shingle, key, text)
     real = F.when(F.col("_d") != -(1 << 63), F.col("_d"))
     least = found.where("_component is not null").groupBy("_component").agg(F.min(real).alias("component_id"))
-    out = found.join(least, "_component", "left")
+    # Documents without a set have no component: each under a key of its own, so that they share no task.
+    at = F.coalesce(F.col("_component"), F.xxhash64("_d", "_v"))
+    out = found.withColumn("_at", at).join(least.withColumnRenamed("_component", "_at"), "_at", "left")
     return out.select(real.alias(key), "n_shingles", F.when(F.col("_component").isNull(), real).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -61,6 +61,23 @@ def test_against_brute_force(spark, monkeypatch, threshold, n, block):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in out) == brute(rows, n, t.numerator, t.denominator)
 
 
+@pytest.mark.parametrize("block", [4000, 4])
+def test_words_that_all_documents_share(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    texts = [prose(40, i) for i in range(12)]
+    short = [f"the same start {w}" for w in ("here", "there", "now")]  # their rarest shingles are shared by all
+    rows = list(enumerate([f"the same start {t} the same end" for t in texts * 2] + short * 2 + ["the same start"] * 3))
+    out = jaccard_join.jaccard_components(docs(spark, rows), "0.9", 3).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in out) == brute(rows, 3, 9, 10)
+
+
+def test_groups_are_not_closed_over_others(spark):
+    """A chain of sets, each sharing a token with the next: every group holds a leader and its neighbours only."""
+    chain = [(a, np.array([a, a + 1], np.int64).tobytes()) for a in range(50)]
+    groups = jaccard_join._groups(spark.createDataFrame(chain, "_a long, _tokens binary")).collect()
+    assert sorted((r["_block"], r["_a"]) for r in groups) == sorted([(a, a) for a in range(49)] + [(a, a + 1) for a in range(49)])
+
+
 def test_search_equals_counting():
     r = np.random.default_rng(1)
     base = r.integers(0, 1 << 60, 300).astype(np.uint64)
