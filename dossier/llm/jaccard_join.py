@@ -48,6 +48,8 @@ from dossier.llm._text import LOWER, SPACE, U64, binary_column, gram_hashes, mix
 
 #: Sets of a group that are searched in one task; bytes of text whose shingles are counted at once, and in one task.
 BLOCK, BATCH_BYTES, TASK_BYTES = 4000, 4 << 20, 64 << 20
+#: Keys over which a token's list of sets is dealt.
+SALTS = 8
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,8 +176,11 @@ def _groups(suspects: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(token), batch.column("_a").take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(offs) // 8)))], names=["_w", "_a"])
 
     held = suspects.select("_a", "_tokens").mapInArrow(deal, "_w long, _a long")
-    leaders = held.groupBy("_w").agg(F.min("_a").alias("_block"), F.max("_a").alias("_last")).where("_last > _block").select("_w", "_block")
-    return held.join(leaders, "_w").select("_a", "_block").distinct()
+    leaders = held.groupBy("_w").agg(F.min("_a").alias("_block"), F.max("_a").alias("_last")).where("_last > _block")
+    # A token may be in a third of all sets: its list is dealt over SALTS keys, each with its own row of the leader.
+    leaders = leaders.select("_w", "_block", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = held.withColumn("_salt", F.pmod(F.xxhash64("_a"), F.lit(SALTS)).cast("int"))
+    return salted.join(leaders, ["_w", "_salt"]).select("_a", "_block").distinct()
 
 
 class Lists:
