@@ -31,8 +31,8 @@ from pyspark.sql.pandas import types as arrow_types
 
 from dossier.llm._text import LOWER, SPACE, U64, mix, planes, string_buffers, whole, word_hashes, word_spans
 
-#: Counts up to K are discounted; bytes of text in a batch; count of a context for each partition of its pairs.
-K, BATCH_BYTES, SPREAD = 5, 6 << 20, 500_000
+#: Counts up to K are discounted; bytes of text in a batch and in a task; count of a context for each partition of its pairs.
+K, BATCH_BYTES, TASK_BYTES, SPREAD = 5, 6 << 20, 64 << 20, 500_000
 _END, _BOS, _UNKNOWN = U64(1), U64(0), (1 << 40) - 1
 _ROW = "_b long, _k byte, _p int, _x binary, _y binary"
 
@@ -206,8 +206,9 @@ def _parts_of(table: pa.Table, kind: int):
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: key, _train, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     facts = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.count(F.when(train, 1)).alias("s")).first()
+    # Partitions follow the bytes, so that no table grows with the corpus.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((facts["b"] or 0) / TASK_BYTES))
     batches, starts = max(math.ceil(n / 2), math.ceil((facts["b"] or 0) / BATCH_BYTES)), facts["s"]
     words_p, pairs_p = n, 4 * n
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
@@ -291,9 +292,9 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         return pa.table([left["_key"], left["_train"], pa.array(np.bincount(b.doc, minlength=rows)), pa.array(total(count > 0).astype(np.int64)), pa.array(np.full(rows, int(model.N))), pa.array(total(base)), pa.array(total(own))], names=names)
 
     kind = arrow_types.to_arrow_type(rows.schema["_key"].dataType)
-    words = dealt.groupBy("_b").applyInArrow(ask_words, _ROW).groupBy("_p").applyInArrow(answer_words, _ROW)
+    words = dealt.groupBy("_b").applyInArrow(ask_words, _ROW).repartition(n, "_p").groupBy("_p").applyInArrow(answer_words, _ROW)
     by_batch = words.where("_b >= 0")
-    pairs = dealt.groupBy("_b").cogroup(by_batch.groupBy("_b")).applyInArrow(ask_pairs, _ROW).groupBy("_p").applyInArrow(answer_pairs, _ROW)
+    pairs = dealt.groupBy("_b").cogroup(by_batch.repartition(n, "_b").groupBy("_b")).applyInArrow(ask_pairs, _ROW).repartition(n, "_p").groupBy("_p").applyInArrow(answer_pairs, _ROW)
     # One row of numbers, added up from a line of each partition.
     lines = words.where("_b < 0").unionByName(pairs.where("_b < 0"))
     numbers = lines.select("_k", F.posexplode(_longs("_x"))).groupBy("_k", "pos").agg(F.sum("col").alias("c")).groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "pos", "c"))), lambda x: x["c"].cast("double")).alias("_numbers"))
@@ -301,7 +302,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     numbers = numbers.select(filled.alias("_numbers"), F.lit(1).alias("_one"))
     left = dealt.withColumn("_one", F.lit(1)).join(F.broadcast(numbers), "_one").drop("_one")  # one row
     replies = by_batch.unionByName(pairs.where("_b >= 0"))
-    out = left.groupBy("_b").cogroup(replies.groupBy("_b")).applyInArrow(evaluate, f"_key {rows.schema['_key'].dataType.simpleString()}, _train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = left.groupBy("_b").cogroup(replies.repartition(n, "_b").groupBy("_b")).applyInArrow(evaluate, f"_key {rows.schema['_key'].dataType.simpleString()}, _train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("_key", key)
 
 
