@@ -22,3 +22,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     # The shuffles behind it are garbage now; Spark deletes their files when the driver collects it.
     context._jvm.System.gc()
     return done
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the files of a checkpointed df of which all that was read is checkpointed itself."""
+    file = df._jdf.logicalPlan().rdd().getCheckpointFile()
+    if file.isDefined():
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

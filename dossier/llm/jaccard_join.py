@@ -41,14 +41,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.llm._components import components
-from dossier.llm._cut import checkpointed
+from dossier.llm._cut import checkpointed, release
 from dossier.llm._pack import pack, unpack
 from dossier.llm._repeats import KEY, keyed
 from dossier.llm._text import LOWER, SPACE, U64, binary_column, gram_hashes, mix, planes, prefix_sums, ragged, row_groups, span_hashes, string_buffers, whole, word_hashes, word_spans
 
 #: Sets of a group that are searched in one task; bytes of text whose shingles are counted at once, and in one task.
 BLOCK, BATCH_BYTES, TASK_BYTES = 4000, 4 << 20, 64 << 20
-#: Keys over which a token's list of sets is dealt.
+#: Keys over which a token's list of sets, and the documents of a set or of a component, are dealt.
 SALTS = 8
 
 
@@ -178,7 +178,7 @@ def _groups(suspects: DataFrame) -> DataFrame:
     held = suspects.select("_a", "_tokens").mapInArrow(deal, "_w long, _a long")
     leaders = held.groupBy("_w").agg(F.min("_a").alias("_block"), F.max("_a").alias("_last")).where("_last > _block")
     # A token may be in a third of all sets: its list is dealt over SALTS keys, each with its own row of the leader.
-    leaders = leaders.select("_w", "_block", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    leaders = _dealt(leaders.select("_w", "_block"))
     salted = held.withColumn("_salt", F.pmod(F.xxhash64("_a"), F.lit(SALTS)).cast("int"))
     return salted.join(leaders, ["_w", "_salt"]).select("_a", "_block").distinct()
 
@@ -290,7 +290,7 @@ def _against_leader(members: DataFrame, t: Fraction) -> DataFrame:
 
 
 def _links(members: DataFrame, t: Fraction) -> DataFrame:
-    """u, v: links that span the components of each group.  members: _a, _set, _block, _chunks.
+    """u, v: links that span the components of each group, checkpointed.  members: _a, _set, _block, _chunks.
 
     In a group of one chunk the leader is the first query.  In others it is searched for chunk by chunk; what is
     similar to it is one component already and need not be compared with itself.  The rest is searched
@@ -298,12 +298,14 @@ def _links(members: DataFrame, t: Fraction) -> DataFrame:
     whole_blocks = members.where("_chunks = 1").withColumns({"_rest": F.lit(1), "_is_rest": F.lit(True)})
     large = members.where("_chunks > 1")
     if large.isEmpty():
-        return _search(whole_blocks, t)
+        return checkpointed(_search(whole_blocks, t))
     judged = checkpointed(_against_leader(large, t))
     tied = judged.where("_linked").select(F.col("_a").alias("u"), F.col("_block").alias("v"))
     rest = judged.where("not _linked").groupBy("_block").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_rest"))
     left = judged.join(rest, "_block").select("_a", "_set", "_block", "_chunks", "_rest", (~F.col("_linked")).alias("_is_rest"))
-    return tied.unionByName(_search(whole_blocks.unionByName(left), t))
+    links = checkpointed(tied.unionByName(_search(whole_blocks.unionByName(left), t)))
+    release(judged)
+    return links
 
 
 def _search(members: DataFrame, t: Fraction) -> DataFrame:
@@ -354,30 +356,44 @@ def _search(members: DataFrame, t: Fraction) -> DataFrame:
     return rows.repartition(parts, "_block", "_pair").sortWithinPartitions("_block", "_pair", "_a").mapInArrow(search, "u long, v long")
 
 
+def _dealt(once: DataFrame) -> DataFrame:
+    """once for each of SALTS keys, so that rows which join it need not share a task."""
+    return once.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def near_components(docs: DataFrame, threshold: str, shingle: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """_d, _v, n_shingles, _component (a long; documents with the same are linked; null for an empty set) per row of docs."""
+    """_d, _v, n_shingles, _component (a long; documents with the same are linked; null for an empty set), _salt
+    (one of SALTS, so that a component's documents can be dealt) per row of docs."""
     t = Fraction(threshold)
     rows = keyed(docs.select(key, text), key, text)
     found = checkpointed(_suspects(rows, text, shingle, t))  # few documents have a set here
-    facts = found.select("_d", "_v", "_n", "_a")
+    # A set may be that of a third of all documents, repeated rows too: they are dealt by their place in the files.
+    facts = found.select("_d", "_v", "_n", "_a", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("_salt"))
     # Batches may hold the same set: one row of it goes on.
     suspects = found.where(F.octet_length("_tokens") > 0).groupBy("_a").agg(F.first("_set").alias("_set"), F.first("_tokens").alias("_tokens"))
     groups = checkpointed(_groups(suspects))
     chunks = groups.groupBy("_block").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_chunks"))
-    links = checkpointed(_links(suspects.select("_a", "_set").join(groups.join(chunks, "_block"), "_a"), t))
-    roots = components(links).select(F.col("node").alias("_a"), F.col("root").alias("_root"))
-    return facts.join(roots, "_a", "left").select("_d", "_v", F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, F.coalesce("_root", "_a")).alias("_component"))
+    links = _links(suspects.select("_a", "_set").join(groups.join(chunks, "_block"), "_a"), t)
+    release(groups)
+    roots = _dealt(components(links).select(F.col("node").alias("_a"), F.col("root").alias("_root")))
+    release(links)
+    # Empty sets have one digest and no component: each row under a key of its own.
+    at = F.when(F.col("_n") > 0, F.col("_a")).otherwise(F.xxhash64("_d", "_v"))
+    out = facts.withColumn("_at", at).join(roots.withColumnRenamed("_a", "_at"), ["_at", "_salt"], "left")
+    return out.select("_d", "_v", F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, F.coalesce("_root", "_a")).alias("_component"), "_salt")
 
 
 def jaccard_components(docs: DataFrame, threshold: str = "0.9", shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: key, n_shingles long, component_id (the least key of those it is linked with, through others too)."""
     found = near_components(docs, threshold, shingle, key, text)
     real = F.when(F.col("_d") != -(1 << 63), F.col("_d"))
-    least = found.where("_component is not null").groupBy("_component").agg(F.min(real).alias("component_id"))
+    # A document alone in its component is the least of it: the rest ask.
+    least = found.where("_component is not null").groupBy("_component").agg(F.min(real).alias("component_id"), F.count("*").alias("_many"))
+    least = _dealt(least.where("_many > 1").select(F.col("_component").alias("_at"), "component_id"))
     # Documents without a set have no component: each under a key of its own, so that they share no task.
     at = F.coalesce(F.col("_component"), F.xxhash64("_d", "_v"))
-    out = found.withColumn("_at", at).join(least.withColumnRenamed("_component", "_at"), "_at", "left")
-    return out.select(real.alias(key), "n_shingles", F.when(F.col("_component").isNull(), real).otherwise(F.col("component_id")).alias("component_id"))
+    out = found.withColumn("_at", at).join(least, ["_at", "_salt"], "left")
+    return out.select(real.alias(key), "n_shingles", F.when(F.col("_component").isNull(), real).otherwise(F.coalesce("component_id", real)).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, threshold: str = "0.8", shingle: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
