@@ -48,8 +48,9 @@ from dossier.llm._text import LOWER, SPACE, U64, binary_column, gram_hashes, mix
 
 #: Sets of a group that are searched in one task; bytes of text whose shingles are counted at once, and in one task.
 BLOCK, BATCH_BYTES, TASK_BYTES = 4000, 4 << 20, 64 << 20
-#: Keys over which a token's list of sets, and the documents of a set or of a component, are dealt.
-SALTS = 8
+#: Keys over which a token's list of sets, and the documents of a set or of a component, are dealt; and the sets of a
+#: group of more than BLOCK, of which there are few.
+SALTS, GROUP_SALTS = 8, 64
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -302,7 +303,7 @@ def _links(members: DataFrame, t: Fraction) -> DataFrame:
     judged = checkpointed(_against_leader(large, t))
     tied = judged.where("_linked").select(F.col("_a").alias("u"), F.col("_block").alias("v"))
     rest = judged.where("not _linked").groupBy("_block").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_rest"))
-    left = judged.join(rest, "_block").select("_a", "_set", "_block", "_chunks", "_rest", (~F.col("_linked")).alias("_is_rest"))
+    left = _of_group(judged, rest, "inner").select("_a", "_set", "_block", "_chunks", "_rest", (~F.col("_linked")).alias("_is_rest"))
     links = checkpointed(tied.unionByName(_search(whole_blocks.unionByName(left), t)))
     release(judged)
     return links
@@ -356,9 +357,15 @@ def _search(members: DataFrame, t: Fraction) -> DataFrame:
     return rows.repartition(parts, "_block", "_pair").sortWithinPartitions("_block", "_pair", "_a").mapInArrow(search, "u long, v long")
 
 
-def _dealt(once: DataFrame) -> DataFrame:
-    """once for each of SALTS keys, so that rows which join it need not share a task."""
-    return once.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def _dealt(once: DataFrame, salts: int = SALTS) -> DataFrame:
+    """once for each of the salts, so that rows which join it need not share a task."""
+    return once.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+def _of_group(sets: DataFrame, facts: DataFrame, how: str) -> DataFrame:
+    """sets (_a, _block) with the facts (a row a _block) of their group."""
+    salted = sets.withColumn("_salt", F.pmod(F.xxhash64("_a"), F.lit(GROUP_SALTS)).cast("int"))
+    return salted.join(_dealt(facts, GROUP_SALTS), ["_block", "_salt"], how).drop("_salt")
 
 
 def near_components(docs: DataFrame, threshold: str, shingle: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -372,9 +379,11 @@ def near_components(docs: DataFrame, threshold: str, shingle: int, key: str = "d
     # Batches may hold the same set: one row of it goes on.
     suspects = found.where(F.octet_length("_tokens") > 0).groupBy("_a").agg(F.first("_set").alias("_set"), F.first("_tokens").alias("_tokens"))
     groups = checkpointed(_groups(suspects))
-    chunks = groups.groupBy("_block").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_chunks"))
-    links = _links(suspects.select("_a", "_set").join(groups.join(chunks, "_block"), "_a"), t)
+    chunks = checkpointed(groups.groupBy("_block").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_chunks")).where("_chunks > 1"))
+    chunked = groups.withColumn("_chunks", F.lit(1)) if chunks.isEmpty() else _of_group(groups, chunks, "left").withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
+    links = _links(suspects.select("_a", "_set").join(chunked, "_a"), t)
     release(groups)
+    release(chunks)
     roots = _dealt(components(links).select(F.col("node").alias("_a"), F.col("root").alias("_root")))
     release(links)
     # Empty sets have one digest and no component: each row under a key of its own.
