@@ -45,6 +45,24 @@ reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id,
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)"""
 
 
+OP11 = """WITH e AS MATERIALIZED (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS double)) AS bigint)) AS v
+ FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.id AS a, a.label AS al, b.id AS b, b.label AS bl, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS bigint) AS s FROM e a, e b WHERE a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT a, al, b AS p, s AS ps FROM s WHERE al = bl QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p AS positive_id, CAST(row_number() OVER w AS int) AS rank, b AS negative_id, ps AS positive_score, s AS negative_score
+FROM p JOIN s ON s.a = p.a AND bl <> p.al AND 80 * ps <= 100 * s AND 100 * s <= 100 * ps WINDOW w AS (PARTITION BY p.a, p ORDER BY s DESC, b) QUALIFY row_number() OVER w <= 5"""
+
+OP12 = f"""WITH pieces AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+n AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM (SELECT lang, k, array_to_string(w[p : p + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM pieces, range(1, 6) r(k) WHERE len(w) >= k)) GROUP BY ALL HAVING count(*) >= 100),
+c AS MATERIALIZED (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+gone AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN c longer ON longer.lang = c.lang AND longer.k > c.k AND contains(' ' || longer.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * longer.a >= 100 * c.a),
+cut AS (SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, i, CAST(n AS bigint) AS n, CAST(1000 * CAST(c.a AS hugeint) * n // (CAST(x.a AS hugeint) * y.a) AS bigint) AS score
+ FROM (SELECT *, unnest(range(1, k)) AS i FROM c ANTI JOIN gone USING (lang, phrase)) c JOIN n USING (lang) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1 : i], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[i + 1 : len(w)], ' ')),
+worst AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1)
+SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n, score FROM worst WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER o <= 2000"""
+
+
 def _canonical(text: str) -> str:
     c = f"lower(coalesce({text}, ''))"
     for pattern, other in [(licenses.COPYRIGHT_LINE, "$1"), *licenses.SPELLINGS]:
@@ -60,4 +78,4 @@ c AS (SELECT doc_id, {_canonical('text')} AS c FROM documents)
 SELECT doc_id, CAST(length(c) AS int) AS canonical_chars, sha256(c) AS canonical_sha256, license_id, license_id IS NOT NULL AS is_license FROM c LEFT JOIN known ON sha256(c) = canonical_sha256"""
 
 
-ORACLE_SQL = {"op2_decontaminate": OP2, "op3_suffix_array_dedup": OP3, "op8_ngram_jaccard_join": OP8, "op9_license_scan": op9(), "op10_substring_dedup": OP10}
+ORACLE_SQL = {"op2_decontaminate": OP2, "op3_suffix_array_dedup": OP3, "op8_ngram_jaccard_join": OP8, "op9_license_scan": op9(), "op10_substring_dedup": OP10, "op11_hard_negatives": OP11, "op12_collocations": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, decontaminate, fingerprint, jaccard_join, katz, licenses, shard, suffix_dedup, suffix_tree_dedup, toxicity
+from dossier.llm import bpe, collocations, decontaminate, fingerprint, hard_negatives, jaccard_join, katz, licenses, media, shard, suffix_dedup, suffix_tree_dedup, toxicity
 from dossier.llm.oracles import ORACLE_SQL
 
 RANKS, SHARDS = "byte_bpe_50k.tiktoken", 40
@@ -76,6 +76,24 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "canonical_chars", "canonical_sha256", "license_id", F.col("license_id").isNotNull().alias("is_license"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = media.as_wav(docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).drop("text")
+    read = media.read_wav(stored)
+    tail = F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32")
+    feature = F.concat_ws(":", F.size("landmarks"), F.sha2(F.array_join("landmarks", ","), 256))
+    return read.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail, F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
@@ -87,5 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_license_scan": op9_license_scan,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_collocations": op12_collocations,
+    "op13_media": op13_media,
 }
 __all__ = ["ORACLE_SQL", "QUERIES"]
