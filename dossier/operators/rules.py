@@ -8,7 +8,7 @@ numeric checks on numeric ones; a field that the table lacks is skipped.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -29,8 +29,16 @@ class ConfigurationError(ValueError):
 class Record:
     """The columns of a record as a rule sees them: by canonical name, with their types."""
 
-    def __init__(self, columns: dict[str, Column], kinds: dict[str, str]):
-        self.columns, self.kinds = columns, kinds
+    def __init__(self, columns: Mapping[str, Column], kinds: Mapping[str, str], composed: Callable[[str], str | None] = lambda name: None):
+        self.columns, self.kinds, self.ready = columns, kinds, composed
+
+    def composed(self, name: str) -> Column | None:
+        """A text field in canonical composition; where nothing has changed it yet, that is there already."""
+        c = self.text(name)
+        if c is None:
+            return None
+        ready = self.ready(name)
+        return X.nfc(c) if ready is None else F.col(f"`{ready}`")
 
     def text(self, name: str) -> Column | None:
         return self.columns[name] if self.kinds.get(name) == "string" else None
@@ -66,6 +74,9 @@ class Rule:
     validate: Callable[[Any], None] | None = field(default=None, compare=False)
     #: Whether the rule counts a record as affected although nothing may have changed; none: only if something did.
     touches: Callable[[Record, dict], Column] | None = field(default=None, compare=False)
+    version: int = 1
+    #: Whether its expressions can raise for no record; others are evaluated under guard.
+    total: bool = False
 
 
 def each(change: Callable[[Column, dict], Column], *fields: str):
@@ -81,12 +92,15 @@ def each(change: Callable[[Column, dict], Column], *fields: str):
 
 
 def whitespace(*fields: str, artifact: str | None = None, remove_all: bool = False):
-    def change(c: Column, params: dict) -> Column:
-        c = X.nfc(c)
+    def change(c: Column) -> Column:
         c = F.regexp_replace(c, artifact, "") if artifact else c
         return F.regexp_replace(c, r"(?U)\s+", "") if remove_all else X.normalize(c)
 
-    return each(change, *fields)
+    def apply(r: Record, params: dict) -> dict[str, Column]:
+        return {f: change(c) for f in fields if (c := r.composed(f)) is not None}
+
+    apply.composes = fields
+    return apply
 
 
 def ends_only(*fields: str):
@@ -461,13 +475,13 @@ def _registry() -> list[Rule]:
     out: list[Rule] = []
 
     def safe(n, category, name, fields, apply, writes=()):
-        out.append(Rule(f"CLN-{n:03}", name, category, SAFE, fields, apply, True, writes or fields))
+        out.append(Rule(f"CLN-{n:03}", name, category, SAFE, fields, apply, True, writes or fields, total=True))
 
-    def business(n, category, name, fields, apply, default, writes=(), validate=None, touches=None):
-        out.append(Rule(f"CLN-{n:03}", name, category, BUSINESS, fields, apply, default, writes or fields, validate, touches))
+    def business(n, category, name, fields, apply, default, writes=(), validate=None, touches=None, total=True):
+        out.append(Rule(f"CLN-{n:03}", name, category, BUSINESS, fields, apply, default, writes or fields, validate, touches, total=total))
 
     def check(n, category, name, fields, apply):
-        out.append(Rule(f"CLN-{n:03}", name, category, WARNING, fields, apply))
+        out.append(Rule(f"CLN-{n:03}", name, category, WARNING, fields, apply, total=True))
 
     names = ("first_name", "last_name")
     f = (*names, "title", "contact_level", "job_function")
@@ -521,8 +535,8 @@ def _registry() -> list[Rule]:
     safe(44, "financial", "Missing numbers", R.NUMERIC_FIELDS, missing_values(*R.NUMERIC_FIELDS, sentinels=("", "n/a", "null")))
     tags, rounded = tuple(f"{m}_currency" for m in R.MONEY_FIELDS), tuple(f"{m}_rounded" for m in R.MONEY_FIELDS)
     business(45, "financial", "Currency tag", R.MONEY_FIELDS, currency, False, tags, needs("CLN-045", "currency"))
-    business(46, "financial", "Unit scale", ("sales_usd", "assets_usd", "liabilities_usd"), scale, False, (), needs("CLN-046", "scale", lambda s: s in R.SCALES), has_value("sales_usd", "assets_usd", "liabilities_usd"))
-    business(47, "financial", "Rounding", R.MONEY_FIELDS, rounding, False, rounded)
+    business(46, "financial", "Unit scale", ("sales_usd", "assets_usd", "liabilities_usd"), scale, False, (), needs("CLN-046", "scale", lambda s: s in R.SCALES), has_value("sales_usd", "assets_usd", "liabilities_usd"), total=False)  # decimals may overflow
+    business(47, "financial", "Rounding", R.MONEY_FIELDS, rounding, False, rounded, total=False)
     check(48, "financial", "Negative value", ("sales_usd", "assets_usd", "employees_total"), negative("IMPLAUSIBLE_NEGATIVE_VALUE", "sales_usd", "assets_usd", "employees_total"))
     check(49, "financial", "Site above total", ("employees_single_site", "employees_total"), greater("SINGLE_SITE_EXCEEDS_TOTAL_EMPLOYEES", "Employees (Single Site) exceeds Employees (Total).", "employees_single_site", "employees_total"))
     f = ("assets_usd", "pre_tax_profit_usd", "liabilities_usd")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dossier import refdata as R
 from dossier.operators import cleaning
 from dossier.operators.cleaning import Profile
+from dossier.operators.rules import BUSINESS, RULES, SAFE, WARNING, Draft, Rule
 from dossier.plans import derived
 
 QUERIES, SQL = {}, {}
@@ -183,8 +184,10 @@ CONDITIONS = {
 
 
 def warned(spark, sf_dir, rules):
-    out = cleaning.clean(contacts(spark, sf_dir)).select("k", F.explode_outer("warnings").alias("w"))
-    return out.where(F.col("w.rule_id").isin(*rules)).select("k", "w.rule_id", "w.code")
+    """The warnings of some rules, after all normalizations of the default profile."""
+    others = {r.id: False for r in RULES if r.stage == WARNING and r.id not in rules}
+    out = cleaning.clean(contacts(spark, sf_dir), Profile(enabled_rules=others)).select("k", F.explode_outer("warnings").alias("w"))
+    return out.where("w is not null").select("k", "w.rule_id", "w.code")
 
 
 def warned_sql(rules):
@@ -214,11 +217,21 @@ _changes = " UNION ALL ".join(f"SELECT k, 'change' AS kind, '{r}' AS rule_id, '{
 _warnings = "SELECT k, 'warning' AS kind, 'CLN-032' AS rule_id, 'business_description' AS field_name, NULL AS old_value, NULL AS new_value, 'BUSINESS_DESCRIPTION_SUSPICIOUSLY_SHORT' AS code FROM contacts WHERE business_description <> '' AND length(business_description) < 10"
 _with = f"WITH contacts AS ({derived.plain(derived.CONTACTS)}), audit AS ({_changes} UNION ALL {_warnings}) "
 QUERIES["clean_audit_trail"] = lambda spark, sf_dir: cleaning.audit_trail(cleaning.clean(contacts(spark, sf_dir), _few), "k").drop("position", "at")
-SQL["clean_audit_trail"] = _with + f"SELECT *, '{cleaning.VERSION}' AS rule_version FROM audit"
+SQL["clean_audit_trail"] = _with + "SELECT *, 1 AS rule_version FROM audit"
+
+
+def metrics_sql(enabled, failures="CAST(0 AS bigint)", affected="(SELECT count(DISTINCT k) FROM audit a WHERE a.rule_id = r.rule_id)"):
+    """All 68 rules; those that are off are skipped for every record."""
+    on = f"r.rule_id IN ({quoted(enabled)})"
+    return f"""SELECT rule_id, 1 AS rule_version, CASE WHEN {on} THEN (SELECT count(*) FROM contacts) ELSE 0 END AS records_evaluated, CASE WHEN {on} THEN 0 ELSE (SELECT count(*) FROM contacts) END AS records_skipped,
+ {affected} AS records_affected, (SELECT count(*) FROM audit a WHERE kind = 'change' AND a.rule_id = r.rule_id) AS changes, (SELECT count(*) FROM audit a WHERE kind = 'warning' AND a.rule_id = r.rule_id) AS warnings, {failures} AS failures
+ FROM (SELECT printf('CLN-%03d', i) AS rule_id FROM range(1, 69) t(i)) r"""
+
+
 QUERIES["clean_rule_metrics"] = lambda spark, sf_dir: cleaning.rule_metrics(cleaning.clean(contacts(spark, sf_dir), _few), _few).drop("stage", "category")
-SQL["clean_rule_metrics"] = _with + f"SELECT rule_id, (SELECT count(*) FROM contacts) AS records_evaluated, count(DISTINCT CASE WHEN kind = 'change' THEN k END) AS records_affected, count(CASE WHEN kind = 'change' THEN 1 END) AS changes, count(CASE WHEN kind = 'warning' THEN 1 END) AS warnings, CAST(0 AS bigint) AS failures FROM (SELECT unnest([{quoted(_few.only)}]) AS rule_id) r LEFT JOIN audit USING (rule_id) GROUP BY rule_id"
+SQL["clean_rule_metrics"] = _with + metrics_sql(_few.only)
 QUERIES["clean_run_report"] = lambda spark, sf_dir: cleaning.run_report(cleaning.clean(contacts(spark, sf_dir), _few))
-SQL["clean_run_report"] = _with + "SELECT (SELECT count(*) FROM contacts) AS records, count(DISTINCT CASE WHEN kind = 'change' THEN k END) AS records_with_changes, count(DISTINCT CASE WHEN kind = 'warning' THEN k END) AS records_with_warnings, count(CASE WHEN kind = 'change' THEN 1 END) AS changes, count(CASE WHEN kind = 'warning' THEN 1 END) AS warnings, CAST(0 AS bigint) AS failures FROM audit"
+SQL["clean_run_report"] = _with + "SELECT (SELECT count(*) FROM contacts) AS records, count(DISTINCT CASE WHEN kind = 'change' THEN k END) AS records_with_changes, count(DISTINCT CASE WHEN kind = 'warning' THEN k END) AS records_with_warnings, CAST(0 AS bigint) AS records_with_failures, count(CASE WHEN kind = 'change' THEN 1 END) AS changes, count(CASE WHEN kind = 'warning' THEN 1 END) AS warnings, CAST(0 AS bigint) AS failures FROM audit"
 
 # ---- the same of a whole run: all rules of the default profile --------------------------------------------------
 
@@ -265,10 +278,44 @@ _all = " UNION ALL ".join([
 #: Rules without a field among the contacts (CLN-044 looks at text only) still run.
 _RULES = sorted({r for r, *_ in (*_STEPS, *_DERIVED)} | set(CONDITIONS) | {"CLN-044", "CLN-059"})
 _acronym = f"len(list_filter(regexp_extract_all({norm('title')}, '(\\s+|[,/-]|[^\\s,/-]+)'), lambda t: lower(t) IN ({quoted(R.ACRONYMS)}))) > 0"
-_run = CLEAN + f", audit AS MATERIALIZED ({_all}), affected AS (SELECT rule_id, k FROM audit WHERE kind = 'change' UNION SELECT 'CLN-004', k FROM contacts WHERE {_acronym}) "
+_run = CLEAN + f", audit AS MATERIALIZED ({_all}), affected AS (SELECT rule_id, k FROM audit UNION SELECT 'CLN-004', k FROM contacts WHERE {_acronym}) "
 QUERIES["clean_audit_trail_all"] = lambda spark, sf_dir: cleaning.audit_trail(cleaning.clean(contacts(spark, sf_dir)), "k").drop("position", "at")
-SQL["clean_audit_trail_all"] = _run + f"SELECT *, '{cleaning.VERSION}' AS rule_version FROM audit"
+SQL["clean_audit_trail_all"] = _run + "SELECT *, 1 AS rule_version FROM audit"
 QUERIES["clean_rule_metrics_all"] = lambda spark, sf_dir: cleaning.rule_metrics(cleaning.clean(contacts(spark, sf_dir))).drop("stage", "category")
-SQL["clean_rule_metrics_all"] = _run + f"SELECT rule_id, (SELECT count(*) FROM contacts) AS records_evaluated, (SELECT count(*) FROM affected a WHERE a.rule_id = r.rule_id) AS records_affected, count(CASE WHEN kind = 'change' THEN 1 END) AS changes, count(CASE WHEN kind = 'warning' THEN 1 END) AS warnings, CAST(0 AS bigint) AS failures FROM (SELECT unnest([{quoted(_RULES)}]) AS rule_id) r LEFT JOIN audit USING (rule_id) GROUP BY rule_id"
+SQL["clean_rule_metrics_all"] = _run + metrics_sql(_RULES, affected="(SELECT count(*) FROM affected a WHERE a.rule_id = r.rule_id)")
 QUERIES["clean_run_report_all"] = lambda spark, sf_dir: cleaning.run_report(cleaning.clean(contacts(spark, sf_dir)))
 SQL["clean_run_report_all"] = _run + SQL["clean_run_report"].removeprefix(_with)
+
+# ---- rules that raise for some records ----------------------------------------------------------------------------
+
+#: A caller's own rules, of which each raises for some contacts: an ANSI cast, raise_error, a check that reads what the
+#: first one writes.  The rules around them must not notice.
+_own = (
+    Rule("OWN-1", "Company number as a number", "company", SAFE, ("duns_number",), lambda r, p: {"duns_number": r.any("duns_number").cast("bigint").cast("string")}, True, ("duns_number",), version=2),
+    Rule("OWN-2", "No contractors", "identity", BUSINESS, ("title",), lambda r, p: {"title": F.when(F.lower(r.any("title")) == "contractor", F.raise_error(F.lit("contractors are not ours"))).otherwise(F.upper(r.any("title")))}, True, ("title",), version=3),
+    Rule("OWN-3", "Company number below a limit", "company", WARNING, ("duns_number",), lambda r, p: [Draft(r.any("duns_number").cast("int") > 0, "NUMBERED", "The company has a number.", ("duns_number",))]),
+)
+_raising = Profile(rules=(*RULES, *_own))
+_digits_only = f"TRY_CAST({strip('duns_number')} AS bigint)"
+_own_duns = f"coalesce(CAST({_digits_only} AS varchar), {strip('duns_number')})"
+_own_int = f"TRY_CAST({_own_duns} AS int)"
+_after = acronyms(norm("title"))
+_own_title = f"CASE WHEN lower({_after}) = 'contractor' THEN {_after} ELSE upper({_after}) END"
+_failed = " UNION ALL ".join([
+    f"SELECT k, 'OWN-1' AS rule_id, 2 AS rule_version, 'safe' AS stage FROM contacts WHERE duns_number IS NOT NULL AND {_digits_only} IS NULL",
+    f"SELECT k, 'OWN-2', 3, 'business' FROM contacts WHERE lower({_after}) = 'contractor'",
+    f"SELECT k, 'OWN-3', 1, 'warning' FROM contacts WHERE duns_number IS NOT NULL AND {_own_int} IS NULL",
+])
+QUERIES["clean_guarded_failures"] = lambda spark, sf_dir: cleaning.failure_rows(cleaning.clean(contacts(spark, sf_dir), _raising), "k").select("k", "rule_id", "rule_version", "stage")
+SQL["clean_guarded_failures"] = f"WITH contacts AS ({derived.plain(derived.CONTACTS)}) {_failed}"
+QUERIES["clean_guarded_audit"] = lambda spark, sf_dir: cleaning.audit_trail(cleaning.clean(contacts(spark, sf_dir), _raising), "k").drop("position", "at")
+_own_audit = " UNION ALL ".join([
+    _row.format(kind="change", rule="OWN-1", field="duns_number", old=strip("duns_number"), new=_own_duns, code="NULL", table="contacts", when=f"{strip('duns_number')} IS DISTINCT FROM {_own_duns}"),
+    _row.format(kind="change", rule="OWN-2", field="title", old=_after, new=_own_title, code="NULL", table="contacts", when=f"{_after} IS DISTINCT FROM {_own_title}"),
+    _row.format(kind="warning", rule="OWN-3", field="duns_number", old="NULL", new="NULL", code="'NUMBERED'", table="contacts", when=f"{_own_int} > 0"),
+])
+# What the own rules write is what the checks of the default profile see.
+_guarded_run = CLEAN.replace(f'{strip("duns_number")} AS duns_number', f"{_own_duns} AS duns_number").replace(f"{_after} AS title", f"{_own_title} AS title") + f", audit AS MATERIALIZED ({_all} UNION ALL {_own_audit})"
+SQL["clean_guarded_audit"] = _guarded_run + " SELECT *, CASE rule_id WHEN 'OWN-1' THEN 2 WHEN 'OWN-2' THEN 3 ELSE 1 END AS rule_version FROM audit"
+QUERIES["clean_guarded_report"] = lambda spark, sf_dir: cleaning.run_report(cleaning.clean(contacts(spark, sf_dir), _raising))
+SQL["clean_guarded_report"] = _guarded_run + f", failed AS ({_failed}) SELECT (SELECT count(*) FROM contacts) AS records, count(DISTINCT CASE WHEN kind = 'change' THEN k END) AS records_with_changes, count(DISTINCT CASE WHEN kind = 'warning' THEN k END) AS records_with_warnings, (SELECT count(DISTINCT k) FROM failed WHERE stage <> 'warning') AS records_with_failures, count(CASE WHEN kind = 'change' THEN 1 END) AS changes, count(CASE WHEN kind = 'warning' THEN 1 END) AS warnings, (SELECT count(*) FROM failed WHERE stage <> 'warning') AS failures FROM audit"
