@@ -75,16 +75,41 @@ def collapse(parts: list[str]) -> str:
     return " ".join(" ".join(parts).split())
 
 
-@F.pandas_udf(_strings("title", "text", "published_at", "description"))
-def page_content(html: pd.Series) -> pd.DataFrame:
-    """Title (or og:title), visible text (white space collapsed, MAX_TEXT characters), raw date, description."""
+def _content(x: str | None) -> tuple:
+    p = parse(x)
+    date = next((p.meta[k].strip() for k in DATE_KEYS if p.meta.get(k, "").strip()), None)
+    return collapse(p.title) or p.meta.get("og:title", "").strip(), collapse(p.text)[:MAX_TEXT], date, p.meta.get("description", "").strip()
+
+
+@F.pandas_udf(_strings("title", "text", "published_at", "description", "error"))
+def page_content_or_error(html: pd.Series) -> pd.DataFrame:
+    """page_content, and why a page cannot be parsed: such a page has an error and nothing else."""
 
     def one(x):
-        p = parse(x)
-        date = next((p.meta[k].strip() for k in DATE_KEYS if p.meta.get(k, "").strip()), None)
-        return collapse(p.title) or p.meta.get("og:title", "").strip(), collapse(p.text)[:MAX_TEXT], date, p.meta.get("description", "").strip()
+        try:
+            return *_content(x), None
+        except Exception as error:  # noqa: BLE001 - the parser gives up on some malformed declarations
+            return None, None, None, None, str(error) or type(error).__name__
+
+    return pd.DataFrame([one(x) for x in html], columns=["title", "text", "published_at", "description", "error"])
+
+
+def page_content(html: Column) -> Column:
+    """Title (or og:title), visible text (white space collapsed, MAX_TEXT characters), raw date, description; all null
+    for a page that cannot be parsed."""
+    return page_content_or_error(html)
+
+
+def _or_none(function):
+    """Nothing for a page that cannot be parsed, so that it costs no other page its result."""
+
+    def one(*x):
+        try:
+            return function(*x)
+        except Exception:  # noqa: BLE001
+            return []
 
-    return pd.DataFrame([one(x) for x in html], columns=["title", "text", "published_at", "description"])
+    return one
 
 
 @F.pandas_udf(T.ArrayType(_strings("url", "text")))
@@ -105,7 +130,8 @@ def page_links(html: pd.Series, base: pd.Series) -> pd.Series:
                 out.append({"url": absolute, "text": collapse(text)})
         return out
 
-    return pd.Series([one(x, u) for x, u in zip(html, base)])
+    safe = _or_none(one)
+    return pd.Series([safe(x, u) for x, u in zip(html, base)])
 
 
 class _Elements(HTMLParser):
@@ -162,7 +188,8 @@ def page_elements(html: pd.Series) -> pd.Series:
         page.close()
         return [e | {"text": collapse(e["text"])} for e in page.found]
 
-    return pd.Series([one(x) for x in html])
+    safe = _or_none(one)
+    return pd.Series([safe(x) for x in html])
 
 
 def _hinted(element: Column, hints: tuple[str, ...]) -> Column:
@@ -178,21 +205,22 @@ def page_people(pages: DataFrame, html: str = "html") -> DataFrame:
     and title (whatever the case) a page's first stays."""
     found = pages.withColumn("_elements", page_elements(F.col(html)))
     e = F.col("_elements")
-    person = lambda x: _hinted(x, PERSON_HINTS)
     inside = lambda x, c: (x["first"] > c["first"]) & (x["first"] <= c["last"])
-    people = F.filter(e, person)
-    found = found.withColumn("_people", people)
+    texts = lambda own, fits: F.transform(F.filter(own, fits), lambda x: x["text"])
+    found = found.withColumn("_people", F.filter(e, lambda x: _hinted(x, PERSON_HINTS)))
     innermost = F.filter("_people", lambda c: ~F.exists("_people", lambda x: inside(x, c)))
-    one = found.select(*pages.columns, "_elements", F.posexplode(innermost).alias("_at", "_c"))
-    one = one.withColumn("_own", F.filter(e, lambda x: inside(x, F.col("_c")))).drop("_elements")
-    texts = lambda fits: F.transform(F.filter("_own", fits), lambda x: x["text"])
-    heading = F.get(texts(lambda x: x["tag"].isin(*HEADINGS)), F.lit(0))
-    marked = F.get(F.filter(texts(lambda x: x["marks"].contains("name")), lambda t: t != ""), F.lit(0))
-    one = one.withColumn("_name", F.coalesce(F.when(heading != "", heading), marked)).where("_name is not null")
-    one = one.withColumn("_title", F.get(F.filter(texts(lambda x: _hinted(x, TITLE_HINTS)), lambda t: (t != "") & (t != F.col("_name"))), F.lit(0)))
-    twins = Window.partitionBy(*[f"`{c}`" for c in pages.columns], F.lower("_name"), F.lower(F.coalesce("_title", F.lit("")))).orderBy("_at")
-    one = one.withColumn("_twin", F.row_number().over(twins)).where("_twin = 1")
-    told = F.filter(texts(lambda x: x["tag"] == "p"), lambda t: (F.length(t) >= 40) & (t != F.col("_name")) & ~t.eqNullSafe(F.col("_title")))
+    # All of a page's people stay in its row until the twins among them are gone.
+    found = found.withColumn("_people", F.transform(innermost, lambda c, k: F.struct(k.alias("at"), c["text"].alias("text"), F.filter(e, lambda x: inside(x, c)).alias("own")))).drop("_elements")
+    heading = lambda own: F.nullif(F.get(texts(own, lambda x: x["tag"].isin(*HEADINGS)), F.lit(0)), F.lit(""))
+    marked = lambda own: F.get(F.filter(texts(own, lambda x: x["marks"].contains("name")), lambda t: t != ""), F.lit(0))
+    found = found.withColumn("_people", F.transform("_people", lambda c: F.struct(c["at"].alias("at"), c["text"].alias("text"), c["own"].alias("own"), F.coalesce(heading(c["own"]), marked(c["own"])).alias("name"))))
+    title = lambda c: F.get(F.filter(texts(c["own"], lambda x: _hinted(x, TITLE_HINTS)), lambda t: (t != "") & (t != c["name"])), F.lit(0))
+    found = found.withColumn("_people", F.transform(F.filter("_people", lambda c: c["name"].isNotNull()), lambda c: F.struct(c["at"].alias("at"), c["text"].alias("text"), c["own"].alias("own"), c["name"].alias("name"), title(c).alias("title"))))
+    same = lambda x, c: (F.lower(x["name"]) == F.lower(c["name"])) & (F.lower(F.coalesce(x["title"], F.lit(""))) == F.lower(F.coalesce(c["title"], F.lit(""))))
+    firsts = F.filter("_people", lambda c: ~F.exists("_people", lambda x: (x["at"] < c["at"]) & same(x, c)))
+    one = found.select(*[f"`{c}`" for c in pages.columns], F.explode(firsts).alias("_c"))
+    one = one.withColumns({"_own": F.col("_c")["own"], "_name": F.col("_c")["name"], "_title": F.col("_c")["title"]})
+    told = F.filter(texts(F.col("_own"), lambda x: x["tag"] == "p"), lambda t: (F.length(t) >= 40) & (t != F.col("_name")) & ~t.eqNullSafe(F.col("_title")))
     bio = F.aggregate(told, F.lit(None).cast("string"), lambda best, t: F.when(best.isNull() | (F.length(t) > F.length(best)), t).otherwise(best))
 
     def reached(scheme: str, end: str, pattern: str) -> Column:
@@ -202,7 +230,7 @@ def page_people(pages: DataFrame, html: str = "html") -> DataFrame:
         return F.nullif(F.when(link.isNotNull(), named).otherwise(stated), F.lit(""))
 
     p = F.struct(F.col("_name").alias("name"), F.col("_title").alias("title"), bio.alias("bio"), reached("mailto:", r"\?.*$", R.EMAIL_SHAPE).alias("email"), reached("tel:", r"$", R.PHONE_SHAPE).alias("phone"))
-    return one.select(*[f"`{c}`" for c in pages.columns], F.col("_at").alias("nth"), p.alias("p"))
+    return one.select(*[f"`{c}`" for c in pages.columns], F.col("_c")["at"].alias("nth"), p.alias("p"))
 
 
 def _matches(selector: str):
@@ -268,6 +296,7 @@ def result_rows(container: str, title: str, url: str, snippet: str = "", most: i
                     out.append({"rank": len(out) + 1, "title": name, "url": urljoin(at or "", link), "snippet": collapse(r["snippet"]["text"]) if "snippet" in r else ""})
             return out
 
-        return pd.Series([one(x, at) for x, at in zip(html, base)])
+        safe = _or_none(one)
+        return pd.Series([safe(x, at) for x, at in zip(html, base)])
 
     return rows

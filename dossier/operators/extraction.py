@@ -55,11 +55,12 @@ def facts(pages: DataFrame, title: str, text: str) -> DataFrame:
     return pages.withColumns({"fact": fact(t, x), "email": email(x), "phone": phone(x), "profile_url": profile_url(x), "event_keywords": event_keywords(F.concat(t, F.lit(" "), x))})
 
 
-def observations(results: DataFrame, pages: DataFrame) -> DataFrame:
+def observations(results: DataFrame, pages: DataFrame, content: bool = False) -> DataFrame:
     """Up to nine observations a result: always web_page, then the facts found, all with the same context.
 
-    results: subject_id, url, title, snippet, source, rank, confidence.  pages: url, html."""
-    content = pages.select("url", H.page_content(F.col("html")).alias("c")).select("url", F.col("c.title").alias("page_title"), F.col("c.text").alias("page_text"), F.col("c.published_at").alias("published_at"))
+    results: subject_id, url, title, snippet, source, rank, confidence.  pages: url, html; with `content`: url and c,
+    their content parsed already."""
+    content = (pages if content else pages.select("url", H.page_content(F.col("html")).alias("c"))).select("url", F.col("c.title").alias("page_title"), F.col("c.text").alias("page_text"), F.col("c.published_at").alias("published_at"))
     found = facts(results.join(content, "url"), "page_title", "page_text")
     excerpt = F.substring("page_text", 1, H.MAX_EXCERPT)
     context = F.map_filter(

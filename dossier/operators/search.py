@@ -60,17 +60,19 @@ def leadership_links(links: DataFrame, limit: int) -> DataFrame:
     return best.withColumn("nth", nth).where(F.col("nth") <= limit)
 
 
-def crawl(seeds: DataFrame, links: DataFrame, pages: int = 8, depth: int = 2) -> DataFrame:
+def crawl(seeds: DataFrame, links: DataFrame, pages: int = 8, depth: int = 2, fetched: DataFrame | None = None) -> DataFrame:
     """Bounded breadth-first crawl over a table of links: site, url, level, position (visits in order).
 
     seeds: site, url.  links: url (of a fetched page), link, score.  A URL that is not in links' pages was
-    not fetched and costs nothing.  Each round is one join and a window; rounds are as many as the depth."""
-    fetched = links.select("url").distinct()
+    not fetched and costs nothing; fetched: the pages that were (url), where some have no links.  Each round is one
+    join and a window; rounds are as many as the depth.  Of a level only its best `pages` go on: more cannot be visited."""
+    fetched = links.select("url").distinct() if fetched is None else fetched.select("url").distinct()
     found = seeds.join(fetched, "url", "left_semi").select("site", "url", F.lit(0).alias("level"), F.lit(0).alias("score"))
     frontier = found
     for level in range(1, depth + 1):
         reached = frontier.select("site", "url").join(links, "url").groupBy("site", F.col("link").alias("url")).agg(F.max("score").alias("score"))
         fresh = reached.join(found.select("site", "url"), ["site", "url"], "left_anti").join(fetched, "url", "left_semi").withColumn("level", F.lit(level)).select("site", "url", "level", "score")
+        fresh = fresh.withColumn("_nth", F.row_number().over(Window.partitionBy("site").orderBy(F.col("score").desc(), "url"))).where(F.col("_nth") <= pages).drop("_nth")
         found = found.unionByName(fresh)
         frontier = fresh
     order = Window.partitionBy("site").orderBy("level", F.col("score").desc(), "url")

@@ -7,12 +7,13 @@ of `failures`; it costs the subject that stage's result, never the other subject
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.operators import comparison, evaluation, identity, inflection, storage
+from dossier.functions.cut import checkpointed
+from dossier.operators import comparison, evaluation, evidence, identity, inflection, providers, storage
 
 #: In the order in which they run, and in which their errors are told.
 STAGES = ("Identity resolution", "Enrichment (person)", "Enrichment (company)", "Search", "Search extraction", "Comparison", "Inflection detection", "Verification")
@@ -53,7 +54,8 @@ def process(
 
     found = identity.resolve(known, ref, identity.stored_signals(stored), profile=identities)
     outcomes = found["outcomes"].join(broke("Identity resolution"), "ref", "left_anti")
-    compared = comparison.verdicts(known, ref, observations, profile).join(broke("Comparison"), "ref", "left_anti")
+    # Five rows a subject, which the summaries, events, messages and the stored table all read: compared once.
+    compared = checkpointed(comparison.verdicts(known, ref, observations, profile).join(broke("Comparison"), "ref", "left_anti"))
     evident = observations.select(F.col("subject_id").alias("ref")).distinct()
     judged = compared.join(evident, "ref", "left_semi").join(broke("Inflection detection"), "ref", "left_anti")
     events = inflection.detect(judged)
@@ -80,6 +82,25 @@ def process(
     return Run(reports, outcomes, compared, events, messages, after)
 
 
+def process_landed(records: DataFrame, ref: str, seq: str, registry: DataFrame, landed: evidence.Landed, stored: DataFrame, now: Column, *, coordination: providers.CoordinationProfile | None = None, history: DataFrame | None = None, health: DataFrame | None = None, failures: DataFrame | None = None, **others) -> tuple[Run, evidence.Evidence]:
+    """A whole run from what fetchers landed: which providers ran, what they saw, what broke, and then `process`.
+
+    seq: the records' order in the run, a unique long.  failures: of stages outside this run, told with its own.  The
+    reports also have pages_fetched and results_seen."""
+    named = records.where(comparison.resolved(records)["name"].isNotNull())
+    found = evidence.collect(named.select(F.col(ref).alias("subject_id"), F.col(seq).cast("long").alias("seq"), _own(records, "url").alias("url")), registry, landed, now, coordination, history, health)
+    found = replace(found, observations=checkpointed(found.observations), failures=checkpointed(found.failures))
+    broke = found.failures if failures is None else found.failures.unionByName(failures)
+    run = process(records, ref, found.observations, stored, now, executed=found.executed, failures=broke, **others)
+    reports = run.reports.join(found.seen, "subject_id", "left").na.fill(0, ["pages_fetched", "results_seen"])
+    return replace(run, reports=reports), found
+
+
+def first(records: DataFrame, seq: str, n: int) -> DataFrame:
+    """The first n records of a run, by their order."""
+    return records.orderBy(seq).limit(n)
+
+
 def _own(records: DataFrame, name: str) -> Column:
     return F.col(name) if name in records.columns else F.lit(None).cast("string")
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossier.plans import cleaning_queries, page_queries, record_queries
+from dossier.plans import cleaning_queries, page_queries, record_queries, run_queries
 
-_MODULES = (cleaning_queries, record_queries, page_queries)
+_MODULES = (cleaning_queries, record_queries, page_queries, run_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 
 from dossier.functions import urls as U
 
-_ITEMS = "items array<struct<title:string,link:string,snippet:string,displayLink:string,pagemap:struct<metatags:array<map<string,string>>>>>"
+ITEMS = "items array<struct<title:string,link:string,snippet:string,displayLink:string,pagemap:struct<metatags:array<map<string,string>>>>>"
 #: Under which name robots rules are looked up.
 AGENT = "dossier"
 # Meta tags that may say when a result was published, first of all the first.
 DATE_TAGS = ("article:published_time", "og:article:published_time", "datepublished", "date", "og:updated_time")
 
 
-def search_items(payloads: DataFrame) -> DataFrame:
-    """payloads (subject_id, query, payload) as results: title, url, snippet, domain, published_at, rank; items without title or link go."""
-    item = F.posexplode(F.from_json("payload", _ITEMS)["items"]).alias("k", "i")
-    rows = payloads.select("subject_id", "query", item)
+def search_items(payloads: DataFrame, *keep: str) -> DataFrame:
+    """payloads (subject_id, query, payload) as results: title, url, snippet, domain, published_at, rank; items without
+    title or link go.  keep: more columns of the payloads, each of which has ranks of its own."""
+    item = F.posexplode(F.from_json("payload", ITEMS)["items"]).alias("k", "i")
+    rows = payloads.select("subject_id", "query", *keep, item)
     tags = F.try_element_at(F.col("i.pagemap.metatags"), F.lit(1))
     date = F.coalesce(*[F.when(F.trim(tags[t]) != "", F.trim(tags[t])) for t in DATE_TAGS])
     out = rows.where("i.title <> '' and i.link <> ''")
-    return out.select("subject_id", "query", F.col("i.title").alias("title"), F.col("i.link").alias("url"), F.coalesce("i.snippet", F.lit("")).alias("snippet"), F.coalesce("i.displayLink", U.part(F.col("i.link"), 2)).alias("domain"), date.alias("published_at"), (F.row_number().over(Window.partitionBy("subject_id", "query").orderBy("k"))).alias("rank"))
+    return out.select("subject_id", "query", *keep, F.col("i.title").alias("title"), F.col("i.link").alias("url"), F.coalesce("i.snippet", F.lit("")).alias("snippet"), F.coalesce("i.displayLink", U.part(F.col("i.link"), 2)).alias("domain"), date.alias("published_at"), (F.row_number().over(Window.partitionBy("subject_id", "query", *keep).orderBy("k"))).alias("rank"))
 
 
 def robots_rules(files: DataFrame, agent: str = AGENT) -> DataFrame:
