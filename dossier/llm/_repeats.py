@@ -354,7 +354,8 @@ def repeated(docs: DataFrame, text: str, kind: Kind, classes: Callable, keep_fir
     dealt = docs.repartition(n, *KEY)  # one exchange, read for the contexts and for the result
     grams = shared_grams(anchors(docs, text, kind), HOT if hot is None else hot)
     rows = contexts(dealt.join(grams, KEY), text, kind, classes)
-    runs = judge(rows, kind, classes, keep_first).groupBy(*KEY).agg(F.collect_list(F.struct("_lo", "_hi")).alias("_runs"))
+    # A set: every repeated row of one document and version flags the same runs.
+    runs = judge(rows, kind, classes, keep_first).groupBy(*KEY).agg(F.collect_set(F.struct("_lo", "_hi")).alias("_runs"))
     return dealt.join(runs, KEY, "left")
 
 
