@@ -112,3 +112,31 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return known[x, y]
 
     return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+#: From this length of the second text on, difflib leaves popular characters out, and no bound below holds.
+_JUNK = 200
+
+
+def ratio_known(a: Column, b: Column) -> Column:
+    """difflib's ratio where it can be said without searching: equal texts, one inside the other, no common character;
+    else null."""
+    total = F.length(a) + F.length(b)
+    inside = (a.contains(b) | b.contains(a)) & (F.length(b) < _JUNK)
+    apart = F.length(F.call_function("translate", a, b, F.lit(""))) == F.length(a)
+    return F.when(a == b, 1.0).when(apart, 0.0).when(inside, 2 * F.least(F.length(a), F.length(b)) / total)
+
+
+def ratio_bounds(a: Column, b: Column) -> tuple[Column, Column]:
+    """A least and a greatest value of difflib's ratio, as columns.
+
+    It matches no more characters than the two texts have in common, each as often as in the one that has fewer of
+    it, and at least as many as their common beginning or end: its first match is the longest there is."""
+    total = F.length(a) + F.length(b)
+    count = lambda c, x: F.length(c) - F.length(F.replace(c, x, F.lit("")))
+    shared = F.aggregate(F.array_distinct(F.filter(F.split(a, ""), lambda x: x != "")), F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
+    places = F.filter(F.sequence(F.lit(0), F.least(F.length(a), F.length(b))), lambda n: n > 0)
+    begin = F.size(F.filter(places, lambda n: F.substr(a, F.lit(1), n) == F.substr(b, F.lit(1), n)))
+    end = F.size(F.filter(places, lambda n: F.substr(a, F.length(a) - n + 1) == F.substr(b, F.length(b) - n + 1)))
+    low = F.when(F.length(b) < _JUNK, 2 * F.greatest(begin, end) / total).otherwise(0.0)
+    return F.when(total > 0, low).otherwise(1.0), F.when(total > 0, 2 * shared / total).otherwise(1.0)

@@ -64,10 +64,12 @@ def new_values(observations: DataFrame, profile: ComparisonProfile | None = None
     return least.groupBy("ref", "field").agg(F.array_sort(F.collect_list("raw")).alias("found"))
 
 
-def verdicts(records: DataFrame, ref: str, observations: DataFrame, profile: ComparisonProfile | None = None, fuzzy: bool = True) -> DataFrame:
-    """Five rows a record: ref, field, existing, new, status, strategy, similarity, conflicting, explanation.
+def verdicts(records: DataFrame, ref: str, observations: DataFrame, profile: ComparisonProfile | None = None, fuzzy: bool = True, scores: bool = True) -> DataFrame:
+    """Five rows a record: ref, field, existing, new, status, strategy, similarity, conflicting, explanation, settled.
 
-    fuzzy=False compares every field by its key alone, without a Python worker."""
+    fuzzy=False compares every field by its key alone, without a Python worker.  scores=False asks for the statuses only:
+    where bounds of the similarity say on which side of the threshold it lies, it is not computed (null).
+    settled: what said so: key, form (a closed form of the ratio), bounds or difflib."""
     profile = profile or ComparisonProfile()
     profile.validate()
     strategy = {f: (s if fuzzy else "exact") for f, s, _, _ in profile.rules}
@@ -82,12 +84,20 @@ def verdicts(records: DataFrame, ref: str, observations: DataFrame, profile: Com
     if fuzzy:
         # Only pairs that a key cannot settle cross to Python: the others get a null there.
         hard = (F.col("strategy") == "fuzzy") & ~same & F.col("existing").isNotNull() & F.col("new").isNotNull()
-        out = out.withColumns({"_a": F.when(hard, X.collapse(F.col("existing"))), "_b": F.when(hard, X.collapse(F.col("new")))})
-        out = out.withColumn("similarity", F.coalesce(X.sequence_ratio(F.col("_a"), F.col("_b")), exact)).drop("_a", "_b")
+        a, b = F.col("_a"), F.col("_b")
+        out = out.withColumns({"_a": F.when(hard, X.collapse(F.col("existing"))), "_b": F.when(hard, X.collapse(F.col("new"))), "_limit": X.lookup(F.col("field"), limits)})
+        out = out.withColumn("_known", X.ratio_known(a, b))
+        low, high = X.ratio_bounds(a, b)
+        side = F.when(F.col("_known").isNull() & a.isNotNull(), F.when(high < F.col("_limit"), "below").when(low >= F.col("_limit"), "above")) if not scores else F.lit(None).cast("string")
+        out = out.withColumn("_side", side)
+        open_ = F.col("_known").isNull() & F.col("_side").isNull()
+        out = out.withColumn("similarity", F.coalesce(X.sequence_ratio(F.when(open_, a), F.when(open_, b)), "_known", F.when(F.col("_side").isNull(), exact)))
+        settled = F.when(a.isNull(), F.when(exact.isNotNull(), "key")).when(F.col("_side").isNotNull(), "bounds").when(F.col("_known").isNotNull(), "form").otherwise("difflib")
+        out = out.withColumn("settled", settled).drop("_a", "_b", "_known", "_limit")
     else:
-        out = out.withColumn("similarity", exact)
+        out = out.withColumns({"similarity": exact, "_side": F.lit(None).cast("string"), "settled": F.when(exact.isNotNull(), "key")})
     old = F.col("existing").isNotNull()
-    match = F.col("similarity") >= X.lookup(F.col("field"), limits)
+    match = F.coalesce(F.col("_side") == "above", F.col("similarity") >= X.lookup(F.col("field"), limits))
     status = F.when(~old & (F.col("n_new") == 0), "unknown").when(F.col("n_new") > 1, "conflict").when(F.col("n_new") == 0, "missing").when(~old, "new").when(match, "match").otherwise("changed")
     out = out.withColumn("status", status)
     compared = F.col("status").isin("match", "changed")
@@ -96,9 +106,9 @@ def verdicts(records: DataFrame, ref: str, observations: DataFrame, profile: Com
         .when(F.col("status") == "conflict", F.concat(F.col("n_new").cast("string"), F.lit(" differing new value(s) found for this field: "), F.array_join("found", ", "), F.lit(".")))
         .when(F.col("status") == "missing", "Existing value present; no corresponding new observation was found.")
         .when(F.col("status") == "new", "No existing value; a new observation provides one.")
-        .otherwise(F.concat(F.col("strategy"), F.lit(" comparison: "), F.when(F.col("status") == "match", "equivalent").otherwise("differs"), F.lit(" (score="), F.format_string("%.3f", F.col("similarity")), F.lit(").")))
+        .otherwise(F.concat(F.col("strategy"), F.lit(" comparison: "), F.when(F.col("status") == "match", "equivalent").otherwise("differs"), F.when(F.col("_side").isNotNull(), ".").otherwise(F.concat(F.lit(" (score="), F.format_string("%.3f", F.bround("similarity", 3)), F.lit(").")))))
     )
-    return out.select("ref", "position", "field", "existing", "new", "status", "strategy", F.when(compared, F.col("similarity")).alias("similarity"), F.when(F.col("status") == "conflict", F.col("found")).alias("conflicting"), explanation.alias("explanation"))
+    return out.select("ref", "position", "field", "existing", "new", "status", "strategy", F.when(compared, F.col("similarity")).alias("similarity"), F.when(F.col("status") == "conflict", F.col("found")).alias("conflicting"), explanation.alias("explanation"), F.when(compared, F.col("settled")).alias("settled"))
 
 
 def summaries(compared: DataFrame) -> DataFrame:

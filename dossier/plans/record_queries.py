@@ -153,7 +153,39 @@ def _(spark, d):
     return comparison.change_list(_verdicts(spark, d))
 
 
-@query("cmp_verdicts_fuzzy")
+#: The same with difflib's ratio, as SQL: the longest common part of two texts (of equal ones the first in the old text, then in
+#: the new one), and so on left and right of it.
+_fuzzy = {f: t for f, kind, t, _ in R.COMPARED if kind == "fuzzy"}
+_ratio = f""", fz_hard AS MATERIALIZED (SELECT DISTINCT {_c("existing")} AS a, {_c("found[1]")} AS b FROM had JOIN found USING (ref, field) WHERE field IN ({", ".join(repr(f) for f in _fuzzy)}) AND existing IS NOT NULL AND len(found) = 1),
+ fz_step(a, b, alo, ahi, blo, bhi, m) AS (SELECT a, b, CAST(0 AS bigint), CAST(length(a) AS bigint), CAST(0 AS bigint), CAST(length(b) AS bigint), CAST(0 AS bigint) FROM fz_hard WHERE a <> b
+  UNION ALL SELECT * FROM (SELECT a, b, unnest([alo, x.i + x.k]) AS alo, unnest([x.i, ahi]) AS ahi, unnest([blo, x.j + x.k]) AS blo, unnest([x.j, bhi]) AS bhi, unnest([x.k, 0]) AS m FROM (
+   SELECT a, b, alo, ahi, blo, bhi, min_by(struct_pack(i := i, j := j, k := k), struct_pack(nk := -k, i := i, j := j)) AS x FROM (
+    SELECT a, b, alo, ahi, blo, bhi, i, j, unnest(range(1, least(ahi - i, bhi - j) + 1)) AS k FROM (SELECT *, unnest(range(blo, bhi)) AS j FROM (SELECT a, b, alo, ahi, blo, bhi, unnest(range(alo, ahi)) AS i FROM fz_step WHERE ahi > alo AND bhi > blo))
+   ) WHERE substr(a, i + 1, k) = substr(b, j + 1, k) GROUP BY ALL))),
+ fz_ratio AS MATERIALIZED (SELECT a, b, CAST(2 * sum(m) AS double) / (length(a) + length(b)) AS ratio FROM fz_step GROUP BY a, b)"""
+_same_key = f'{_k("field", "existing")} = {_k("field", "found[1]")}'
+_likeness = f"CASE WHEN existing IS NOT NULL AND len(found) = 1 THEN CASE WHEN {_same_key} THEN 1.0 ELSE coalesce(ratio, 0.0) END END"
+_limit = "CASE field " + " ".join(f"WHEN '{f}' THEN {t}" for f, t in _fuzzy.items()) + " ELSE 1.0 END"
+_compare_fuzzy = _compare.replace(", compared AS MATERIALIZED", f"{_ratio},\n compared AS MATERIALIZED", 1) if ", compared AS MATERIALIZED" in _compare else _compare.replace(",\n compared AS MATERIALIZED", f"{_ratio},\n compared AS MATERIALIZED", 1)
+_compare_fuzzy = _compare_fuzzy.replace(f"WHEN {_same_key} THEN 'match'", f"WHEN {_likeness} >= {_limit} THEN 'match'").replace("found FROM had LEFT JOIN found USING (ref, field))", f"found, CAST({_likeness} AS double) AS similarity FROM had LEFT JOIN found USING (ref, field) LEFT JOIN fz_ratio ON field IN ({', '.join(repr(f) for f in _fuzzy)}) AND a = {_c('existing')} AND b = {_c('found[1]')})")
+_kind = "CASE WHEN field IN (" + ", ".join(repr(f) for f in _fuzzy) + ") THEN 'fuzzy' ELSE 'exact' END"
+_told = f"""CASE status WHEN 'unknown' THEN 'No data available from either the existing record or new observations.' WHEN 'conflict' THEN len(found) || ' differing new value(s) found for this field: ' || array_to_string(found, ', ') || '.'
+ WHEN 'missing' THEN 'Existing value present; no corresponding new observation was found.' WHEN 'new' THEN 'No existing value; a new observation provides one.'
+ ELSE {_kind} || ' comparison: ' || CASE status WHEN 'match' THEN 'equivalent' ELSE 'differs' END || printf(' (score=%.3f).', similarity) END"""
+
+
+def fuzzy_sql(sql: str) -> str:
+    """A query over exact comparisons with the fuzzy ones in their place."""
+    assert _compare in sql
+    return sql.replace(_compare, _compare_fuzzy, 1).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("cmp_status_fuzzy", fuzzy_sql(WITH + _compare) + " SELECT ref, field, status FROM compared")
+def _(spark, d):
+    return comparison.verdicts(people(spark, d), "subject_id", observed(spark, d), scores=False).select("ref", "field", "status")
+
+
+@query("cmp_verdicts_fuzzy", fuzzy_sql(WITH + _compare) + f" SELECT ref, field, existing, new, status, CASE WHEN status IN ('match', 'changed') THEN round(similarity, 6) END AS similarity, {_told} AS explanation FROM compared")
 def _(spark, d):
     return _verdicts(spark, d, True).select("ref", "field", "existing", "new", "status", F.round("similarity", 6).alias("similarity"), "explanation")
 
@@ -342,7 +374,10 @@ def _(spark, d):
     return _processed(spark, d, _EXACT)[0].reports.select("subject_id", "executive_name", "status", "errors", "identity", "inflections_detected", "message")
 
 
-@query("process_subjects_fuzzy")
+_summed = """CASE WHEN name IS NULL OR broken THEN 'not_compared' ELSE printf('matched=%d changed=%d missing=%d new=%d conflict=%d unknown=%d confidence=%.2f', "match", changed, missing, "new", conflict, unknown, confidence) END"""
+
+
+@query("process_subjects_fuzzy", fuzzy_sql(WITH + _run) + f" SELECT subject_id, name AS executive_name, status, errors, identity, {_summed} AS comparison_summary, CASE WHEN NOT seen OR name IS NULL THEN 'not_detected' ELSE coalesce((SELECT string_agg(DISTINCT type, ',' ORDER BY type) FROM felt WHERE felt.ref = subject_id), 'none') END AS inflections_detected, message FROM status LEFT JOIN said ON said.ref = subject_id JOIN sure ON sure.ref = subject_id")
 def _(spark, d):
     return _processed(spark, d)[0].reports.select("subject_id", "executive_name", "status", "errors", "identity", "comparison_summary", "inflections_detected", "message")
 
