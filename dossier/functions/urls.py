@@ -38,3 +38,9 @@ def with_scheme(url: Column) -> Column:
 def is_pdf(url: Column, content_type: Column | None = None) -> Column:
     by_path = F.lower(part(url, 3)).endswith(".pdf")
     return by_path if content_type is None else by_path | F.coalesce(F.lower(content_type).contains("application/pdf"), F.lit(False))
+
+
+def unquoted(c: Column) -> Column:
+    """Percent-encoding taken back; a stray % and a + stay as they are.  Two paths are the same if their unquoted forms are."""
+    safe = F.replace(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
+    return F.coalesce(F.try_url_decode(safe), c)

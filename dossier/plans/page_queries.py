@@ -190,6 +190,18 @@ def _(spark, d):
     return landed.allowed(p, landed.robots_rules(files)).select("page_id", "allowed")
 
 
+#: The same paths and rules in other encodings: whatever way either is written, the rule holds.
+_encoded = "SELECT page_id, 'http://h' || CAST(page_id % 3 AS string) || '.com' || CASE page_id % 10 WHEN 0 THEN '/a%20b/' || CAST(page_id AS string) WHEN 1 THEN '/a b' WHEN 2 THEN '/%c3%A9t%C3%A9' WHEN 3 THEN '/été' WHEN 4 THEN '/q%3Fx=1' WHEN 5 THEN '/p+q' WHEN 6 THEN '/p%20q' WHEN 7 THEN '/100%/x' WHEN 8 THEN '/a%2520b' ELSE '/%61%20b' END AS url FROM {pages}"
+
+
+@query("robots_encoded", "SELECT page_id, page_id % 10 IN (6, 8) OR page_id % 3 = 2 AS allowed FROM pages")
+def _(spark, d):
+    p = derived.frame(spark, d, _encoded)
+    body = F.lit("User-agent: *\nDisallow: /a%20b\nDisallow: /ét\nDisallow: /q?x\nDisallow: /p%2Bq\nDisallow: /100%25\n")
+    files = spark.createDataFrame([("h0.com",), ("h1.com",), ("h2.com",)], "host string").select("host", F.when(F.col("host") == "h2.com", 404).otherwise(200).alias("http_status"), body.alias("body"))
+    return landed.allowed(p, landed.robots_rules(files)).select("page_id", "allowed")
+
+
 @query("clean_nfc", "SELECT doc_id, sha256(nfc_normalize(text)) AS nfc_sha256 FROM documents")
 def _(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(X.nfc(F.col("text")), 256).alias("nfc_sha256"))

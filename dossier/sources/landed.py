@@ -25,16 +25,21 @@ def search_items(payloads: DataFrame, *keep: str) -> DataFrame:
     return out.select("subject_id", "query", *keep, F.col("i.title").alias("title"), F.col("i.link").alias("url"), F.coalesce("i.snippet", F.lit("")).alias("snippet"), F.coalesce("i.displayLink", U.part(F.col("i.link"), 2)).alias("domain"), date.alias("published_at"), (F.row_number().over(Window.partitionBy("subject_id", "query", *keep).orderBy("k"))).alias("rank"))
 
 
+def _comparable(path: Column) -> Column:
+    """The form in which a rule and a path are held against each other, however either is encoded."""
+    return F.regexp_replace(U.unquoted(path), r"\?$", "")
+
+
 def robots_rules(files: DataFrame, agent: str = AGENT) -> DataFrame:
     """robots.txt files (host, http_status, body) as rules host, position, prefix, allow for an agent.
 
     Lines are taken in order: agent lines that follow each other open a group, an empty line closes it, and
-    the rest of a line after # does not count.  The first group that names the agent holds, else the first
+    the rest of a line after # does not count.  Prefixes are unquoted, as `allowed` does with paths.  The first group that names the agent holds, else the first
     one for all (*).  A missing file, and one without such a group, has no rules; so has an empty Disallow."""
     line = F.posexplode(F.split(F.regexp_replace("body", "\r\n?", "\n"), "\n")).alias("position", "raw")
     rows = files.where("http_status < 400").select(F.lower("host").alias("host"), line)
     rows = rows.withColumn("text", F.trim(F.regexp_replace("raw", "#.*$", ""), F.lit(" \t")))
-    rows = rows.withColumns({"word": F.lower(F.trim(F.regexp_extract("text", r"^([^:]*):", 1))), "value": F.trim(F.regexp_extract("text", r"^[^:]*:(.*)$", 1))})
+    rows = rows.withColumns({"word": F.lower(F.trim(F.regexp_extract("text", r"^([^:]*):", 1))), "value": _comparable(F.trim(F.regexp_extract("text", r"^[^:]*:(.*)$", 1)))})
     kind = F.when(F.col("raw") == "", "end").when(F.col("word") == "user-agent", "agent").when(F.col("word").isin("allow", "disallow"), "rule").when(F.col("word").isin("crawl-delay", "request-rate"), "other")
     rows = rows.withColumn("kind", kind).where("kind is not null")
     run = Window.partitionBy("host").orderBy("position")
@@ -54,7 +59,7 @@ def allowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """pages (url) with `allowed`: what the first rule for its path (with its query) says; no rule: yes.  Rules are a
     few lines a host."""
     path = F.regexp_extract(F.col("url"), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*([^#]*)", 1)
-    keyed = pages.withColumns({"_host": F.lower(U.part(F.col("url"), 2)), "_path": F.when(path == "", "/").otherwise(path)})
+    keyed = pages.withColumns({"_host": F.lower(U.part(F.col("url"), 2)), "_path": _comparable(F.when(path == "", "/").otherwise(path))})
     by_host = rules.groupBy(F.col("host").alias("_host")).agg(F.array_sort(F.collect_list(F.struct("position", "prefix", "allow"))).alias("_rules"))
     out = keyed.join(by_host, "_host", "left")
     first = F.get(F.filter("_rules", lambda r: (r["prefix"] == "*") | F.col("_path").startswith(r["prefix"])), F.lit(0))

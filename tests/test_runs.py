@@ -181,3 +181,13 @@ def test_presence_by_all(spark):
     said = lambda **k: [r["w"] for r in df.select(F.coalesce(rules.presence("C", "m", ("x", "y"), ("y", "z"), **k)(record, {})[0].when, F.lit(False)).alias("w")).collect()]
     assert said() == [False, True, False] and said(all_trigger=True) == [False, False, False] and said(all_required=True) == [True, True, False]
     assert Profile().enabled("CLN-050")
+
+
+def test_robots_rules_in_any_encoding_as_the_standard_parser(spark):
+    from urllib.robotparser import RobotFileParser
+
+    body = "User-agent: *\nDisallow: /a%20b\nDisallow: /ét\nDisallow: /q?x\nDisallow: /p%2Bq\nDisallow: /100%25\nAllow: /z%zz\nDisallow: /z\nDisallow: /e?\nDisallow: /k%2Fl\n"
+    paths = ["/a%20b", "/a b/c", "/A%20b", "/%c3%a9t%C3%A9", "/été", "/et", "/q%3Fx=1", "/q?x", "/q?y", "/p+q", "/p%20q", "/p%2bq", "/100%", "/100%25", "/100", "/a%2520b", "/%61%20b", "/z%zz", "/z%25zz", "/z1", "/e", "/e?", "/e?a", "/k/l", "/k%2fl", "/k", "", "/%"]
+    peer = RobotFileParser()
+    peer.parse(body.splitlines())
+    assert robots(spark, body, paths) == [peer.can_fetch("dossier", f"http://H.com{p}") for p in paths]
