@@ -45,6 +45,15 @@ reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id,
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)"""
 
 
+#: Checksums byte by byte (the table from its rule), and the shards from prefix sums over the whole table.
+OP5 = """WITH t AS MATERIALIZED (SELECT list(x ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(CAST(i AS bigint), list_transform(range(8), lambda q: CAST(0 AS bigint))), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS bigint)) ELSE a >> 1 END) AS x FROM range(256) r(i))),
+h AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1,', 'g') AS h FROM documents),
+b AS MATERIALIZED (SELECT doc_id, n, list_transform(string_split(h, ',')[1 : n], lambda x: CAST('0x' || x AS bigint)) AS b FROM h),
+sized AS MATERIALIZED (SELECT doc_id, CAST(n + 16 AS bigint) AS size, xor(list_reduce(list_prepend(CAST(4294967295 AS bigint), b), lambda a, x: xor(t[xor(a & 255, x) + 1], a >> 8)), CAST(4294967295 AS bigint)) AS text_crc32 FROM b, t),
+run AS (SELECT *, sum(size) OVER o AS upto, row_number() OVER o AS nth, sum(size) OVER () AS total FROM sized WINDOW o AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)),
+dealt AS (SELECT *, CAST(least(39, (2 * upto - size) * 40 // (2 * total)) AS int) AS shard FROM run)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY nth) - 1 AS slot, CAST(NULL AS int) AS grown_shard FROM dealt"""
+
 OP11 = """WITH e AS MATERIALIZED (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS double)) AS bigint)) AS v
  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS MATERIALIZED (SELECT a.id AS a, a.label AS al, b.id AS b, b.label AS bl, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS bigint) AS s FROM e a, e b WHERE a.id % 100 = 0 AND a.id <> b.id),
@@ -78,4 +87,4 @@ c AS (SELECT doc_id, {_canonical('text')} AS c FROM documents)
 SELECT doc_id, CAST(length(c) AS int) AS canonical_chars, sha256(c) AS canonical_sha256, license_id, license_id IS NOT NULL AS is_license FROM c LEFT JOIN known ON sha256(c) = canonical_sha256"""
 
 
-ORACLE_SQL = {"op2_decontaminate": OP2, "op3_suffix_array_dedup": OP3, "op8_ngram_jaccard_join": OP8, "op9_license_scan": op9(), "op10_substring_dedup": OP10, "op11_hard_negatives": OP11, "op12_collocations": OP12}
+ORACLE_SQL = {"op2_decontaminate": OP2, "op3_suffix_array_dedup": OP3, "op5_shard": OP5, "op8_ngram_jaccard_join": OP8, "op9_license_scan": op9(), "op10_substring_dedup": OP10, "op11_hard_negatives": OP11, "op12_collocations": OP12}
