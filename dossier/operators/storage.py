@@ -43,7 +43,8 @@ def apply_changes(stored: DataFrame, compared: DataFrame, strongest: DataFrame,
 def rewrite(df: DataFrame, path: str) -> None:
     """Replaces a table by a new version of itself: written beside it first, then moved over by the file system.
 
-    A failure leaves the table as it was, or says where it is: the old version goes only when the new one stands."""
+    A failure leaves the table as it was, or says where it is: the old version goes only when the new one stands.
+    There is a moment without a table between the two moves; `versions.Table` has none, and takes several writers."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

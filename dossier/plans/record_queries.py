@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier import refdata as R
-from dossier.operators import comparison, evaluation, identity, inflection, providers, simulation, storage, subjects
+from dossier.functions.cut import shared_folder
+from dossier.operators import comparison, evaluation, identity, inflection, providers, simulation, storage, subjects, versions
 from dossier.plans import derived
 
 QUERIES, SQL = {}, {}
@@ -294,6 +296,38 @@ def _(spark, d):
     return storage.history(_orders(spark, d), ["subject"], "at").select("subject", "id", "nth")
 
 
+# Orders as a table in versions: a commit a year, each customer's last order of it; one that is still pending removes the customer.
+_versions = """WITH years AS (SELECT CAST(y AS int) AS year, CAST(y - (SELECT min(year(o_orderdate)) FROM orders) + 1 AS int) AS version FROM range((SELECT min(year(o_orderdate)) FROM orders), (SELECT max(year(o_orderdate)) FROM orders) + 1) x(y)),
+ written AS (SELECT o_custkey AS subject, o_orderdate AS at, o_orderkey AS id, o_orderstatus AS state, version FROM orders JOIN years ON year(o_orderdate) = year QUALIFY row_number() OVER (PARTITION BY o_custkey, version ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)"""
+
+
+def _versioned(spark, d, upto=None):
+    """The table, and the number of its version after `upto` commits, opened before those that follow."""
+    table = versions.Table(spark, f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}", ["subject"])
+    o = _orders(spark, d)
+    first, last = o.agg(F.min(F.year("at")), F.max(F.year("at"))).first()
+    opened, number = None, 0
+    for k, year in enumerate(range(first, last + 1), 1):
+        rows = storage.latest(o.where(F.year("at") == year), ["subject"], "at")
+        number = table.commit(rows, number, gone=F.col("state") == "P", note=str(k))
+        if k == 3:
+            number = table.compact()
+        if k == upto:
+            opened = table.read()
+    return table, opened
+
+
+@query("version_pinned", _versions + ' SELECT subject, "at", id, state FROM (SELECT * FROM written WHERE version <= 5 QUALIFY row_number() OVER (PARTITION BY subject ORDER BY version DESC) = 1) WHERE state <> \'P\'')
+def _(spark, d):
+    return _versioned(spark, d, 5)[1]
+
+
+@query("version_history", _versions + " SELECT subject, id, state = 'P' AS gone, CAST(row_number() OVER (PARTITION BY subject ORDER BY version) AS int) AS nth, lag(id) OVER (PARTITION BY subject ORDER BY version) AS before FROM written")
+def _(spark, d):
+    rows = storage.history(_versioned(spark, d)[0].history(), ["subject"], "_version")
+    return rows.select("subject", "id", F.col("_gone").alias("gone"), "nth", F.lag("id").over(Window.partitionBy("subject").orderBy("_version")).alias("before"))
+
+
 @query("evidence_since", "SELECT event_id, user_id, event_type FROM events WHERE ts >= (SELECT min(ts) FROM events) + INTERVAL 1 DAY AND event_type = 'view'")
 def _(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet")
