@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dossier import refdata as R
+from dossier.functions.cut import shared_folder
 from dossier.functions import text as X
 from dossier.functions import urls as U
 from dossier.operators import extraction, search
@@ -214,6 +217,10 @@ def _stream(spark, d):
     return spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
 
 
+def _own_folder(spark):
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
 _streaks = "WITH a AS (SELECT user_id AS provider_id, event_id AS seq, event_type <> 'error' AS ok FROM events), i AS (SELECT *, sum(CAST(ok AS int)) OVER (PARTITION BY provider_id ORDER BY seq) AS g FROM a)"
 
 
@@ -222,11 +229,11 @@ def _(spark, d):
     from dossier.streaming import health
 
     a = _stream(spark, d).select(F.col("user_id").alias("provider_id"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"))
-    return health.run_once(health.breaker(a), "stream_health_out")
+    return health.run_breaker(a, _own_folder(spark))
 
 
 @query("stream_window_activity", "SELECT * FROM (SELECT date_trunc('hour', ts) AS start, user_id, count(*) AS events, count(CASE WHEN event_type = 'error' THEN 1 END) AS failures FROM events GROUP BY ALL) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
 def _(spark, d):
     from dossier.streaming import health
 
-    return health.run_once(health.activity(_stream(spark, d)), "stream_activity_out")
+    return health.run_to_files(health.activity(_stream(spark, d)), _own_folder(spark))
