@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dossier import refdata as R
 from dossier.functions import text as X
+from dossier.functions.skew import HOT, salted_join
 from dossier.operators.rules import ConfigurationError
 
 
@@ -71,8 +72,11 @@ def stored_signals(executives: DataFrame) -> DataFrame:
     return _long(executives, "subject_id", entries).withColumnRenamed("ref", "identity_id")
 
 
-def candidates(incoming: DataFrame, stored: DataFrame, profile: IdentityProfile | None = None) -> DataFrame:
-    """ref, identity_id: at most `most_candidates` a record, by ascending identity."""
+def candidates(incoming: DataFrame, stored: DataFrame, profile: IdentityProfile | None = None, hot: int = HOT) -> DataFrame:
+    """ref, identity_id: at most `most_candidates` a record, by ascending identity.
+
+    A value that more than `hot` records hold is joined in several tasks.  On the stored side the limit of a value's
+    identities acts before the shuffle (a window's group limit), so a common value sends a few rows from each task."""
     profile = profile or IdentityProfile()
     blocking = [t for t, s in profile.signals.items() if s[2]]
     a = incoming.where(F.col("signal_type").isin(*blocking)).select("ref", "signal_type", "value")
@@ -80,13 +84,16 @@ def candidates(incoming: DataFrame, stored: DataFrame, profile: IdentityProfile
     # A record's first identities are among the first of each of its values: a common value must not meet every record.
     place = F.row_number().over(Window.partitionBy("signal_type", "value").orderBy("identity_id"))
     b = b.distinct().withColumn("place", place).where(F.col("place") <= profile.most_candidates).drop("place")
-    pairs = a.join(b, ["signal_type", "value"]).select("ref", "identity_id").distinct()
+    pairs = salted_join(a, b, ["signal_type", "value"], ["ref"], hot=hot).select("ref", "identity_id").distinct()
     nth = F.row_number().over(Window.partitionBy("ref").orderBy("identity_id"))
     return pairs.withColumn("nth", nth).where(F.col("nth") <= profile.most_candidates).drop("nth")
 
 
 def scores(incoming: DataFrame, stored: DataFrame, pairs: DataFrame, profile: IdentityProfile | None = None) -> DataFrame:
-    """ref, identity_id, score, band, supporting, contradicting (arrays of signal types), reason."""
+    """ref, identity_id, score, band, supporting, contradicting (arrays of signal types), reason.
+
+    An identity that is a candidate of very many records (it holds a common value) is one key of the second join; its stored
+    side has a row a signal, so adaptive execution splits such a partition.  Salting it beforehand would cost the pairs twice."""
     profile = profile or IdentityProfile()
     profile.validate()
     weight = X.lookup(F.col("signal_type"), {t: s[1] for t, s in profile.signals.items()})
