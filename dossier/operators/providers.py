@@ -143,6 +143,15 @@ def site_clause(domains: tuple[str, ...] = R.NEWS_DOMAINS) -> str:
     return "(" + " OR ".join(f"site:{d}" for d in domains) + ")"
 
 
+def requests(made: DataFrame, provider: str) -> DataFrame:
+    """Queries of a provider as they are sent: plus sent (the text), site (the one domain asked for, or null) and cache_key.
+
+    Several domains go into the text as a clause, one goes beside it; equal requests of all subjects share a cache entry."""
+    sent = F.concat_ws(" ", F.lit(site_clause()), "query") if provider == "news_search" else F.col("query")
+    site = F.lit(R.SITES.get(provider)).cast("string")
+    return made.withColumns({"sent": sent, "site": site, "cache_key": F.concat(F.coalesce(site, F.lit("")), F.lit("::"), sent)})
+
+
 def query_status(ok: Column, all_: Column) -> Column:
     """Of a provider's queries: none ok is failure, some partial, all success."""
     return F.when(ok == 0, "failure").when(ok < all_, "partial").otherwise("success")
