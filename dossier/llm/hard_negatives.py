@@ -1,13 +1,12 @@
 """Hard negatives by a two-dimensional block matrix product.
 
-Rows are packed into blocks of ROWS rows and chunks of WIDTH dimensions, anchors (a stated query set)
-into blocks of about ANCHORS.  Every anchor block meets every row block once for each chunk, on a grid of
-keys (anchor block, row stripe, chunk); the partial tiles of integer scores that the chunks give are
-shuffled by (anchor block, row block) and added there.  A finished tile is reduced at once: to each
-anchor's best positives in it, and to those negatives that any window of the anchor can still hold.  A
-window's lower end follows its positive's score, and the anchor's final positives score no less than the
-best of any one tile, so what lies below that tile's bound is in no window.  The tiles' positives then give
-the windows, and each tile's negatives the best of each window; only these lines meet for an anchor.
+Rows are packed into blocks of at most ROWS rows and CELLS components, anchors (a stated query set) into
+blocks of about ANCHORS.  Row blocks are dealt over stripes and every stripe is sent all anchor blocks, so
+that each pair of blocks meets once, on a grid of keys.  A tile of scores is added up from chunks of WIDTH
+dimensions inside the task where its blocks meet, and reduced there at once; no scores of a tile are
+shuffled or stored.  The grid is walked twice: first each tile gives its anchors' best positives, which
+meet for an anchor and make its windows; then, with the windows beside the anchors, each tile gives the
+best negatives of each window.  Only these lines, a bounded number an anchor and tile, are shuffled.
 
 No task holds more than a few blocks.  Scores are exact: components are whole numbers, the product is
 done in 64-bit floats where no sum can pass 2**53, else in 64-bit integers.
@@ -34,10 +33,11 @@ from dossier.llm._cut import checkpointed
 
 #: Rows and anchors of a block, dimensions of a chunk, and the largest component.
 ROWS, ANCHORS, WIDTH, LARGEST = 2048, 256, 32, 1 << 26
-_BLOCK = "j long, c int, n int, asked int, ids binary, labels binary, anchors binary, x binary"
-_ANCHORS = "i int, c int, n int, ids binary, labels binary, own binary, x binary"
-_TILE = "i int, j long, c int, anchors binary, rows binary, scores binary"
-_REDUCED = "i int, anchors binary, positives binary, negatives binary"
+#: Components of a block, and anchor blocks that one stripe meets at a time.
+CELLS, GATHERED = 1 << 21, 64
+_BLOCK = "j long, n int, asked int, wide int, ids binary, labels binary, anchors binary, x binary"
+_ANCHORS = "i int, n int, ids binary, labels binary, own binary, x binary"
+_BEST = "i int, p int, anchor_id long, positive_id long, positive_score long"
 #: A null id, after all others.
 _NULL = (1 << 63) - 1
 
@@ -53,35 +53,41 @@ def _ints(column: pa.Array, kind: type = np.int64, null: int = 0) -> np.ndarray:
     return column.fill_null(null).to_numpy(zero_copy_only=False).astype(kind)
 
 
+def _wide(sizes: np.ndarray) -> int:
+    """The longest vector in whole chunks, one at least."""
+    return WIDTH * max(1, -(-int(sizes.max(initial=0)) // WIDTH))
+
+
 def _chunks(lists: pa.ListArray) -> np.ndarray:
     """The vectors as rows of one matrix, ended by zeros to whole chunks (one at least)."""
     sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    wide = WIDTH * max(1, -(-int(sizes.max(initial=0)) // WIDTH))
-    out = np.zeros((len(sizes), wide), np.int32)
+    out = np.zeros((len(sizes), _wide(sizes)), np.int32)
     out[np.repeat(np.arange(len(sizes)), sizes), np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy()
     return out
 
 
 def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of a partition's rows: one line for each chunk.  A block's number is its partition's and its own."""
+    """Blocks of a partition's rows, a line each.  A block's number is its partition's and its own."""
     from pyspark import TaskContext
 
-    at, held, n = TaskContext.get().partitionId() << 32, [], 0
+    at, held, n, wide = TaskContext.get().partitionId() << 32, [], 0, WIDTH
 
     def block(table: pa.Table) -> pa.RecordBatch:
         ids, labels = _ints(table["id"].combine_chunks(), null=_NULL), _ints(table["label"].combine_chunks())
         x, asked = _chunks(table["v"].combine_chunks()), _ints(table["anchor"].combine_chunks(), np.uint8, False)
-        lines = [(at, c, len(ids), int(asked.sum()), ids.tobytes(), labels.tobytes(), asked.tobytes(), x[:, c * WIDTH : (c + 1) * WIDTH].tobytes()) for c in range(x.shape[1] // WIDTH)]
-        return _lines(lines, _BLOCK)
+        return _lines([(at, len(ids), int(asked.sum()), x.shape[1], ids.tobytes(), labels.tobytes(), asked.tobytes(), x.tobytes())], _BLOCK)
 
     for batch in batches:
+        own = _wide(batch.column("v").value_lengths().to_numpy(zero_copy_only=False))
         while batch.num_rows:
-            part, batch = batch.slice(0, ROWS - n), batch.slice(ROWS - n)
-            held.append(part)
-            n += part.num_rows
-            if n == ROWS:
+            most = max(1, min(ROWS, CELLS // max(wide, own)))
+            if n < most:
+                part, batch = batch.slice(0, most - n), batch.slice(most - n)
+                held.append(part)
+                n, wide = n + part.num_rows, max(wide, own)
+            if n >= most:
                 yield block(pa.Table.from_batches(held))
-                at, held, n = at + 1, [], 0
+                at, held, n, wide = at + 1, [], 0, WIDTH
     if n:
         yield block(pa.Table.from_batches(held))
 
@@ -123,6 +129,15 @@ def partial_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
 
 
+def _tile(a: dict, r: dict) -> np.ndarray:
+    """Scores of an anchor block's rows and a row block's, chunk by chunk; where one is wider, the other has zeros."""
+    x, y = (_longs(b["x"], np.int32).reshape(b["n"], -1) for b in (a, r))
+    out = np.zeros((a["n"], r["n"]), np.int64)
+    for c in range(0, min(x.shape[1], y.shape[1]), WIDTH):
+        out += partial_scores(x[:, c : c + WIDTH], y[:, c : c + WIDTH])
+    return out
+
+
 def _first(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best: the highest scores, of equal ones the least ids."""
     if len(score) > 4 * k:
@@ -142,71 +157,55 @@ def hard_negatives(rows: DataFrame, anchor: Column, positives: int = 5, negative
     used = rows.select(F.col(key).cast("long").alias("id"), label.cast("long").alias("label"), scaled(F.col(embedding), scale).alias("v"), F.coalesce(anchor, F.lit(False)).alias("anchor"))
     used = used.where("label is not null and v is not null")
     packed = checkpointed(used.mapInArrow(_pack_rows, _BLOCK))  # numbers of blocks and places hold from here on
-    facts = packed.where("c = 0").agg(F.coalesce(F.sum("asked"), F.lit(0)).alias("a"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    facts = packed.agg(F.coalesce(F.sum("asked"), F.lit(0)).alias("a"), F.count("*").alias("n"), F.coalesce(F.max("wide"), F.lit(WIDTH)).alias("wide")).first()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups, stripes = max(1, math.ceil(facts["a"] / ANCHORS)), max(1, min(tasks, math.ceil(facts["n"] / ROWS)))
+    groups, stripes = max(1, math.ceil(facts["a"] / max(1, min(ANCHORS, CELLS // facts["wide"])))), max(1, min(4 * tasks, facts["n"]))
+    parts = math.ceil(groups / GATHERED)
     asked = _anchor_blocks(packed, groups)
+    grid_rows = packed.select(F.pmod(F.xxhash64("j"), F.lit(stripes)).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("g"), F.struct("j", "n", "ids", "labels", "x").alias("r")).repartition(tasks, "s", "g")
 
-    grid_rows = packed.withColumns({"s": F.pmod(F.xxhash64("j"), F.lit(stripes)).cast("int"), "i": F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))})
-    grid_anchors = asked.select("i", "c", F.struct("n", "ids", "labels", "own", "x").alias("a")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
-    met = grid_rows.select("i", "s", "c", "j", F.struct("n", "ids", "labels", "x").alias("r")).join(grid_anchors, ["i", "s", "c"])
+    def met(anchors: DataFrame) -> DataFrame:
+        """Each pair of blocks once.  Merged: a table's anchors are no list to broadcast, nor its blocks' tasks to be fewer."""
+        sent = anchors.withColumns({"g": F.col("i") % parts, "s": F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))}).repartition(tasks, "s", "g")
+        return grid_rows.join(sent.hint("merge"), ["s", "g"]).drop("s", "g")
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def best_positives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for m in _each(batches):
             a, r = m["a"], m["r"]
-            s = partial_scores(_longs(a["x"], np.int32).reshape(a["n"], -1), _longs(r["x"], np.int32).reshape(r["n"], -1))
-            first = m["c"] == 0  # what the rows are goes with the first chunk alone
-            yield _lines([(m["i"], m["j"], m["c"], a["ids"] + a["labels"] + a["own"] if first else b"", r["ids"] + r["labels"] if first else b"", zigzag(s.ravel()))], _TILE)
-
-    def reduce(table: pa.Table) -> pa.Table:
-        lines = table.to_pylist()
-        score = sum(unzigzag(x["scores"]) for x in lines)
-        head = next(x for x in lines if x["c"] == 0)
-        a, r = _longs(head["anchors"]).reshape(4, -1), _longs(head["rows"]).reshape(2, -1)
-        score = score.reshape(a.shape[1], r.shape[1])
-        same = a[1][:, None] == r[1]
-        own = np.flatnonzero(a[2] == head["j"])
-        is_positive = same.copy()
-        is_positive[own, a[3][own]] = False  # the anchor itself
-        found_p, found_n = [], []
-        for k in range(a.shape[1]):
-            at = np.flatnonzero(is_positive[k])
-            at = at[_first(score[k, at], r[0, at], positives)]
-            found_p.append((np.full(len(at), k), r[0, at], score[k, at]))
-            bound = max(0, int(score[k, at[-1]])) if len(at) == positives else 0
-            at = np.flatnonzero(~same[k] & (score[k] >= -(-low * bound // 100)))
-            found_n.append((np.full(len(at), k), r[0, at], score[k, at]))
-        flat = lambda x: np.concatenate([np.concatenate(c).astype(np.int64) for c in zip(*x)]).tobytes()
-        return pa.Table.from_batches([_lines([(head["i"], head["anchors"], flat(found_p), flat(found_n))], _REDUCED)])
-
-    tiles = checkpointed(met.mapInArrow(multiply, _TILE).groupBy("i", "j").applyInArrow(reduce, _REDUCED))  # read twice
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _each(batches):
-            place, ids, score = _longs(t["positives"]).reshape(3, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t["i"], np.int32)), pa.array(place.astype(np.int32)), pa.array(_longs(t["anchors"]).reshape(4, -1)[0, place]), pa.array(ids), pa.array(score)], names=["i", "p", "anchor_id", "positive_id", "positive_score"])
-
+            score, ids = _tile(a, r), _longs(r["ids"])
+            is_positive = _longs(a["labels"])[:, None] == _longs(r["labels"])
+            block, place = _longs(a["own"]).reshape(2, -1)
+            own = np.flatnonzero(block == r["j"])
+            is_positive[own, place[own]] = False  # the anchor itself
+            found = []
+            for p in range(a["n"]):
+                at = np.flatnonzero(is_positive[p])
+                at = at[_first(score[p, at], ids[at], positives)]
+                found.append((np.full(len(at), p), ids[at], score[p, at]))
+            p, best, top = (np.concatenate(x) for x in zip(*found))
+            columns = [np.full(len(p), m["i"], np.int32), p.astype(np.int32), _longs(a["ids"])[p], best, top]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["i", "p", "anchor_id", "positive_id", "positive_score"])
+
+    anchors = asked.select("i", F.struct("n", "ids", "labels", "own", "x").alias("a"))
     best = Window.partitionBy("i", "p").orderBy(F.col("positive_score").desc(), "positive_id")
-    windows = tiles.select("i", "anchors", "positives").mapInArrow(unpack, "i int, p int, anchor_id long, positive_id long, positive_score long").withColumn("q", F.row_number().over(best)).where(F.col("q") <= positives)
+    windows = met(anchors).mapInArrow(best_positives, _BEST).withColumn("q", F.row_number().over(best)).where(F.col("q") <= positives)
     # One group's windows: positives times about ANCHORS.
     windows = windows.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("p", "q", "anchor_id", "positive_id", "positive_score"))).alias("w"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _each(batches):
-            place, ids, score = _longs(t["negatives"]).reshape(3, -1)
-            cut = np.searchsorted(place, np.arange(place.max(initial=-1) + 2))
+        for m in _each(batches):
+            a, r = m["a"], m["r"]
+            score, ids = _tile(a, r), _longs(r["ids"])
+            other = _longs(a["labels"])[:, None] != _longs(r["labels"])
             out = []
-            for w in t["w"]:
-                if w["p"] + 1 >= len(cut):
-                    continue
-                own = slice(cut[w["p"]], cut[w["p"] + 1])
-                s, top = score[own], w["positive_score"]
-                at = np.flatnonzero((s >= -(-low * top // 100)) & (s <= high * top // 100))
-                at = at[_first(s[at], ids[own][at], negatives)]
-                out += [(t["i"], w["p"], w["q"], w["anchor_id"], w["positive_id"], top, n, k) for n, k in zip(ids[own][at].tolist(), s[at].tolist())]
+            for w in m["w"]:
+                s, top = score[w["p"]], w["positive_score"]
+                at = np.flatnonzero((s >= -(-low * top // 100)) & (s <= high * top // 100) & other[w["p"]])
+                at = at[_first(s[at], ids[at], negatives)]
+                out += [(m["i"], w["p"], w["q"], w["anchor_id"], w["positive_id"], top, n, k) for n, k in zip(ids[at].tolist(), s[at].tolist())]
             yield _lines(out, _FOUND)
 
-    found = tiles.select("i", "negatives").join(windows, "i").mapInArrow(search, _FOUND)
+    found = met(anchors.join(checkpointed(windows), "i")).mapInArrow(search, _FOUND)
     order = Window.partitionBy("i", "p", "q").orderBy(F.col("negative_score").desc(), "negative_id")
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
     back = lambda c: F.nullif(F.col(c), F.lit(_NULL)).alias(c)
@@ -223,22 +222,19 @@ def _anchor_blocks(packed: DataFrame, groups: int) -> DataFrame:
         for b in _each(batches):
             at = np.flatnonzero(_longs(b["anchors"], np.uint8))
             n, x = len(at), _longs(b["x"], np.int32).reshape(b["n"], -1)[at]
-            columns = [pa.array(np.full(n, b["j"])), pa.array(np.full(n, b["c"], np.int32)), pa.array(at), pa.array(_longs(b["ids"])[at]), pa.array(_longs(b["labels"])[at]), pa.array([v.tobytes() for v in x], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["j", "c", "at", "id", "label", "x"])
+            columns = [pa.array(np.full(n, b["j"])), pa.array(at), pa.array(_longs(b["ids"])[at]), pa.array(_longs(b["labels"])[at]), pa.array([v.tobytes() for v in x], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["j", "at", "id", "label", "x"])
 
-    found = packed.where("asked > 0").mapInArrow(members, "j long, c int, at long, id long, label long, x binary")
+    found = packed.where("asked > 0").mapInArrow(members, "j long, at long, id long, label long, x binary")
     asked = found.withColumn("i", F.pmod(F.xxhash64("j", "at"), F.lit(groups)).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:
-        t = table.sort_by([("j", "ascending"), ("at", "ascending"), ("c", "ascending")])
-        j, c, at = (t[k].to_numpy() for k in ("j", "c", "at"))
-        head = np.flatnonzero(c == 0)
-        n, wide = len(head), int(c.max()) + 1
-        x = np.zeros((n, wide, WIDTH), np.int32)
-        x[np.cumsum(c == 0) - 1, c] = np.frombuffer(b"".join(t["x"].to_pylist()), np.int32).reshape(-1, WIDTH)
-        ids, labels = t["id"].to_numpy()[head], t["label"].to_numpy()[head]
-        own = np.concatenate([j[head], at[head]]).tobytes()
-        i = t["i"][0].as_py()
-        return pa.Table.from_batches([_lines([(i, k, n, ids.tobytes(), labels.tobytes(), own, np.ascontiguousarray(x[:, k]).tobytes()) for k in range(wide)], _ANCHORS)])
+        t = table.sort_by([("j", "ascending"), ("at", "ascending")])
+        rows = [np.frombuffer(v, np.int32) for v in t["x"].to_pylist()]
+        x = np.zeros((len(rows), max(map(len, rows))), np.int32)
+        for k, v in enumerate(rows):
+            x[k, : len(v)] = v
+        own = np.concatenate([t[k].to_numpy() for k in ("j", "at")])
+        return pa.Table.from_batches([_lines([(t["i"][0].as_py(), len(rows), t["id"].to_numpy().tobytes(), t["label"].to_numpy().tobytes(), own.tobytes(), x.tobytes())], _ANCHORS)])
 
     return asked.groupBy("i").applyInArrow(pack, _ANCHORS)

@@ -56,6 +56,26 @@ def test_hard_negatives_against_brute_force(spark, monkeypatch, blocks):
     assert sorted((tuple(r) for r in got.collect()), key=str) == _brute_negatives(rows, lambda i: i % 20 == 0)
 
 
+def test_hard_negatives_store_no_scores_and_cut_wide_blocks(spark, monkeypatch):
+    """Vectors all alike: every negative of an anchor is near it, and only rows and windows may be stored."""
+    import pathlib
+
+    r = np.random.default_rng(2)
+    rows = [(k, [float(x) for x in 0.5 + r.integers(0, 9, 40) / 256], k % 4, "x", None) for k in range(2000)]
+    df = spark.createDataFrame(rows, VECTORS).repartition(3)
+    folder = lambda: sum(f.stat().st_size for f in pathlib.Path(spark.sparkContext.getCheckpointDir().replace("file:", "")).rglob("part-*"))
+    hard_negatives.hard_negatives(df.limit(1), F.lit(True)).count()
+    before = folder()
+    got = hard_negatives.hard_negatives(df, F.col("vec_id") % 10 == 0)
+    assert got.count() == 200 * 25
+    assert folder() - before < 3_000_000  # 24 bytes for each anchor and negative would be 7,200,000
+    monkeypatch.setattr(hard_negatives, "CELLS", 400)
+    monkeypatch.setattr(hard_negatives, "GATHERED", 2)
+    small = _vectors()
+    got = hard_negatives.hard_negatives(spark.createDataFrame(small, VECTORS).repartition(3), F.col("vec_id") % 20 == 0)
+    assert sorted((tuple(x) for x in got.collect()), key=str) == _brute_negatives(small, lambda i: i % 20 == 0)
+
+
 def test_hard_negatives_without_rows_or_anchors(spark):
     df = spark.createDataFrame(_vectors(30), VECTORS)
     assert hard_negatives.hard_negatives(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
