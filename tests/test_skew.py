@@ -43,3 +43,17 @@ def test_a_common_value_is_spread(spark):
     dealt = a.join(salts, keys, "left").select(F.pmod(F.xxhash64("value", F.pmod(F.xxhash64("ref"), F.coalesce("_salts", F.lit(1)))), F.lit(16)).alias("task"))
     sizes = sorted(r["count"] for r in dealt.groupBy("task").count().collect())
     assert len(sizes) == 16 and sizes[-1] <= 3 * sizes[8]
+
+
+def test_scores_in_a_records_row_are_those_of_its_pairs(spark):
+    """Common names and phones, several values of a type, mails that differ: pairs scored without a join by identity."""
+    n = 90
+    people = spark.range(n).select(F.concat(F.lit("r"), F.col("id")).alias("ref0"), F.lit("Ann").alias("first_name"), F.format_string("Lee%d", F.col("id") % 2).alias("last_name"), F.format_string("m%d@x.com", F.col("id") % 40).alias("email"), F.format_string("%d", F.col("id") % 3).alias("phone"))
+    table = spark.range(n).select(F.format_string("i%03d", "id").alias("subject_id"), F.format_string("Ann Lee%d", F.col("id") % 2).alias("name"), F.when(F.col("id") % 5 > 0, F.format_string("m%d@x.com", F.col("id") % 50)).alias("email"), F.format_string("%d", F.col("id") % 4).alias("phone"), F.lit(None).cast("string").alias("duns_number"))
+    held = identity.stored_signals(table)
+    again = held.where("signal_type = 'phone'").withColumns({"position": F.col("position") + 9, "value": F.lit("0")})
+    held = held.unionByName(again.where("identity_id < 'i020'"))
+    out = identity.resolve(people, "ref0", held)
+    pairs = identity.candidates(out["signals"], held)
+    assert _sorted(out["pairs"]) == _sorted(identity.scores(out["signals"], held, pairs)) and out["pairs"].count() == 25 * n
+    assert "Join [identity_id" not in out["outcomes"]._jdf.queryExecution().executedPlan().toString()
