@@ -156,3 +156,27 @@ def test_workbook(spark, tmp_path):
     (tmp_path / "bad.xlsx").write_text("no zip")
     with pytest.raises(xlsx.CorruptedSource):
         xlsx.Workbook(str(tmp_path / "bad.xlsx"))
+
+
+def test_queries_are_told_apart_in_the_subjects_row(spark):
+    rows = [("s", " Ann Lee ", "X", "CEO"), ("s", "Ann Lee", "X", None), ("t", "Ann Lee", None, "CEO"), ("u", None, "X", "CEO")]
+    subjects = spark.createDataFrame(rows, "subject_id string, name string, company string, title string")
+    made = providers.queries(subjects, "linkedin_search")
+    got = sorted((r["subject_id"], r["position"], r["query"]) for r in made.collect())
+    assert got[:6] == [("s", k, q) for k, q in enumerate(['"Ann Lee" "X"', '"Ann Lee" "CEO"', '"Ann Lee" new position', '"Ann Lee" promoted', '"Ann Lee" joined "X"', '"Ann Lee"'])]
+    assert [x[:2] for x in got[6:]] == [("t", 1), ("t", 2), ("t", 3), ("t", 5)]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and plan.index("Generate") < plan.index("Exchange")  # queries are made above the only shuffle
+    counts = {(r["provider"], r["sent"]): r["subjects"] for r in providers.request_counts(subjects.where("company is not null or title = 'CEO'").dropDuplicates(["subject_id"])).collect()}
+    assert counts["linkedin_search", '"Ann Lee"'] == 2 and counts["google_search", '"Ann Lee" "X"'] == 1
+
+
+def test_cut_references_in_titles_and_results_in_pieces(spark):
+    from dossier.functions import html
+
+    titles = ["a &amp; b", "a &amp;&amp", "R&D &lt;x&gt; &#x27;", "&ampx; &am"]
+    rows = [(k, f"<html><head><title>{t}</title></head><body><a href='/{k}'>l</a></body></html>") for k, t in enumerate(titles * 20)] + [(80, None)]
+    df = spark.createDataFrame(rows, "k int, x string").coalesce(1)
+    got = df.select("k", html.page_content(F.col("x"))["title"].alias("t"), html.page_links(F.col("x"), F.lit("http://h/")).alias("l")).orderBy("k").collect()
+    assert [r["t"] for r in got[:4]] == ["a & b", "a &&amp", "R&D <x> '", "&ampx; &am"] and got[80]["t"] == "" and got[80]["l"] == []
+    assert [r["l"][0]["url"] for r in got[:80]] == [f"http://h/{k}" for k in range(80)]
