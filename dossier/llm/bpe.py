@@ -3,7 +3,8 @@
 Each piece of a text (a match of the tokenizer's pattern) is merged on its own.  A segment tree over
 the piece's byte positions holds, for every live position, the rank of the pair that starts there;
 the root is the leftmost pair of lowest rank.  A merge updates the two live neighbours in logarithmic
-time, so a piece of n bytes costs O(n log n) whatever it looks like.
+time, so a piece of n bytes costs O(n log n) whatever it looks like.  A piece of at most SHORT bytes, as
+nearly all are, is merged in a plain list of ranks, which is faster at that length.
 
 Rows stay in their partitions: there is no shuffle.  Each Python worker keeps a bounded table of
 pieces it has met, so that a frequent word is merged once.
@@ -28,6 +29,8 @@ from pyspark.sql import types as T
 
 
 _NONE = 1 << 62
+#: Bytes of a piece up to which a list of ranks is searched from end to end for each merge.
+SHORT = 128
 #: Bounds of a worker's table of met pieces: entries of each of its two generations (about 50 MB each), and bytes of a piece that is kept.
 CACHE_PIECES, CACHE_BYTES = 250_000, 48
 
@@ -77,6 +80,26 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
+    return merge_short(piece, ranks) if len(piece) <= SHORT else merge_long(piece, ranks)
+
+
+def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a piece in a time that grows with the square of its length."""
+    n, get = len(piece), ranks.get
+    at = list(range(n + 1))  # where the live tokens start, and the piece's end
+    pairs = [get(piece[i : i + 2], _NONE) for i in range(n - 1)]
+    while pairs and (best := min(pairs)) < _NONE:
+        i = pairs.index(best)
+        del at[i + 1], pairs[i]
+        if i:
+            pairs[i - 1] = get(piece[at[i - 1] : at[i + 1]], _NONE)
+        if i < len(pairs):
+            pairs[i] = get(piece[at[i] : at[i + 2]], _NONE)
+    return [ranks[piece[a:b]] for a, b in zip(at, at[1:])]
+
+
+def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a piece by a segment tree over its positions."""
     n, get = len(piece), ranks.get
     bits = (n - 1).bit_length()
     mask = (1 << bits) - 1

@@ -30,6 +30,23 @@ def test_bpe_long_piece_takes_little_time(spark):
     assert len(bpe.encode_piece(b"ab" * 20_000, ranks)) > 1000
 
 
+def test_bpe_merges_words_without_a_tree_and_alike(spark, monkeypatch):
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks, _ = queries.tokenizer(spark)
+    peer, rng = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), random.Random(5)
+    pieces = ["".join(rng.choices("aabeinst", k=n)) for n in [*range(1, 132), *[rng.randint(2, 30) for _ in range(500)]]]
+    for piece in ("aaaa" * 32, "aaaaa" * 30, *pieces):
+        raw = piece.encode()
+        ids = bpe.encode_piece(raw, ranks)
+        assert ids == peer.encode_ordinary(piece)
+        if raw not in ranks:
+            assert ids == bpe.merge_short(raw, ranks) == bpe.merge_long(raw, ranks)
+    monkeypatch.setattr(bpe, "SegmentTree", None)
+    assert len(bpe.encode_piece(b"qzxwvkjq" * 3, ranks)) > 3
+
+
 def test_bpe_empty_table(spark):
     ranks, pattern = queries.tokenizer(spark)
     assert bpe.encode_decode(docs(spark, corpus()).limit(0), ranks, pattern).count() == 0
