@@ -3,8 +3,10 @@
 import datetime
 import json
 import random
+import uuid
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +129,43 @@ def test_only_rows_of_providers_that_ran_are_read_and_broken_pages_cost_their_su
     assert sorted(tuple(x) for x in found.executed.collect())[:3] == [("a", "company_website", 2001), ("a", "google_search", 1001), ("a", "one", 3001)]
 
 
+def test_a_run_parses_each_page_once_and_only_pages_that_it_reads(spark, monkeypatch, tmp_path):
+    def noted(name):
+        real, folder = getattr(H, name), tmp_path / name
+        folder.mkdir()
+        parse, kind = real.func, real.returnType
+
+        def note(html):
+            for k, x in enumerate(html.to_pylist()):
+                (folder / f"{uuid.uuid4().hex}-{k}").write_text(x)
+
+        def content(html: pa.Array) -> pa.Array:
+            note(html)
+            return parse(html)
+
+        def links(html: pa.Array, base: pa.Array) -> pa.Array:
+            note(html)
+            return parse(html, base)
+
+        monkeypatch.setattr(H, name, F.arrow_udf(links if name == "page_links" else content, kind))
+        return lambda: sorted(x.read_text() for x in folder.iterdir())
+
+    contents, links = noted("page_content_or_error"), noted("page_links")
+    payloads = [(s, "one", "q", _payload("http://n.com/1", "http://n.com/2", *more), None) for s, *more in (("a",), ("b", "http://n.com/broken"))]
+    sites = [("a", "http://a.com", '<a href="/team">Our leadership</a>', None), ("a", "http://a.com/team", '<div class="team-member"><h2>Ann Lee</h2></div>', None), ("b", "http://b.com", '<a href="/team">Our leadership</a>', None), ("z", "http://z.com", "nobody's", None)]
+    pages = [(f"http://n.com/{k}", f"<title>{k}</title>") for k in range(40)] + [("http://n.com/broken", BROKEN)]
+    landed = Landed(spark.createDataFrame(payloads, "subject_id string, provider_id string, query string, payload string, error string"), spark.createDataFrame(sites, "subject_id string, url string, html string, error string"), spark.createDataFrame(pages, "url string, html string"))
+    people = spark.createDataFrame([("a", 1, "http://a.com"), ("b", 2, None)], "subject_id string, seq long, url string")
+    own = spark.createDataFrame([("company_website", ["company"], 1), ("one", ["search"], 1)], "provider_id string, phases array<string>, priority int")
+    found = evidence.collect(people, own, landed, F.lit(NOW))
+    seen = sorted((x["subject_id"], x["attribute"], x["value"]) for x in found.observations.collect())
+    assert seen == [("a", "full_name", "Ann Lee"), ("a", "source_page", "http://a.com/team"), ("a", "web_page", "1"), ("a", "web_page", "2")]
+    assert [x["subject_id"] for x in found.failures.collect()] == ["b"]
+    assert sorted(tuple(x) for x in found.seen.collect()) == [("a", 2, 2), ("b", 0, 3)]
+    assert contents() == [BROKEN, "<title>1</title>", "<title>2</title>"]
+    assert links() == sorted(x[2] for x in sites[:2])
+
+
 def test_a_page_that_cannot_be_parsed_gives_nothing_and_stops_nothing(spark):
     df = spark.createDataFrame([(1, BROKEN + "<a href='/x'>y</a>", "http://h.com"), (2, "<title>t</title><a href='/x'>y</a>", "http://h.com")], "k int, html string, url string")
     got = df.select("k", H.page_content_or_error("html").alias("c"), H.page_links("html", "url").alias("l"), H.page_elements("html").alias("e")).orderBy("k").collect()
